@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing
+from quire.llm import decontaminate, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_poisson_mix": mixing.op2_poisson_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": mixing.oracle()}
+    return {
+        "op1_decontaminate": decontaminate.oracle(),
+        "op2_poisson_mix": mixing.oracle(),
+    }
