@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, mixing
+from quire.llm import chat, decontaminate, mixing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_poisson_mix": mixing.op2_poisson_mix,
+        "op4_chat_format": chat.op4_chat_format,
+        "op9_warc_archive": warc.op9_warc_archive,
     }
 
 
@@ -20,4 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.oracle(),
         "op2_poisson_mix": mixing.oracle(),
+        "op4_chat_format": chat.oracle(),
+        "op9_warc_archive": warc.oracle(),
     }
