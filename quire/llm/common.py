@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,94 @@ def fold(id_col: Column, parts: int) -> Column:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, null text as ''; other columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+#: Texts are handed to Python in batches of at most so many rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make Arrow batches large: bounds them for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def sampled(rows: DataFrame, group: str, key: str, most: int, seed: int = 5) -> DataFrame:
+    """At most ``most`` rows of each value of ``group`` (of few values), those of
+    the least hash of ``key``; columns stay, null groups go.
+
+    A first cut by a hash threshold from the group's count leaves little more
+    than wanted, so the exact cut ranks few rows however large the group.
+    """
+    n = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).alias("_u")
+    kept = rows.select("*", u).join(F.broadcast(n), F.col(group) == F.col("_g"))
+    # Twice the wanted share, and 64 rows, so that next to never fewer pass than there should be.
+    kept = kept.where(F.col("_u") < F.lit(float(1 << 40)) * (2.0 * most + 64) / F.col("_n"))
+    order = Window.partitionBy(group).orderBy("_u", key)
+    return kept.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(*rows.columns)
+
+
+class WordCache:
+    """Rows of numbers for words: evaluated once, kept while there is room."""
+
+    def __init__(self, evaluate, width: int, limit: int = 200_000):
+        self.evaluate, self.width, self.limit = evaluate, width, limit
+        self.place: dict = {}
+        self.rows = np.zeros((0, width))
+        self.used = 0
+
+    def learn(self, words) -> None:
+        """Makes sure that all of ``words``, a set, have rows."""
+        new = [w for w in words if w not in self.place]
+        if self.used + len(new) > self.limit:
+            self.place, self.used, new = {}, 0, list(words)
+        if not new:
+            return
+        if self.used + len(new) > len(self.rows):
+            grown = np.zeros((max(self.used + len(new), min(2 * len(self.rows), self.limit)), self.width))
+            grown[: self.used] = self.rows[: self.used]
+            self.rows = grown
+        self.rows[self.used : self.used + len(new)] = np.asarray(self.evaluate(new), float).reshape(len(new), self.width)
+        self.place.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+
+    def sums(self, counts: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
+        """For each counter of words: the sum of its words' rows, and of its counts."""
+        out, total = np.zeros((len(counts), self.width)), np.zeros(len(counts))
+        start = 0
+        while start < len(counts):
+            # As many texts together as have room for their words; one at least.
+            words: set = set()
+            end = start
+            while end < len(counts) and (end == start or len(words) + len(counts[end]) <= self.limit):
+                words.update(counts[end])
+                end += 1
+            self.learn(words)
+            get = self.place.__getitem__
+            for k in range(start, end):
+                c = counts[k]
+                if c:
+                    n = np.fromiter(c.values(), float, len(c))
+                    out[k] = n @ self.rows[np.fromiter(map(get, c), np.int64, len(c))]
+                    total[k] = n.sum()
+            start = end
+        return out, total
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(name: str, model, make):
+    """make(model's value), once per Python worker instead of once per task.
+    ``model`` is a (key, broadcast) pair, the key unlike that of any other model."""
+    key, sent = model
+    found = _KEPT.get(name)
+    if not found or found[0] != key:
+        found = _KEPT[name] = (key, make(sent.value))
+    return found[1]
+
+
+def sent_to_workers(spark: SparkSession, value):
+    """A (key, broadcast) pair for kept_in_worker."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(value)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, mixing, warc
+from quire.llm import chat, decontaminate, mixing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_poisson_mix": mixing.op2_poisson_mix,
         "op4_chat_format": chat.op4_chat_format,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_warc_archive": warc.op9_warc_archive,
     }
 
