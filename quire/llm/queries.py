@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, language, mixing, secrets, toxicity, warc
+from quire.llm import chat, decontaminate, language, mixing, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_poisson_mix": mixing.op2_poisson_mix,
+        "op3_simhash": simhash.op3_simhash,
         "op4_chat_format": chat.op4_chat_format,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_language": language.op8_language,
