@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,33 +39,50 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-@dataclass
 class Model:
     """languages; log frequencies of words and n-grams in each, by key."""
 
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, 1 first
-
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.grams[n - 1].get(g)) is not None]
-            if found:
-                return UNSEEN * np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], by_length: list[dict[str, np.ndarray]]):
+        """by_length: the n-grams of each length, 1 first."""
+        self.languages = languages
+        tables = [words, *by_length]
+        rows = [v - v.mean() for t in tables for v in t.values()]
+        self.values = np.array(rows).reshape(len(rows), len(languages))
+        first = np.cumsum([0, *map(len, tables)])
+        self.words, *self.grams = [dict(zip(t, range(n, n + len(t)), strict=True)) for t, n in zip(tables, first, strict=False)]
 
     def of(self, tokens: list[str]) -> np.ndarray:
         """For each token between spaces: its words' scores less their mean over
         languages, and the number of its words."""
+        rows: list[int] = []
+        owners: list[int] = []
+        shares: list[float] = []
+        n = np.zeros(len(tokens))
+        for k, token in enumerate(tokens):
+            parts = [token] if token.isalpha() else LETTERS.findall(token)
+            n[k] = len(parts)
+            for word in parts:
+                known = self.words.get(word)
+                if known is not None:
+                    rows.append(known)
+                    owners.append(k)
+                    shares.append(1.0)
+                    continue
+                padded = f" {word} "
+                for length in range(LONGEST, 0, -1):
+                    get = self.grams[length - 1].get
+                    found = [r for i in range(len(padded) - length + 1) if (r := get(padded[i : i + length])) is not None]
+                    if found:
+                        rows += found
+                        owners += [k] * len(found)
+                        shares += [UNSEEN / len(found)] * len(found)
+                        break
         out = np.zeros((len(tokens), len(self.languages) + 1))
-        for row, token in zip(out, tokens, strict=True):
-            for word in LETTERS.findall(token):
-                v = self.of_word(word)
-                row[:-1] += v - v.mean()
-                row[-1] += 1
+        if rows:
+            owner, share, values = np.array(owners), np.array(shares), self.values[np.array(rows)]
+            for lang in range(len(self.languages)):
+                out[:, lang] = np.bincount(owner, values[:, lang] * share, len(tokens))
+        out[:, -1] = n
         return out
 
 
