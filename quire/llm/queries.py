@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, language, mixing, secrets, simhash, toxicity, warc
+from quire.llm import chat, ctw, decontaminate, language, mixing, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_poisson_mix": mixing.op2_poisson_mix,
         "op3_simhash": simhash.op3_simhash,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_context_tree": ctw.op5_context_tree,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_language": language.op8_language,
         "op9_warc_archive": warc.op9_warc_archive,
