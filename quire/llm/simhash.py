@@ -217,8 +217,9 @@ def components(found: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, part: int = PART) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the least
-    id reachable over fingerprints within ``radius`` bits, its own included.
+    """(doc_id, fp, component_id, root) for each row of ``docs``; component_id is the
+    least id reachable over fingerprints within ``radius`` bits, its own included,
+    root a fingerprint of the component that stands for it.
 
     Texts without words have fingerprint 0 and are linked like any other. A null
     id is never the least unless a component has no other; repeated rows stay. An
@@ -228,14 +229,41 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     labels = components(edges(nodes.select("fp"), nodes.count(), radius, shard, part))
     if labels is None:
-        least = nodes.select("fp", F.col("rep").alias("component_id"))
+        least = nodes.select("fp", F.col("rep").alias("component_id"), F.col("fp").alias("root"))
     else:
         rooted = nodes.join(labels, "fp").select("fp", "root", "rep")
         class_of = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-        linked = rooted.join(class_of, "root").select("fp", "least")
-        least = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+        linked = rooted.join(class_of, "root").select("fp", "root", "least")
+        least = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # Copies of one text are many rows of one key; the unique side lets Spark split them.
-    return fps.join(least, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(least, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the row of the least id.
+
+    Of repeated rows of an id, and of rows of null ids where a component has no
+    other, one stays, that of the least text. An empty table stays empty.
+    """
+    found = written(near_duplicates(docs, radius, id_col, text_col), "components")
+    ids = found.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"))
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+    counts = ids.first()
+    if counts.n == counts.named and repeated.isEmpty():
+        others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other"))
+        return docs.join(others, F.col(id_col).cast("long") == F.col("_other"), "left_anti")
+    # Ids don't tell rows apart, so each row gets its fingerprint.
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows["_fp"] = pd.Series([fingerprint(t or "") for t in rows[text_col]], index=rows.index, dtype="int64")
+            yield rows
+
+    roots = found.groupBy(F.col("fp").alias("_fp")).agg(F.first("root").alias("_root"))
+    marked = docs.mapInPandas(run, docs.select("*").schema.add("_fp", "long")).join(roots, "_fp")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    return marked.groupBy("_root").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
 
 
 def hex16(fp: Column) -> Column:
