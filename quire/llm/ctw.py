@@ -32,8 +32,8 @@ CONTEXTS = 65536
 #: Words with one in so many tokens are known to every task; the others' counts
 #: are joined. There are at most so many.
 HEAD = 32768
-#: Distinct words or byte strings that a task counts before it hands them on.
-HELD_KEYS = 1_000_000
+#: Distinct words, and byte strings, that a task counts before it hands them on.
+HELD_WORDS, HELD_GRAMS = 250_000, 1_000_000
 #: Bytes of text that a task takes up at a time.
 TAKEN = 4 << 20
 #: No word holds a line end, so this is the end token's spelling.
@@ -183,15 +183,15 @@ def counts(docs: DataFrame) -> DataFrame:
 
         def hand_on(all_: bool) -> Iterator[pa.RecordBatch]:
             nonlocal words, found, held
-            if words and (all_ or len(words) >= HELD_KEYS):
+            if words and (all_ or len(words) >= HELD_WORDS):
                 w, n = pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
                 words = Counter()
                 yield pa.record_batch([w, pa.nulls(len(w), pa.int64()), n], names=["word", "gram", "n"])
-            if held and (all_ or held >= HELD_KEYS):
+            if held and (all_ or held >= HELD_GRAMS):
                 keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([v for _, v in found]), len(keys)).astype(np.int64)
                 found, held = [(keys, n)], len(keys)
-                if all_ or held >= HELD_KEYS:
+                if all_ or held >= HELD_GRAMS:
                     found, held = [], 0
                     yield pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=["word", "gram", "n"])
 
