@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quire.plans import text_queries
+from quire.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (text_queries,)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for m in MODULES for k, q in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.R.sql.items()}
