@@ -134,7 +134,7 @@ _clean("clean_repeated_punctuation", T.clean_repeated_punctuation, sub("$E", r"(
 _clean("clean_same_punctuation", T.clean_same_punctuation, sub(sub(sub("$E", "!{2,}", "!"), r"\?{2,}", "?"), ",{2,}", ","), " a!!?? b,,, c")
 _clean("normalize_spaces", T.normalize_spaces, f"""array_to_string(list_filter(list_transform(string_split($E, chr(10) || chr(10)), lambda p:
   array_to_string(list_filter(list_transform(regexp_split_to_array({sub('p', T.BLANKS, ' ')}, '\\n+'), lambda x: trim(x)), lambda x: x <> ''), chr(10))), lambda p: p <> ''), chr(10) || chr(10))""", RULES)
-_clean("escape_html", T.escape_html, "replace(replace(replace(replace(replace($E, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')", frame=PAGES)
+_clean("escape_html", T.escape_html, "replace(replace(replace(replace(replace($E, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')", frame=PAGES)
 _clean("strip_comments", T.strip_comments, sub("$E", T.HTML_COMMENT, ""), frame=PAGES)
 _clean("html_text", T.strip_html, f"trim({sub(sub(sub(sub('$E', T.SCRIPT_TAG, ''), T.STYLE_TAG, ''), T.HTML_TAG, ' '), r'\s+', ' ')})", frame=PAGES)
 
