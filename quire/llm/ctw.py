@@ -90,7 +90,7 @@ def _symbols(one: np.ndarray) -> np.ndarray:
     p, at = np.zeros((len(one), 1)), 0
     for level in range(8):
         q = one[:, at : at + (1 << level)]
-        p = np.stack([p + np.log10(1 - q), p + np.log10(q)], axis=2).reshape(len(one), -1)
+        p = np.stack([p + np.log10(1 - q), p + np.log10(q)], axis=2).reshape(len(one), 2 << level)
         at += 1 << level
     return p
 

@@ -32,7 +32,7 @@ UNITS = "mm cm m km in ft mi inch inches foot feet mile miles meter meters metre
 
 #: (pattern, replacement) in order; the same text works in Java and RE2.
 #: \x01 opens a placeholder, \x02 joins the parts of one number.
-NAME = r"([\p{Ll}0-9,;:] )(\p{Lu}\p{L}+)"
+NAME = r"([\p{Ll}0-9,;:] )(\p{Lu}\p{Ll}\p{L}*)"
 JOINED = r"([0-9])[.,:/]([0-9])"
 PUNCTUATION = r"[^\p{L}\p{N}\x01\x02]+"
 NUMBER = r"(^| )([0-9][0-9\x02]*)"
