@@ -453,7 +453,7 @@ def test_the_field_adds_secrets_of_other_forms(spark):
     unknown = prose(77, 20) + " q8ZkP2mVx91LsT0rYb7Qw " + prose(78, 20)
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(900, unknown, 1), (901, None, 1), (902, "", 1), (903, prose(5, 20000), 1), (None, "secret=abcdefgh", 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, spans int")
-    got = {r.doc_id: r for r in secrets.scan(table, secrets.fit(table)).collect()}
+    got = {r.doc_id: r for r in secrets.scan(table, secrets.fit(table.where("doc_id < 800"))).collect()}
     for i, t, _ in rows:
         base = [(s.kind, s.start, s.end) for s in got[i].spans if s.kind != "crf"]
         assert base == brute_base(t or "")
