@@ -14,21 +14,24 @@ BULLET, NUMBERED, LETTERED = r"^[-*•]( |$)", r"^[0-9]{1,2}\. ", r"^\p{L}\. "
 HEADING = r"^(#{1,6})\s+(.+)$"
 
 
-@F.pandas_udf("binary")
-def _hash31(texts: pd.Series) -> pd.Series:
+def _hash31(text: Column) -> Column:
     """h = 31 h + byte over the UTF-8 bytes, modulo 2**64, big-endian. Spark's
     arithmetic raises on overflow, hence numpy, which wraps."""
-    powers: dict[int, np.ndarray] = {}
 
-    def one(text: str | None) -> bytes | None:
-        if text is None:
-            return None
-        data = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
-        if len(data) not in powers:
-            powers[len(data)] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(len(data) - 1, 0), 31, np.uint64))))[::-1] if len(data) else np.zeros(0, np.uint64)
-        return int((data * powers[len(data)]).sum(dtype=np.uint64)).to_bytes(8, "big")
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        longest = max((len(t.encode()) for t in texts if t is not None), default=0)
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(longest, 31, np.uint64))))
 
-    return texts.map(one)
+        def one(t: str | None) -> bytes | None:
+            if t is None:
+                return None
+            data = np.frombuffer(t.encode(), np.uint8).astype(np.uint64)
+            return int((data * powers[: len(data)][::-1]).sum(dtype=np.uint64)).to_bytes(8, "big")
+
+        return texts.map(one)
+
+    return run(text)
 
 
 def _u64(data: Column) -> Column:
