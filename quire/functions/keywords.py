@@ -18,9 +18,8 @@ LEAST_LETTERS, MOST_WORDS, MOST, LEAST_TEXT_WORDS = 3, 3, 10, 10
 
 def phrases(text: Column, stopwords: list[str]) -> Column:
     """array<array<string>>: runs of lower-case words between marks and stop words."""
-    listed = F.array(*[F.lit(w) for w in stopwords])
     words = T.words(T.replace_all(F.lower(text), r"[^\p{L}\p{N}\s]+", " | "))
-    cut = F.array_join(F.transform(words, lambda w: F.when((w == "|") | F.array_contains(listed, w), "|").otherwise(w)), " ")
+    cut = F.array_join(F.transform(words, lambda w: F.when((w == "|") | w.isin(stopwords), "|").otherwise(w)), " ")
     return F.filter(F.transform(F.split(cut, r"\|"), lambda p: F.filter(F.split(F.trim(p), " +"), lambda w: w != "")), lambda p: F.size(p) > 0)
 
 

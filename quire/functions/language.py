@@ -14,23 +14,21 @@ TILE = 200
 MULTIPLE_THRESHOLD = 0.35
 
 
-def hits(text: Column) -> Column:
-    """map<language, share of words that are its stop words>"""
-    words = T.words(F.lower(T.replace_all(text, r"[^\p{L}\s]", "")))
-    n = F.greatest(F.size(words), F.lit(1))
-    pairs = []
-    for lang, stop in STOPWORDS.items():
-        listed = F.array(*[F.lit(w) for w in stop])
-        pairs += [F.lit(CODES[lang]), F.size(F.filter(words, lambda w: F.array_contains(listed, w))) / n]  # noqa: B023
-    return F.create_map(*pairs)
+def ranked(text: Column) -> Column:
+    """struct<s, k>: the negative share of words that are stop words of the best
+    language, and its code; ties go to the code that sorts first."""
 
+    def best(words: Column) -> Column:
+        n = F.greatest(F.size(words), F.lit(1))
+        each = [F.struct((-F.size(F.filter(words, lambda w: w.isin(stop))) / n).alias("s"), F.lit(CODES[lang]).alias("k")) for lang, stop in STOPWORDS.items()]  # noqa: B023
+        return F.array_min(F.array(*each))
 
-def detect(text: Column, least: float) -> tuple[Column, Column]:
-    """(code, share) of the best language, the code null below ``least``."""
-    entries = F.transform(F.map_entries(hits(text)), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k")))
-    first = F.array_min(entries)
-    share = -first["s"]
-    return F.when(share >= least, first["k"]), share
+    return T.let(T.words(F.lower(T.replace_all(text, r"[^\p{L}\s]", ""))), best)
+
+
+def detect(text: Column, least: float) -> Column:
+    """struct<code, share> of the best language, the code null below ``least``."""
+    return T.let(ranked(text), lambda b: F.struct(F.when(-b["s"] >= least, b["k"]).alias("code"), (-b["s"]).alias("share")))
 
 
 def tiles(docs: DataFrame, key: str = "doc_id", size: int = TILE) -> DataFrame:
@@ -41,9 +39,9 @@ def tiles(docs: DataFrame, key: str = "doc_id", size: int = TILE) -> DataFrame:
 def multiple(docs: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
     """(key, place, language, votes): languages by the number of tiles they win, ties
     by code; a text whose tiles all stay undecided falls back to its best language."""
-    code, _ = detect(F.col("tile"), min(least, MULTIPLE_THRESHOLD))
-    votes = tiles(docs, key).select(key, code.alias("language")).where("language IS NOT NULL").groupBy(key, "language").agg(F.count(F.lit(1)).alias("votes"))
-    whole, _ = detect(F.col("text"), least)
+    code = detect(F.col("tile"), min(least, MULTIPLE_THRESHOLD))["code"]
+    votes = tiles(docs, key).select(key, code.alias("language")).groupBy(key, "language").agg(F.count(F.lit(1)).alias("votes")).where("language IS NOT NULL")
+    whole = detect(F.col("text"), least)["code"]
     single = docs.join(votes.select(key).distinct(), key, "left_anti").where(F.trim("text") != "").select(key, whole.alias("language"), F.lit(0).cast("long").alias("votes")).where("language IS NOT NULL")
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "language"))
     return votes.unionByName(single).select(key, place.alias("place"), "language", "votes")

@@ -40,16 +40,17 @@ def navigation_penalty(text: Column) -> Column:
 
 
 def structure_bonus(text: Column) -> Column:
-    n = F.size(T.words(text))
-    sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit(T.SENTENCE_BREAK)))
-    paragraphs = F.regexp_count(text, F.lit("\n\n")) + 1
-    score = (
-        F.when((n / sentences).between(*SENTENCE_WORDS), 0.3).otherwise(0.0)
-        + F.when((n / paragraphs).between(*PARAGRAPH_WORDS), 0.3).otherwise(0.0)
-        + F.when(paragraphs > 1, 0.2).otherwise(0.0)
-        + F.when(text.rlike(T.SENTENCE_MARK), 0.2).otherwise(0.0)
-    )
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
+    def score(counts: Column) -> Column:
+        n, sentences, paragraphs = counts[0], F.greatest(F.lit(1), counts[1]), counts[2] + 1
+        total = (
+            F.when((n / sentences).between(*SENTENCE_WORDS), 0.3).otherwise(0.0)
+            + F.when((n / paragraphs).between(*PARAGRAPH_WORDS), 0.3).otherwise(0.0)
+            + F.when(paragraphs > 1, 0.2).otherwise(0.0)
+            + F.when(text.rlike(T.SENTENCE_MARK), 0.2).otherwise(0.0)
+        )
+        return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), total))
+
+    return T.let(F.array(F.regexp_count(text, F.lit(r"\S+")), F.regexp_count(text, F.lit(T.SENTENCE_BREAK)), F.regexp_count(text, F.lit("\n\n"))), score)
 
 
 def metadata_bonus(metadata: Column) -> Column:
@@ -63,4 +64,4 @@ def quality_score(text: Column, metadata: Column | None = None) -> Column:
     extra = metadata_bonus(metadata) * METADATA_WEIGHT if metadata is not None else F.lit(0.0)
     plain = 1.0 - ocr_penalty(text) * OCR_WEIGHT + structure_bonus(text) * STRUCTURE_WEIGHT
     more = F.when(n > LONG, script_penalty(text) * SCRIPT_WEIGHT + navigation_penalty(text) * NAVIGATION_WEIGHT).otherwise(0.0)
-    return F.when(F.trim(T.replace_all(text, r"\s+", " ")) == "", 0.0).when(n < SHORT, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), plain - more + extra)))
+    return F.when(~text.rlike(r"\S"), 0.0).when(n < SHORT, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), plain - more + extra)))

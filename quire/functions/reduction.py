@@ -42,8 +42,8 @@ def core(word: Column) -> Column:
 def remove_stopwords(text: Column, stopwords: list[str]) -> Column:
     """Words in order, without stopwords. Kept as they are: words of capitals, with
     digits, without letters, and of a single byte of letters."""
-    listed = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    keep = lambda w: w.rlike("^[^a-z\\x{80}-\\x{10ffff}]{2,}$") | w.rlike("[0-9]") | (F.octet_length(core(w)) <= 1) | ~F.array_contains(listed, core(w))
+    ordinary = lambda c: (F.octet_length(c) <= 1) | ~c.isin(stopwords)
+    keep = lambda w: w.rlike("^[^a-z\\x{80}-\\x{10ffff}]{2,}$") | w.rlike("[0-9]") | T.let(core(w), ordinary)
     return F.array_join(F.filter(T.words(text), keep), " ")
 
 
@@ -78,36 +78,37 @@ def sentences(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Bits per lower-cased character, 5 at most."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)."), F.lit(0))
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(5.0), bits))
+    """Bits per lower-cased character, 5 at most: log2 n less the mean log2 of each
+    character's count, from runs of the sorted characters."""
+    start = F.struct(F.lit("").alias("c"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    part = lambda a: F.when(a["run"] > 0, a["run"] * F.log2(a["run"])).otherwise(0.0)
+    step = lambda a, c: F.when(a["c"] == c, F.struct(c.alias("c"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(c.alias("c"), F.lit(1).alias("run"), (a["sum"] + part(a)).alias("sum")))
+    bits = lambda chars: F.when(F.size(chars) == 0, 0.0).otherwise(F.least(F.lit(5.0), F.log2(F.size(chars)) - F.aggregate(chars, start, step, lambda a: a["sum"] + part(a)) / F.size(chars)))
+    return T.let(F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)."), F.lit(0))), bits)
 
 
 def scored_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, k, sentence, n, score) for each sentence of each text."""
     split = docs.select(key, sentences(F.col(text)).alias("all")).select(key, F.size("all").alias("n"), F.posexplode("all").alias("k", "sentence"))
     s = F.col("sentence")
-    words = T.words(s)
-    n = F.size(words)
-    count = lambda pattern: F.size(F.filter(words, lambda w: w.rlike(pattern))) / n
-    wanted = F.greatest(F.lit(1), F.ceil(n * 0.6))
-    kinds = F.size(F.array_distinct(F.transform(words, core)))
-    # Counting distinct words stops once enough are seen.
-    diversity = F.least(kinds, wanted) / n
-    score = (
-        F.when((F.col("k") == 0) | (F.col("k") == F.col("n") - 1), EDGE).otherwise(0.0)
-        + F.when(n.between(*IDEAL_WORDS), IDEAL).otherwise(0.0)
-        + count(r"\p{N}") * NUMERIC
-        + F.size(F.filter(words, lambda w: (F.octet_length(w) > 1) & w.rlike(r"^\p{Lu}+$"))) / n * CAPITAL
-        + F.size(F.filter(words, lambda w: F.octet_length(w) > LONG_BYTES)) / n * LONG
-        + F.regexp_count(s, F.lit(r"[!-/:-@\[-`{-~]")) / F.octet_length(s) * MARKS
-        + diversity * DIVERSITY
-        + entropy(s) * ENTROPY
-    )
-    return split.select(key, "k", "sentence", "n", F.round(score, 6).alias("score"))
+
+    def score(words: Column) -> Column:
+        n = F.size(words)
+        share = lambda keep: F.size(F.filter(words, keep)) / n
+        # Counting distinct words stops once enough are seen.
+        kinds = F.least(F.size(F.array_distinct(F.transform(words, core))), F.greatest(F.lit(1), F.ceil(n * 0.6)))
+        return (
+            F.when((F.col("k") == 0) | (F.col("k") == F.col("n") - 1), EDGE).otherwise(0.0)
+            + F.when(n.between(*IDEAL_WORDS), IDEAL).otherwise(0.0)
+            + share(lambda w: w.rlike(r"\p{N}")) * NUMERIC
+            + share(lambda w: (F.octet_length(w) > 1) & w.rlike(r"^\p{Lu}+$")) * CAPITAL
+            + share(lambda w: F.octet_length(w) > LONG_BYTES) * LONG
+            + F.regexp_count(s, F.lit(r"[!-/:-@\[-`{-~]")) / F.octet_length(s) * MARKS
+            + kinds / n * DIVERSITY
+            + entropy(s) * ENTROPY
+        )
+
+    return split.select(key, "k", "sentence", "n", F.round(T.let(T.words(s), score), 6).alias("score"))
 
 
 def select_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,6 +33,12 @@ HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_TAG = r"(?s)<[^>]+>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: Catalyst would copy the expression
+    to each place that uses it, and evaluate every copy."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def replace_all(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(to))
 

@@ -24,5 +24,15 @@ class Registry:
         return add
 
 
+#: Tables whose rows are costly to work on.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer partitions than there are cores are dealt
+    out first. Large tables have more, and are read as they lie."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows

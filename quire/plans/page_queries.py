@@ -131,13 +131,13 @@ def sql_hits(e: str) -> str:
 
 @R.query("lang_detect_single", f"SELECT doc_id, CASE WHEN -b.s >= 0.05 THEN b.k END AS language, round(-b.s, 9) AS share FROM (SELECT doc_id, {sql_hits('text')} AS b FROM documents)")
 def lang_detect_single(spark, d):
-    code, share = language.detect(F.col("text"), 0.05)
-    return table(spark, d, "documents").select("doc_id", code.alias("language"), F.round(share, 9).alias("share"))
+    found = table(spark, d, "documents").select("doc_id", language.detect(F.col("text"), 0.05).alias("f"))
+    return found.select("doc_id", F.col("f.code").alias("language"), F.round("f.share", 9).alias("share"))
 
 
 @R.query("lang_vs_label", f"SELECT lang, language, count(*) AS n FROM (SELECT lang, ({sql_hits('text')}).k AS language FROM documents) GROUP BY lang, language")
 def lang_vs_label(spark, d):
-    return table(spark, d, "documents").groupBy("lang", language.detect(F.col("text"), 0.0)[0].alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").groupBy("lang", language.detect(F.col("text"), 0.0)["code"].alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.query("lang_detect_multiple", f"""WITH t AS (SELECT doc_id, substring(text, i * 200 + 1, 200) AS tile FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 200 + 1)) AS i FROM documents WHERE trim(text) <> '')),
