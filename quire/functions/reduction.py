@@ -174,3 +174,36 @@ def statistics(before: Column, after: Column) -> list[Column]:
     wb, wa = T.word_count(before), T.word_count(after)
     ratio = lambda a, b: F.when(b > 0, 1.0 - a / b).otherwise(0.0)
     return [ratio(ca, cb).alias("character_reduction"), ratio(wa, wb).alias("token_reduction"), cb.alias("original_characters"), ca.alias("reduced_characters"), wb.alias("original_tokens"), wa.alias("reduced_tokens")]
+
+
+MARKDOWN_LINE = r"^\s*(#{1,6}\s|[-*+]\s|[0-9]+\.\s|\|)"
+
+
+def moderate_markdown(text: Column, stopwords: list[str]) -> Column:
+    """Stop words removed line by line, but not in fenced code, headings, lists and tables."""
+    line = lambda x: F.when(x.rlike(MARKDOWN_LINE) | (F.trim(x) == ""), x).otherwise(remove_stopwords(x, stopwords))
+    prose = lambda part: F.array_join(F.transform(F.split(light(part), "\n"), line), "\n")
+    return F.array_join(F.transform(F.split(text, "```"), lambda part, i: F.when(i % 2 == 1, part).otherwise(prose(part))), "```")
+
+
+LEVELS = ("off", "light", "moderate", "aggressive", "maximum")
+
+
+def reduce_tokens(docs: DataFrame, level: str, stopwords: list[str], hypernym_target: float | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, reduced): each level does what the one before does, then more: light,
+    stop words, then common words, sentence selection and the semantic filter,
+    at last hypernyms if a target is given. Unknown levels are moderate."""
+    level = level if level in LEVELS else "moderate"
+    depth = LEVELS.index(level)
+    if depth == 0:
+        return docs.select(key, F.col("text").alias("reduced"))
+    # Moderate cleans twice, once by itself and once for light.
+    text = light(F.col("text")) if depth == 1 else moderate(light(F.col("text")), stopwords)
+    out = docs.select(key, text.alias("text"))
+    if depth >= 3:
+        out = remove_common_words(out, key).withColumnRenamed("reduced", "text")
+        out = select_sentences(out, key).withColumnRenamed("selected", "text")
+        out = semantic_filter(out, THRESHOLD, key).withColumnRenamed("filtered", "text")
+    if depth == 4 and hypernym_target is not None:
+        out = hypernyms_to_target(out, hypernym_target, key).withColumnRenamed("compressed", "text")
+    return out.select(key, F.col("text").alias("reduced"))

@@ -215,3 +215,34 @@ def smart_dpi(width: Column, height: Column, target: int, most_pixels: int, memo
     by = lambda pixels: F.least(*[F.when(x > 0, F.round(pixels / x)).otherwise(F.lit(float(target))) for x in (w, h)])
     large = F.greatest(F.round(w * target), F.round(h * target)) > most_pixels
     return F.greatest(F.lit(LEAST_DPI), F.least(F.lit(target), by(float(side)).cast("int"), F.when(large, by(float(most_pixels)).cast("int")).otherwise(target)))
+
+
+def box_edges(boxes: DataFrame, page: str, prefix: str) -> DataFrame:
+    """The four sides of each box as edges (orientation, place, low, high)."""
+    x0, y0, x1, y1 = box(prefix)
+    side = lambda o, p, a, b: F.struct(F.lit(o).alias("orientation"), p.alias("place"), a.alias("low"), b.alias("high"))
+    return boxes.select(page, F.explode(F.array(side("h", y0, x0, x1), side("h", y1, x0, x1), side("v", x0, y0, y1), side("v", x1, y0, y1))).alias("e")).select(page, "e.*")
+
+
+def filter_edges(edges: DataFrame, least: float, orientation: str | None = None) -> DataFrame:
+    kept = edges.where(F.col("high") - F.col("low") >= least)
+    return kept.where(F.col("orientation") == orientation) if orientation else kept
+
+
+def clip_edges(edges: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Edges cut to a region; those outside go."""
+    across = F.when(F.col("orientation") == "h", F.struct(F.lit(y0).alias("a"), F.lit(y1).alias("b"), F.lit(x0).alias("c"), F.lit(x1).alias("d"))).otherwise(F.struct(F.lit(x0).alias("a"), F.lit(x1).alias("b"), F.lit(y0).alias("c"), F.lit(y1).alias("d")))
+    cut = edges.withColumn("_r", across).where(F.col("place").between(F.col("_r.a"), F.col("_r.b")))
+    return cut.withColumn("low", F.greatest("low", F.col("_r.c"))).withColumn("high", F.least("high", F.col("_r.d"))).where("low < high").drop("_r")
+
+
+def edges_of_words(words: DataFrame, page: str, least: int = 3, tolerance: float = TOLERANCE) -> DataFrame:
+    """Vertical edges where the left sides (x0) of at least ``least`` words line up."""
+    clustered = gap_clusters(words, [page], "x0", tolerance)
+    return clustered.groupBy(page, "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("place"), F.min("y0").alias("low"), F.max("y1").alias("high")).where(F.col("n") >= least).select(page, F.lit("v").alias("orientation"), "place", "low", "high")
+
+
+def nearest_centre(blocks: DataFrame, size: str, centres: list[float]) -> DataFrame:
+    """Adds centre: the nearest of a given list, the first of equally near ones."""
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col(size) - c).alias("d"), F.lit(i).alias("i"), F.lit(float(c)).alias("c")) for i, c in enumerate(centres)]))
+    return blocks.withColumn("centre", near["c"])

@@ -164,3 +164,25 @@ def parse_markdown_table(text: Column) -> Column:
 def as_format(text: Column, kind: Column) -> Column:
     """The output format of a text: HTML escapes it inside pre, others leave it."""
     return F.when(kind == "html", F.concat(F.lit("<pre>"), T.escape_html(text), F.lit("</pre>"))).otherwise(text)
+
+
+def page_elements(texts: DataFrame, tables: DataFrame, images: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, page_number, element_index, kind, text) of paged documents: on each page
+    headings, tables, images, then the text's elements, and a page break after each but the last.
+
+    texts: (key, page_number, text); tables: (key, page_number, k, cells); images:
+    (key, page_number, k, format, width, height); heads: (key, page_number, k, level, text).
+    """
+    cols = lambda step, k, kind, text: (key, "page_number", F.lit(step).alias("step"), k.cast("long").alias("k"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind, text.alias("text"))
+    titles = heads.where(F.col("level").rlike("^h[1-6]$")).select(*cols(0, F.col("k"), "Title", F.col("text")))
+    grids = tables.select(*cols(1, F.col("k"), "Table", cells_as_text(F.col("cells"))))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    shown = F.concat(F.lit("Image: "), "format", F.lit(" ("), number("width"), F.lit("x"), number("height"), F.lit(")"))
+    pictures = images.select(*cols(2, F.col("k"), "Image", shown))
+    paged = texts.withColumn("_unit", F.concat(F.col(key).cast("string"), F.lit(":"), F.col("page_number").cast("string")))
+    body = elements(paged, "_unit").join(paged.select("_unit", F.col(key), F.col("page_number").alias("_p")), "_unit").select(key, F.col("_p").alias("page_number"), F.lit(3).alias("step"), F.col("element_index").cast("long").alias("k"), "kind", "text")
+    last = F.max("page_number").over(Window.partitionBy(key))
+    breaks = texts.select(key, "page_number", with_page_breaks(F.col("page_number"), last).alias("text")).where("text IS NOT NULL").select(*cols(4, F.lit(0), "PageBreak", F.col("text")))
+    every = titles.unionByName(grids).unionByName(pictures).unionByName(body).unionByName(breaks)
+    index = F.row_number().over(Window.partitionBy(key).orderBy("page_number", "step", "k")) - 1
+    return every.select(key, "page_number", index.alias("element_index"), "kind", "text")

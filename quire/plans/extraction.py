@@ -7,10 +7,14 @@ an error is a value of its row, and rows keep their ordinal.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import json
+import tomllib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from quire.functions import language as L
 from quire.functions import text as T
 from quire.operators import chunking
 from quire.sources import formats, mime
+from quire.sources.structured import flat_yaml
 
 RECORD = "ordinal long, path string, mime_type string, content string, metadata map<string,string>, tables array<array<array<string>>>, error struct<kind:string,message:string>, warnings array<struct<source:string,message:string>>"
 STAGES = ("early", "middle", "late")
@@ -64,6 +69,32 @@ class Config:
         return replace(cls(), **{k: tuple(v) if isinstance(v, list) else v for k, v in options.items()}).checked()
 
 
+    @classmethod
+    def load(cls, path: str | Path) -> Config:
+        """From a TOML, JSON or YAML file, by its extension."""
+        text, kind = Path(path).read_text(), Path(path).suffix.lower()
+        readers = {".toml": tomllib.loads, ".json": json.loads, ".yaml": flat_yaml, ".yml": flat_yaml}
+        if kind not in readers:
+            raise ValueError(f"no configuration reader of {kind!r}")
+        return cls.of(readers[kind](text))
+
+    @classmethod
+    def discover(cls, start: str | Path, name: str = "quire.toml") -> Config | None:
+        """The nearest file of that name in a folder or those above it."""
+        folder = Path(start).resolve()
+        found = next((f / name for f in (folder, *folder.parents) if (f / name).is_file()), None)
+        return cls.load(found) if found else None
+
+    def with_environment(self, environ: Mapping[str, str], prefix: str = "QUIRE_") -> Config:
+        """Overridden by QUIRE_<OPTION> variables, read as the option's type."""
+        new = {}
+        for name, f in self.__dataclass_fields__.items():
+            if (raw := environ.get(prefix + name.upper())) is not None:
+                kind = str(f.type)
+                new[name] = raw.lower() in ("1", "true", "yes") if kind == "bool" else float(raw) if kind == "float" else int(raw) if kind.startswith("int") else tuple(raw.split(",")) if kind.startswith("tuple") else raw
+        return replace(self, **new).checked()
+
+
 Transform = Callable[[DataFrame, Config], DataFrame]
 
 
@@ -197,3 +228,27 @@ def record_keywords(records: DataFrame, config: Config) -> DataFrame:
 def split_errors(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad): the batch contract's two sides."""
     return records.where("error IS NULL"), records.where("error IS NOT NULL")
+
+
+def cached(files: DataFrame, cache: str, config: Config | None = None, plugins: Plugins | None = None) -> DataFrame:
+    """extract() through a content-addressed Parquet cache: files whose bytes, type
+    and configuration were seen before are read from it, others are extracted
+    once each and added. Rows come back with their own paths."""
+    spark, config = files.sparkSession, (config or Config()).checked()
+    given = F.col("mime_type") if "mime_type" in files.columns else F.lit(None).cast("string")
+    keyed = files.withColumn("key", F.sha2(F.concat_ws("|", F.sha2(F.coalesce("data", F.lit("").cast("binary")), 256), F.coalesce(given, mime.of_path(F.col("path")), F.lit("")), F.lit(repr(config))), 256))
+    # The extension may matter to the reader, so one path stands for each key.
+    known = _cache_rows(spark, cache)
+    new = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
+    once = new.groupBy("key").agg(F.min_by(F.struct(*files.columns), F.col("path")).alias("f")).select("key", "f.*")
+    done = extract(once, config, plugins).join(once.select("key", "path"), "path").drop("ordinal", "path")
+    done.write.mode("append").parquet(cache)
+    rows = spark.read.parquet(cache)
+    return keyed.select("key", "path", F.xxhash64("path").alias("ordinal")).join(rows.dropDuplicates(["key"]), "key").drop("key")
+
+
+def _cache_rows(spark: SparkSession, cache: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(cache)
+    except AnalysisException:
+        return None  # nothing cached yet

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import html as H
@@ -312,3 +313,50 @@ def _dpi_side(pixels: str) -> str:
 FROM (SELECT p_partkey AS k, p_size * 40 / 72.0 AS w, p_retailprice / 72.0 AS h FROM part)""")
 def smart_dpi(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), G.smart_dpi(F.col("p_size") * 40.0, F.col("p_retailprice"), 300, 4096).alias("dpi"))
+
+
+SIDES = """s AS (SELECT k % 50 AS page, unnest([{'o': 'h', 'p': a_y0, 'l': a_x0, 'h': a_x1}, {'o': 'h', 'p': a_y1, 'l': a_x0, 'h': a_x1}, {'o': 'v', 'p': a_x0, 'l': a_y0, 'h': a_y1}, {'o': 'v', 'p': a_x1, 'l': a_y0, 'h': a_y1}]) AS e FROM b)"""
+
+
+@R.query("box_edges", f"""WITH {BOXES}, {SIDES}, c AS (SELECT page, e.o AS orientation, e.p AS place, greatest(e.l, CASE WHEN e.o = 'h' THEN 2.0 ELSE 1.0 END) AS low, least(e.h, CASE WHEN e.o = 'h' THEN 15.0 ELSE 9.0 END) AS high FROM s WHERE e.h - e.l >= 4 AND e.p BETWEEN CASE WHEN e.o = 'h' THEN 1.0 ELSE 2.0 END AND CASE WHEN e.o = 'h' THEN 9.0 ELSE 15.0 END)
+SELECT * FROM c WHERE low < high""")
+def box_edges(spark, d):
+    """Sides of boxes, the short ones left out, the others cut to a region."""
+    sides = G.box_edges(_boxes(spark, d).withColumn("page", F.col("k") % 50), "page", "a")
+    return G.clip_edges(G.filter_edges(sides, 4.0), 2.0, 1.0, 15.0, 9.0)
+
+
+@R.query("edges_of_words", f"""WITH {BOXES}, s AS (SELECT k % 50 AS page, a_x0 * 5 AS x0, a_y0, a_y1 FROM b), g AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 3 THEN 1 ELSE 0 END AS s FROM s),
+c AS (SELECT *, sum(s) OVER (PARTITION BY page ORDER BY x0) AS c FROM g) SELECT page, 'v' AS orientation, min(x0) AS place, min(a_y0) AS low, max(a_y1) AS high FROM c GROUP BY page, c HAVING count(*) >= 3""")
+def edges_of_words(spark, d):
+    words = _boxes(spark, d).select((F.col("k") % 50).alias("page"), (F.col("a_x0") * 5).alias("x0"), F.col("a_y0").alias("y0"), F.col("a_y1").alias("y1"))
+    return G.edges_of_words(words, "page")
+
+
+@R.query("nearest_centre", "SELECT p_partkey, CAST([10.0, 24.0, 40.0][list_position(list_transform([10.0, 24.0, 40.0], lambda c: abs(p_size - c)), list_min(list_transform([10.0, 24.0, 40.0], lambda c: abs(p_size - c))))] AS DOUBLE) AS centre FROM part")
+def nearest_centre(spark, d):
+    return G.nearest_centre(table(spark, d, "part"), "p_size", [10.0, 24.0, 40.0]).select("p_partkey", "centre")
+
+
+MD_LINKS = r"\[([^\]]+)\]\(([^)]+)\)"
+
+
+@R.query("markdown_links", f"""SELECT doc_id, unnest(regexp_extract_all(t, '{MD_LINKS}', 1)) AS label, unnest(regexp_extract_all(t, '{MD_LINKS}', 2)) AS target FROM (SELECT doc_id, left(text, 50) || ' [a ' || doc_id || '](http://x/' || doc_id || ') and [b](#c)' AS t FROM documents)""")
+def markdown_links(spark, d):
+    t = F.concat(F.left("text", F.lit(50)), F.lit(" [a "), F.col("doc_id").cast("string"), F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") and [b](#c)"))
+    both = F.arrays_zip(F.regexp_extract_all(t, F.lit(MD_LINKS), F.lit(1)).alias("label"), F.regexp_extract_all(t, F.lit(MD_LINKS), F.lit(2)).alias("target"))
+    return table(spark, d, "documents").select("doc_id", F.explode(both).alias("x")).select("doc_id", F.col("x.label").alias("label"), F.col("x.target").alias("target"))
+
+
+@R.query("csv_delimiters", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN '|' ELSE ';' END AS delimiter, 2 AS n_rows FROM nation")
+def csv_delimiters(spark, d):
+    from quire.sources.formats import csv_rows, delimiter_of
+
+    @F.pandas_udf("struct<delimiter:string, n_rows:int>")
+    def sniff(texts: pd.Series) -> pd.DataFrame:
+        found = [delimiter_of(t) for t in texts]
+        return pd.DataFrame({"delimiter": found, "n_rows": [len(csv_rows(t, x)) for t, x in zip(texts, found, strict=True)]}).astype({"n_rows": "int32"})
+
+    sep = F.element_at(F.array(*[F.lit(x) for x in ",\t|;"]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("name"), sep, F.lit("key\n"), "n_name", sep, F.col("n_nationkey").cast("string"), F.lit("\n"), sep, F.lit("\n"))
+    return table(spark, d, "nation").select("n_nationkey", sniff(text).alias("s")).select("n_nationkey", "s.*")

@@ -126,3 +126,25 @@ def important_forms(spark, d):
     from quire.functions.text import words
 
     return _docs(spark, d).select("doc_id", F.size(F.filter(words(F.col("text")), X.has_important_form)).alias("n_important"))
+
+
+MD = ["# The Title of it", "- the item", "plain is the text of it", "```", "the code is here", "```", "| the | cell |", "more of the text"]
+MD_SQL = " || chr(10) || ".join(f"'{x}'" for x in MD)
+_line = f"CASE WHEN regexp_matches(x, '{X.MARKDOWN_LINE}') OR trim(x) = '' THEN x ELSE array_to_string(list_filter({sql_words('x')}, lambda w: {KEEP}), ' ') END"
+_part = f"array_to_string(list_transform(string_split({LIGHT.replace('(text,', '(p,')}, chr(10)), lambda x: {_line}), chr(10))"
+
+
+@R.query("reduce_markdown", f"SELECT doc_id, array_to_string(list_transform(string_split(left(text, 300) || chr(10) || {MD_SQL}, '```'), lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {_part} END), '```') AS reduced FROM documents")
+def reduce_markdown(spark, d):
+    text = F.concat(F.left("text", F.lit(300)), F.lit("\n" + "\n".join(MD)))
+    return table(spark, d, "documents").select("doc_id", X.moderate_markdown(text, X.STOPWORDS["en"]).alias("reduced"))
+
+
+@R.query("reduce_aggressive")
+def reduce_aggressive(spark, d):
+    return X.reduce_tokens(_docs(spark, d, True), "aggressive", X.STOPWORDS["en"])
+
+
+@R.query("reduce_maximum")
+def reduce_maximum(spark, d):
+    return X.reduce_tokens(_docs(spark, d, True), "maximum", X.STOPWORDS["en"], 0.5)

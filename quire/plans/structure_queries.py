@@ -138,3 +138,19 @@ def parse_markdown_table(spark, d):
 def output_formats(spark, d):
     rows = table(spark, d, "pages").select("page_id", "html", F.explode(F.array(*[F.lit(k) for k in ("plain", "markdown", "html")])).alias("format"))
     return rows.select("page_id", "format", S.as_format(F.col("html"), F.col("format")).alias("content"))
+
+
+@R.query("page_elements", """WITH p AS (SELECT conv_id, CAST(turn + 1 AS INT) AS page_number, 'Said: ' || regexp_replace(text, '\\s+', ' ', 'g') AS text FROM conversations), m AS (SELECT *, max(page_number) OVER (PARTITION BY conv_id) AS last FROM p),
+e AS (SELECT conv_id, page_number, 0 AS step, 'Title' AS kind, 'Turn ' || page_number AS text FROM p UNION ALL SELECT conv_id, page_number, 1, 'Table', 'a' || chr(9) || page_number || chr(10) || 'b' FROM p WHERE page_number = 2
+  UNION ALL SELECT conv_id, page_number, 2, 'Image', 'Image: png (0x7)' FROM p WHERE page_number = 1 UNION ALL SELECT conv_id, page_number, 3, 'NarrativeText', regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM p
+  UNION ALL SELECT conv_id, page_number, 4, 'PageBreak', '--- PAGE BREAK (page ' || page_number || ' → ' || (page_number + 1) || ') ---' FROM m WHERE page_number < last)
+SELECT conv_id, page_number, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY page_number, step) - 1 AS INT) AS element_index, kind, text FROM e""")
+def page_elements(spark, d):
+    """Turns, as one paragraph each, stand for pages."""
+    said = F.concat(F.lit("Said: "), F.regexp_replace("text", r"\s+", " "))
+    p = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("page_number"), said.alias("text"))
+    n = F.col("page_number").cast("string")
+    heads = p.select("conv_id", "page_number", F.lit(0).alias("k"), F.lit("h2").alias("level"), F.concat(F.lit("Turn "), n).alias("text"))
+    tables = p.where("page_number = 2").select("conv_id", "page_number", F.lit(0).alias("k"), F.array(F.array(F.lit("a"), n), F.array(F.lit("b"))).alias("cells"))
+    images = p.where("page_number = 1").select("conv_id", "page_number", F.lit(0).alias("k"), F.lit("png").alias("format"), F.lit(None).cast("int").alias("width"), F.lit(7).alias("height"))
+    return S.page_elements(p, tables, images, heads, "conv_id")

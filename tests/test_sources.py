@@ -174,3 +174,25 @@ def test_literals_of_cleaning(spark):
         T.line_count(F.lit("")).alias("c"),
     ).first()
     assert tuple(row) == ("What? Really. Yes,", "Textwithcontrolchars", 0)
+
+
+def test_configuration_files_and_environment(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "quire.toml").write_text("chunk_size = 50\nlanguage = true\n")
+    found = X.Config.discover(tmp_path / "a" / "b")
+    assert found.chunk_size == 50 and found.language
+    assert X.Config.discover(tmp_path, "none.toml") is None
+    changed = found.with_environment({"QUIRE_QUALITY": "false", "QUIRE_CHUNK_SIZE": "70", "QUIRE_DISABLED": "a,b"})
+    assert not changed.quality and changed.chunk_size == 70 and changed.disabled == ("a", "b")
+    with pytest.raises(ValueError):
+        X.Config.load(tmp_path / "quire.toml").with_environment({"QUIRE_OUTPUT_FORMAT": "x"})
+
+
+def test_cache_extracts_once(spark, tmp_path):
+    calls = str(tmp_path / "cache")
+    files = spark.createDataFrame([("a.txt", b"one two"), ("b.txt", b"one two"), ("c.json", b"{")], "path string, data binary")
+    first = {r.path: r for r in X.cached(files, calls).collect()}
+    assert spark.read.parquet(calls).count() == 2
+    again = {r.path: r for r in X.cached(files.union(spark.createDataFrame([("d.txt", b"three")], files.schema)), calls).collect()}
+    assert spark.read.parquet(calls).count() == 3 and set(again) == {"a.txt", "b.txt", "c.json", "d.txt"}
+    assert first["a.txt"].content == again["b.txt"].content == "one two" and again["c.json"].error.kind == "Parsing"
