@@ -35,7 +35,7 @@ HEAD = 32768
 #: Distinct words, and byte strings, that a task counts before it hands them on.
 HELD_WORDS, HELD_GRAMS = 250_000, 1_000_000
 #: Bytes of text that a task takes up at a time.
-TAKEN = 4 << 20
+TAKEN = 2 << 20
 #: No word holds a line end, so this is the end token's spelling.
 END = b"\n"
 LOG10 = math.log10
