@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +75,26 @@ def sampled(rows: DataFrame, group: str, key: str, most: int, seed: int = 5) ->
     return kept.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(*rows.columns)
 
 
+def with_columns(docs: DataFrame, fields: list[tuple[str, DataType]], compute) -> DataFrame:
+    """``docs`` with columns of the given names and types, made by ``compute`` from
+    each Arrow batch's texts (null: '') as a list of value lists. Input columns of these names are
+    replaced; the others pass through Python untouched, nulls and large numbers too."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    names = [n for n, _ in fields]
+    kept = docs.select(*[c for c in docs.columns if c not in names])
+    out = StructType([*kept.schema.fields, *[StructField(n, t) for n, t in fields]])
+    kinds = [to_arrow_type(f.dataType) for f in out.fields[len(kept.columns) :]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = compute(b.column(b.num_columns - 1).to_pylist())
+            arrays = [*b.columns[:-1], *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    return kept.select(*kept.columns, F.coalesce(F.col("text"), F.lit("")).alias("_body")).mapInArrow(run, out)
+
+
 class WordCache:
     """Rows of numbers for words: evaluated once, kept while there is room."""
 

@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, small_batches, table, texts
+from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
 FOLDS = 5
 #: Bound on the texts of each language that a fit uses, chosen by a hash of the id.
@@ -134,30 +132,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     score 0. Ties go to the language that sorts first. Each row is judged on its
     own, so repeated rows and empty tables are nothing special.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = sent_to_workers(spark, model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_body"))
+    sent = sent_to_workers(docs.sparkSession, model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(batch: list[str]) -> list:
         known = kept_in_worker("language", sent, lambda m: m and (m, WordCache(m.of, len(m.languages) + 1)))
-        for rows in batches:
-            body = list(rows.pop("_body"))
-            if known:
-                sums, _ = known[1].sums([Counter(tokens_of(t)) for t in body])
-                n = sums[:, -1]
-                mean = sums[:, :-1] * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-                p = np.exp(mean - mean.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = p.argmax(axis=1)
-                rows["lang_pred"] = np.where(n > 0, np.array(known[0].languages, object)[best], NONE)
-                rows["score"] = np.where(n > 0, p[np.arange(len(p)), best], 0.0)
-            else:
-                rows["lang_pred"], rows["score"] = NONE, 0.0
-            yield rows
-
-    return source.mapInPandas(run, docs.select(*keep).schema.add("lang_pred", StringType()).add("score", DoubleType()))
+        if not known:
+            return [[NONE] * len(batch), [0.0] * len(batch)]
+        sums, _ = known[1].sums([Counter(tokens_of(t)) for t in batch])
+        n = sums[:, -1]
+        mean = sums[:, :-1] * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        return [[known[0].languages[k] if m else NONE for k, m in zip(best, n, strict=True)], np.where(n > 0, p[np.arange(len(p)), best], 0.0)]
+
+    return with_columns(docs, [("lang_pred", StringType()), ("score", DoubleType())], compute)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,14 @@ import math
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quire.llm.common import kept_in_worker, sampled, sent_to_workers, small_batches, table, texts
+from quire.llm.common import kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -326,25 +324,19 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     Each row is scanned on its own, so repeated rows and empty tables are
     nothing special.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = sent_to_workers(spark, field)
-    keep = [c for c in docs.columns if c != "spans"]
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_body"))
+    sent = sent_to_workers(docs.sparkSession, field)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(batch: list[str]) -> list:
         tagger = kept_in_worker("secrets", sent, lambda f: f and Tagger(f))
-        for rows in batches:
-            found = []
-            for text in rows.pop("_body"):
-                spans = base_spans(text)
-                if tagger:
-                    spans = sorted(spans + tagger.added(text, spans), key=lambda s: (s[1], KINDS.index(s[0])))
-                found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-            rows["spans"] = pd.Series(found, index=rows.index, dtype=object)
-            yield rows
-
-    return source.mapInPandas(run, docs.select(*keep).schema.add("spans", ArrayType(SPAN)))
+        found = []
+        for text in batch:
+            spans = base_spans(text)
+            if tagger:
+                spans = sorted(spans + tagger.added(text, spans), key=lambda s: (s[1], KINDS.index(s[0])))
+            found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
+        return [found]
+
+    return with_columns(docs, [("spans", ArrayType(SPAN))], compute)
 
 
 MARK = "[SECRET]"

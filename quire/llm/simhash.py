@@ -17,8 +17,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from quire.llm.common import small_batches, table, texts, written
+from quire.llm.common import table, texts, with_columns, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -51,13 +52,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of each row; fp as a signed long. Null texts count as empty."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": pd.Series([fingerprint(t) for t in rows["text"]], dtype="int64")})
-
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+    rows = texts(docs, id_col, text_col)
+    return with_columns(rows, [("fp", LongType())], lambda batch: [[fingerprint(t) for t in batch]]).select("doc_id", "fp")
 
 
 def shard_masks(n: int, radius: int = RADIUS, shard: int = SHARD) -> list[int]:
@@ -253,15 +249,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
         others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other"))
         return docs.join(others, F.col(id_col).cast("long") == F.col("_other"), "left_anti")
     # Ids don't tell rows apart, so each row gets its fingerprint.
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows["_fp"] = pd.Series([fingerprint(t or "") for t in rows[text_col]], index=rows.index, dtype="int64")
-            yield rows
-
     roots = found.groupBy(F.col("fp").alias("_fp")).agg(F.first("root").alias("_root"))
-    marked = docs.mapInPandas(run, docs.select("*").schema.add("_fp", "long")).join(roots, "_fp")
+    marked = with_columns(docs.withColumn("text", F.col(text_col)), [("_fp", LongType())], lambda batch: [[fingerprint(t) for t in batch]]).join(roots, "_fp")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     return marked.groupBy("_root").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
 

@@ -11,16 +11,14 @@ models haven't seen.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quire.llm.bytegrams import find, mask, positions, summed
-from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, small_batches, table, texts
+from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
 DEPTH = 5
 DISCOUNT = 0.75
@@ -159,24 +157,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     ''. Without labels of both classes every score is 0. Each row is scored on
     its own, so repeated rows and empty tables are nothing special.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = sent_to_workers(spark, fit(docs, labels, sample))
-    keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_body"))
+    model = sent_to_workers(docs.sparkSession, fit(docs, labels, sample))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(batch: list[str]) -> list:
         fitted = kept_in_worker("toxicity", model, lambda v: v and (WordCache(v[0].of, 1), v[1]))
-        for rows in batches:
-            if fitted:
-                x = features(*_sums(fitted[0], list(rows.pop("_body")))) @ fitted[1]
-                rows["score"] = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-            else:
-                del rows["_body"]
-                rows["score"] = 0.0
-            yield rows
+        if not fitted:
+            return [[0.0] * len(batch)]
+        x = features(*_sums(fitted[0], batch)) @ fitted[1]
+        return [1 / (1 + np.exp(-np.clip(x, -500, 500)))]
 
-    scored = source.mapInPandas(run, docs.select(*keep).schema.add("score", DoubleType()))
+    scored = with_columns(docs.select(*[c for c in docs.columns if c not in ("held_out", "predicted")]), [("score", DoubleType())], compute)
     return scored.withColumns({"held_out": fold(F.col("doc_id"), FOLDS) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
