@@ -470,3 +470,12 @@ def test_redaction(spark):
     got = {r.doc_id: r for r in secrets.redact(secrets.scan(table, None)).collect()}
     assert got[1].text == "é [SECRET] and [SECRET] end" and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[2].n_chars is None and got[3].text == "clean"
+
+
+def test_large_numbers_beside_nulls_stay_whole(spark):
+    big = (1 << 62) + 1
+    table = spark.createDataFrame([(big, "some text", None), (None, "other text", big), (big + 2, None, 3)], "doc_id long, text string, n_chars long")
+    want = sorted([(big, None), (None, big), (big + 2, 3)], key=str)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (toxicity.score(table, none), secrets.scan(table, None), language.identify(table, None), simhash.keep_one(table)):
+        assert sorted(((r.doc_id, r.n_chars) for r in out.collect()), key=str) == want
