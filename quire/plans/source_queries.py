@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quire.functions import decoding
 from quire.plans import extraction as X
 from quire.plans.base import Registry, table
 from quire.plans.text_queries import sql_quality, sql_words
@@ -61,3 +62,15 @@ def stream_metrics(spark, d):
     query = stream.measured(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+@R.query("decode_latin", "SELECT doc_id, text AS decoded FROM documents WHERE regexp_full_match(text, '(?s)[\\x20-\\x7e\\n\\xa1-\\xff]*') AND NOT regexp_full_match(text, '(?s)[\\x00-\\x7f]*') AND doc_id % 2 = 0")
+def decode_latin(spark, d):
+    """Latin texts as ISO-8859-1 bytes, decoded by their label."""
+    docs = table(spark, d, "documents").where("doc_id % 2 = 0").where(F.col("text").rlike(r"(?s)^[\x20-\x7e\n\xa1-\xff]*$") & ~F.col("text").rlike(r"(?s)^[\x00-\x7f]*$"))
+    return docs.select("doc_id", decoding.safe_decode(F.encode("text", "iso-8859-1"), F.lit("iso-8859-1")).alias("decoded"))
+
+
+@R.query("collapse_scattered", "SELECT doc_id, 'Total: headline 5' AS collapsed FROM documents")
+def collapse_scattered(spark, d):
+    return table(spark, d, "documents").select("doc_id", decoding.collapse_scattered(F.lit("Total: H e a d l i n e 5")).alias("collapsed"))

@@ -11,6 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import decoding as D
 from quire.functions import text as T
 from quire.operators import chunking
 from quire.plans import extraction as X
@@ -196,3 +197,11 @@ def test_cache_extracts_once(spark, tmp_path):
     again = {r.path: r for r in X.cached(files.union(spark.createDataFrame([("d.txt", b"three")], files.schema)), calls).collect()}
     assert spark.read.parquet(calls).count() == 3 and set(again) == {"a.txt", "b.txt", "c.json", "d.txt"}
     assert first["a.txt"].content == again["b.txt"].content == "one two" and again["c.json"].error.kind == "Parsing"
+
+
+def test_decoding_and_scattered_letters():
+    assert D.decode("é".encode()) == "é" and D.decode("naïve".encode("cp1252"), "cp1252") == "naïve"
+    assert D.decode(b"\xff\xfea\x00") == "a" and D.decode(None) is None and D.decode(b"a\x00b", "no-such") == "ab"
+    assert D.decode("plain text with caf\xe9".encode("latin-1")).startswith("plain text with caf")
+    assert D.collapse("T e x t") == "text " and D.collapse("A B") == "A B" and D.collapse("normal words here") == "normal words here"
+    assert D.collapse("é a b c") == "é a b c" and D.collapse(None) is None and D.collapse("see  A  B  C.") == "seeabc ."
