@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quire.llm.bytegrams import find, mask, positions, summed
+from quire.llm.bytegrams import find, mask, positions
 from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
 DEPTH = 5
@@ -39,21 +39,38 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+#: Words whose bytes are laid out at a time.
+LAID_OUT = 50_000
+
+
+def _pairs(words: list[bytes], counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, symbol, times): distinct pairs of the greatest depth, and how often
+    each class has them. Shallower pairs follow from these."""
+    found, sums = np.zeros(0, np.uint64), np.zeros((2, 0))
+    for at in range(0, len(words), LAID_OUT):
+        context, symbol, word = positions(words[at : at + LAID_OUT])
+        keys, of = np.unique(((context & mask(depth)) << np.uint64(8)) | symbol.astype(np.uint64), return_inverse=True)
+        new = np.stack([np.bincount(of, counts[c, at : at + LAID_OUT][word], len(keys)) for c in (0, 1)])
+        found, of = np.unique(np.concatenate((found, keys)), return_inverse=True)
+        sums = np.stack([np.bincount(of, np.concatenate((sums[c], new[c])), len(found)) for c in (0, 1)])
+    return found >> np.uint64(8), (found & np.uint64(255)).astype(np.uint8), sums
+
+
 class Ratio:
     """log P(word | toxic) - log P(word | ordinary), by backoff tables."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, depth: int = DEPTH, discount: float = DISCOUNT):
         """counts: two rows, ordinary and toxic, with a column for each word."""
-        context, symbol, word = positions(words)
+        context, symbol, times = _pairs(words, counts, depth)
         self.depth = depth
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        logs: np.ndarray | None = None  # of each position, for both classes, at the depth below
+        logs: np.ndarray | None = None  # of each deepest pair, for both classes, at the depth below
         for d in range(depth + 1):
             pair = ((context & mask(d)) << np.uint64(8)) | symbol.astype(np.uint64)
             keys, at = np.unique(pair, return_inverse=True)
             owner, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-            both = np.stack([np.bincount(at, counts[c][word], len(keys)) for c in (0, 1)])
+            both = np.stack([np.bincount(at, times[c], len(keys)) for c in (0, 1)])
             if d == 0:
                 # Shared by the classes: in how many contexts a byte follows.
                 seen = ((context & mask(1)) << np.uint64(8)) | symbol.astype(np.uint64)
