@@ -16,7 +16,7 @@ DOCS = f"(SELECT doc_id, left(text, 400) || {TAIL_SQL} AS text FROM documents)"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(400)), F.lit("\n".join(LINES))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n".join(LINES))).alias("text"))
 
 
 MARKED = f"""a AS (SELECT doc_id, {sql_lines('text')} AS ls FROM {DOCS}), b AS (SELECT doc_id, unnest(ls) AS line, CAST(unnest(range(len(ls))) AS INT) AS k FROM a),
@@ -66,7 +66,7 @@ MIX = f"((({hash31('kind')} * 65599 + {hash31('text')}) % {BIG}) * 65599 + {hash
 
 @R.query("element_ids", f"WITH {BLOCKS}, h AS (SELECT doc_id, element_index, {MIX} AS h FROM el WHERE length(text) < 60) SELECT doc_id, element_index, 'elem-' || ltrim({HEXED.format(h='h')}, '0') AS element_id FROM h")
 def element_ids(spark, d):
-    return S.elements(_docs(spark, d)).where(F.char_length("text") < 60).select("doc_id", "element_index", "element_id")
+    return S.elements(_docs(spark, d)).select("doc_id", "element_index", "element_id")
 
 
 HEADS = f"""{MARKED}, f AS (SELECT *, sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY k) % 2 AS inside FROM m),
