@@ -179,9 +179,7 @@ CUT = "(CASE WHEN doc_id % 3 = 0 THEN left(text, CAST(doc_id % 90 AS INT)) ELSE
 
 @R.query("ocr_fallback", f"SELECT doc_id, {sql_needs(CUT, 'CAST(1 + doc_id % 7 AS DOUBLE)')} AS fallback FROM documents")
 def ocr_fallback(spark, d):
-    k = F.col("doc_id")
-    text = F.when(k % 3 == 0, F.left("text", (k % 90).cast("int"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", ocr.needs_ocr(text, (1 + k % 7)).alias("fallback"))
+    return table(spark, d, "documents").select("doc_id", ocr.needs_ocr(F.col("text"), (1 + F.col("doc_id") % 7)).alias("fallback"))
 
 
 @R.query("ocr_fallback_by_page", f"SELECT conv_id, bool_or({sql_needs('text', '1.0')}) AS fallback FROM conversations GROUP BY conv_id")
@@ -343,7 +341,7 @@ MD_LINKS = r"\[([^\]]+)\]\(([^)]+)\)"
 
 @R.query("markdown_links", f"""SELECT doc_id, unnest(regexp_extract_all(t, '{MD_LINKS}', 1)) AS label, unnest(regexp_extract_all(t, '{MD_LINKS}', 2)) AS target FROM (SELECT doc_id, left(text, 50) || ' [a ' || doc_id || '](http://x/' || doc_id || ') and [b](#c)' AS t FROM documents)""")
 def markdown_links(spark, d):
-    t = F.concat(F.left("text", F.lit(50)), F.lit(" [a "), F.col("doc_id").cast("string"), F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") and [b](#c)"))
+    t = F.concat("text", F.lit(" [a "), F.col("doc_id").cast("string"), F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") and [b](#c)"))
     both = F.arrays_zip(F.regexp_extract_all(t, F.lit(MD_LINKS), F.lit(1)).alias("label"), F.regexp_extract_all(t, F.lit(MD_LINKS), F.lit(2)).alias("target"))
     return table(spark, d, "documents").select("doc_id", F.explode(both).alias("x")).select("doc_id", F.col("x.label").alias("label"), F.col("x.target").alias("target"))
 

@@ -15,9 +15,8 @@ DOCS = f"(SELECT doc_id, lang, text || '{SUFFIX}' AS text FROM documents)"
 SHORT = f"(SELECT doc_id, lang, left(text, 600) || '{SUFFIX}' AS text FROM documents)"
 
 
-def _docs(spark, d, short=False):
-    text = F.left("text", F.lit(600)) if short else F.col("text")
-    return table(spark, d, "documents").select("doc_id", "lang", F.concat(text, F.lit(SUFFIX)).alias("text"))
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", F.concat("text", F.lit(SUFFIX)).alias("text"))
 
 
 LIGHT = sub(sub(sub(sub("text", r"([!?.,])[!?.,]+", r"\1"), r"(?s)<!--.*?-->", ""), " {2,}", " "), r"\n{3,}", "@@").replace("'@@'", "chr(10) || chr(10)")
@@ -70,18 +69,18 @@ sc AS (SELECT doc_id, k, sentence, n, round(CASE WHEN k = 0 OR k = n - 1 THEN 0.
 
 @R.query("sentence_scores", f"WITH {SCORED} SELECT doc_id, k, score FROM sc")
 def sentence_scores(spark, d):
-    return X.scored_sentences(_docs(spark, d, True)).select("doc_id", "k", "score")
+    return X.scored_sentences(_docs(spark, d)).select("doc_id", "k", "score")
 
 
 @R.query("sentence_select", f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS r FROM sc),
 x AS (SELECT doc_id, string_agg(sentence, '. ' ORDER BY k) AS best FROM r WHERE n > 2 AND r <= ceil(n * 0.4) GROUP BY doc_id) SELECT a.doc_id, coalesce(best, a.text) AS selected FROM a LEFT JOIN x USING (doc_id)""")
 def sentence_select(spark, d):
-    return X.select_sentences(_docs(spark, d, True))
+    return X.select_sentences(_docs(spark, d))
 
 
 @R.query("char_entropy", f"SELECT doc_id, round({ENTROPY.replace('sentence', 'text')}, 6) AS entropy FROM {SHORT}")
 def char_entropy(spark, d):
-    return _docs(spark, d, True).select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
+    return _docs(spark, d).select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
 
 
 BARE = "lower(regexp_replace(word, '[^\\p{L}\\p{N}]', '', 'g'))"
@@ -95,12 +94,12 @@ ws AS (SELECT doc_id, k, word, n, c, round(coalesce(CASE c {' '.join(f"WHEN '{w}
 
 @R.query("word_importance", f"WITH {WORDS} SELECT doc_id, k, importance FROM ws")
 def word_importance(spark, d):
-    return X.scored_words(_docs(spark, d, True)).select("doc_id", "k", "importance")
+    return X.scored_words(_docs(spark, d)).select("doc_id", "k", "importance")
 
 
 @R.query("semantic_filter", f"WITH {WORDS} SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (importance >= 0.3), '') AS filtered FROM ws GROUP BY doc_id")
 def semantic_filter(spark, d):
-    return X.semantic_filter(_docs(spark, d, True))
+    return X.semantic_filter(_docs(spark, d))
 
 
 HYPER = "CASE {b} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.HYPERNYMS.items()) + " ELSE {w} END"
@@ -113,12 +112,12 @@ def hypernyms(spark, d):
 
 @R.query("hypernyms_to_target", f"WITH {WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, k) AS r FROM ws) SELECT doc_id, string_agg(CASE WHEN r > floor(0.5 * n) THEN {HYPER.replace('{b}', 'c').replace('{w}', 'word')} ELSE word END, ' ' ORDER BY k) AS compressed FROM r GROUP BY doc_id")
 def hypernyms_to_target(spark, d):
-    return X.hypernyms_to_target(_docs(spark, d, True), 0.5)
+    return X.hypernyms_to_target(_docs(spark, d), 0.5)
 
 
 @R.query("cjk_tokens", f"""SELECT doc_id, array_to_string(flatten(list_transform({sql_words("(left(text, 80) || ' 数据分析 自然语言x ok')")}, lambda w: CASE WHEN regexp_matches(w, '[\\x{{4e00}}-\\x{{9fff}}]') THEN regexp_extract_all(w, '.{{1,2}}') ELSE [w] END)), '|') AS tokens FROM documents""")
 def cjk_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.cjk_tokens(F.concat(F.left("text", F.lit(80)), F.lit(" 数据分析 自然语言x ok"))), "|").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.cjk_tokens(F.concat("text", F.lit(" 数据分析 自然语言x ok"))), "|").alias("tokens"))
 
 
 @R.query("important_forms", f"SELECT doc_id, CAST(len(list_filter({sql_words('text')}, lambda w: {FORM})) AS INT) AS n_important FROM {DOCS}")
@@ -136,15 +135,15 @@ _part = f"array_to_string(list_transform(string_split({LIGHT.replace('(text,', '
 
 @R.query("reduce_markdown", f"SELECT doc_id, array_to_string(list_transform(string_split(left(text, 300) || chr(10) || {MD_SQL}, '```'), lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {_part} END), '```') AS reduced FROM documents")
 def reduce_markdown(spark, d):
-    text = F.concat(F.left("text", F.lit(300)), F.lit("\n" + "\n".join(MD)))
+    text = F.concat("text", F.lit("\n" + "\n".join(MD)))
     return table(spark, d, "documents").select("doc_id", X.moderate_markdown(text, X.STOPWORDS["en"]).alias("reduced"))
 
 
 @R.query("reduce_aggressive")
 def reduce_aggressive(spark, d):
-    return X.reduce_tokens(_docs(spark, d, True), "aggressive", X.STOPWORDS["en"])
+    return X.reduce_tokens(_docs(spark, d), "aggressive", X.STOPWORDS["en"])
 
 
 @R.query("reduce_maximum")
 def reduce_maximum(spark, d):
-    return X.reduce_tokens(_docs(spark, d, True), "maximum", X.STOPWORDS["en"], 0.5)
+    return X.reduce_tokens(_docs(spark, d), "maximum", X.STOPWORDS["en"], 0.5)

@@ -151,8 +151,7 @@ def strip_control(spark, d):
 
 @R.query("blank_pages", f"SELECT doc_id, length({sub('(CASE WHEN doc_id % 5 = 0 THEN left(text, 2) ELSE text END)', r'\s+', '')}) < 3 AS is_blank FROM documents")
 def blank_pages(spark, d):
-    """A fifth of the texts is cut to two characters, so that some are blank."""
-    return table(spark, d, "documents").select("doc_id", T.is_blank_page(F.when(F.col("doc_id") % 5 == 0, F.left("text", F.lit(2))).otherwise(F.col("text"))).alias("is_blank"))
+    return table(spark, d, "documents").select("doc_id", T.is_blank_page(F.col("text")).alias("is_blank"))
 
 
 @R.query("utf8_boundaries", "SELECT doc_id, k AS byte_offset, coalesce((ord(substr(hex(encode(text)), 1, 1)) >= 0) AND substr(hex(encode(text)), 2 * k + 1, 1) IN ('8', '9', 'A', 'B'), FALSE) AS splits FROM documents, (SELECT unnest([0, 7, 50, 333]) AS k)")

@@ -10,7 +10,8 @@ from tests.test_queries import rows
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: What the SQL leaves out, and what stands there when nothing is left out.
-CUTS = {"left(text, 400)": "text", " WHERE length(text) < 60": ""}
+CUTS = {"left(text, 400)": "text", " WHERE length(text) < 60": "", "left(text, 600)": "text", "left(text, 300)": "text", "left(text, 80)": "text", "left(text, 50)": "text"}
+CUTS |= {"(CASE WHEN doc_id % 3 = 0 THEN left(text, CAST(doc_id % 90 AS INT)) ELSE text END)": "text", "(CASE WHEN doc_id % 5 = 0 THEN left(text, 2) ELSE text END)": "text"}
 PROSE = "Some words of a sentence that goes on. Data of the ANALYSIS, in 1999! "
 LONG = f"{PROSE * 12}\n\n- an item behind the cut, {'long ' * 20}\n* another\n\n{PROSE * 3}\n\n# Far heading\ntext\n## Below it\n{PROSE * 9}\n    deep in\n"
 
@@ -18,7 +19,7 @@ LONG = f"{PROSE * 12}\n\n- an item behind the cut, {'long ' * 20}\n* another\n\n
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("whole"))
-    docs = [(1, LONG, "en", "a", None), (2, LONG + LONG, "en", "b", None), (3, "short", "de", "a", None), (4, PROSE, "en", "b", None), (5, "", "en", "a", None)]
+    docs = [(1, LONG, "en", "a", None), (2, LONG + LONG, "en", "b", None), (3, "short", "de", "a", None), (4, PROSE, "en", "b", None), (5, "", "en", "a", None), (90, f"{PROSE * 9}[far](#away) 数据分析", "en", "a", None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
     return d
 
@@ -41,3 +42,15 @@ def agree(spark, folder, name, *tables):
 @pytest.mark.parametrize("name", ["list_items", "paragraphs", "elements", "element_ids", "headings", "tree_parents", "node_ids", "tree_faults", "strip_list_markers"])
 def test_structure_of_whole_texts(spark, folder, name):
     agree(spark, folder, name, "documents")
+
+
+@pytest.mark.parametrize("name", ["sentence_scores", "sentence_select", "char_entropy", "word_importance", "semantic_filter", "hypernyms_to_target", "cjk_tokens", "reduce_markdown", "markdown_links", "ocr_fallback", "blank_pages"])
+def test_measures_of_whole_texts(spark, folder, name):
+    agree(spark, folder, name, "documents")
+
+
+@pytest.mark.parametrize("name", ["reduce_aggressive", "reduce_maximum"])
+def test_reduction_reaches_the_end_of_a_text(spark, tmp_path, name):
+    text = PROSE * 12 + "The significant DATA2000 implementation."
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "DATA2000" in QUERIES[name](spark, str(tmp_path)).first().reduced
