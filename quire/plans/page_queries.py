@@ -244,7 +244,7 @@ sn AS (SELECT page, orientation, avg(place) OVER (PARTITION BY page, orientation
 
 def _edges(spark, d):
     n = F.col("l_linenumber")
-    return table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_suppkey").cast("long").alias("page"), F.when(n % 2 == 0, "h").otherwise("v").alias("orientation"), (F.col("l_quantity") * 6).alias("place"), (n * 3.0).alias("low"), (n * 3.0 + F.col("l_quantity") * 4).alias("high"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("page"), F.when(n % 2 == 0, "h").otherwise("v").alias("orientation"), (F.col("l_quantity") * 6).alias("place"), (n * 3.0).alias("low"), (n * 3.0 + F.col("l_quantity") * 4).alias("high"))
 
 
 @R.query("snap_edges", f"WITH {EDGES}, {SNAPPED} SELECT page, orientation, round(place, 6) AS place, low, high FROM sn")

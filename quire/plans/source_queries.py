@@ -18,7 +18,7 @@ R = Registry()
 def _files(spark, d):
     """Documents as text files, pages as HTML, events' props as JSON, and two that can't be read."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("data"))
-    events = table(spark, d, "events").where("event_id % 10 = 0").select(F.concat(F.lit("event/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("data"))
+    events = table(spark, d, "events").select(F.concat(F.lit("event/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("data"))
     bad = spark.createDataFrame([("bad.json", b"{oops"), ("bad.pdf", b"%PDF")], "path string, data binary")
     return docs.unionByName(events).unionByName(bad)
 
@@ -67,7 +67,7 @@ def stream_metrics(spark, d):
 @R.query("decode_latin", "SELECT doc_id, text AS decoded FROM documents WHERE regexp_full_match(text, '(?s)[\\x20-\\x7e\\n\\xa1-\\xff]*') AND NOT regexp_full_match(text, '(?s)[\\x00-\\x7f]*') AND doc_id % 2 = 0")
 def decode_latin(spark, d):
     """Latin texts as ISO-8859-1 bytes, decoded by their label."""
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0").where(F.col("text").rlike(r"(?s)^[\x20-\x7e\n\xa1-\xff]*$") & ~F.col("text").rlike(r"(?s)^[\x00-\x7f]*$"))
+    docs = table(spark, d, "documents").where(F.col("text").rlike(r"(?s)^[\x20-\x7e\n\xa1-\xff]*$") & ~F.col("text").rlike(r"(?s)^[\x00-\x7f]*$"))
     return docs.select("doc_id", decoding.safe_decode(F.encode("text", "iso-8859-1"), F.lit("iso-8859-1")).alias("decoded"))
 
 

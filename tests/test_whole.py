@@ -12,6 +12,7 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: What the SQL leaves out, and what stands there when nothing is left out.
 CUTS = {"left(text, 400)": "text", " WHERE length(text) < 60": "", "left(text, 600)": "text", "left(text, 300)": "text", "left(text, 80)": "text", "left(text, 50)": "text"}
 CUTS |= {"(CASE WHEN doc_id % 3 = 0 THEN left(text, CAST(doc_id % 90 AS INT)) ELSE text END)": "text", "(CASE WHEN doc_id % 5 = 0 THEN left(text, 2) ELSE text END)": "text"}
+CUTS |= {" WHERE l_orderkey % 4 = 0": "", " WHERE event_id % 10 = 0": "", " AND doc_id % 2 = 0": ""}
 PROSE = "Some words of a sentence that goes on. Data of the ANALYSIS, in 1999! "
 LONG = f"{PROSE * 12}\n\n- an item behind the cut, {'long ' * 20}\n* another\n\n{PROSE * 3}\n\n# Far heading\ntext\n## Below it\n{PROSE * 9}\n    deep in\n"
 
@@ -19,8 +20,11 @@ LONG = f"{PROSE * 12}\n\n- an item behind the cut, {'long ' * 20}\n* another\n\n
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("whole"))
-    docs = [(1, LONG, "en", "a", None), (2, LONG + LONG, "en", "b", None), (3, "short", "de", "a", None), (4, PROSE, "en", "b", None), (5, "", "en", "a", None), (90, f"{PROSE * 9}[far](#away) 数据分析", "en", "a", None)]
+    docs = [(1, LONG, "en", "a", None), (2, LONG + LONG, "en", "b", None), (3, "short", "de", "a", None), (4, PROSE, "en", "b", None), (5, "", "en", "a", None), (7, "né à Orléans", "fr", "a", None), (8, "für alle", "de", "a", None), (90, f"{PROSE * 9}[far](#away) 数据分析", "en", "a", None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    lines = [(k, n, 1 + k % 2, float((k * 7 + n * 3) % 9 + 1)) for k in range(1, 9) for n in range(1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(k, f'{{"k": {k % 5}}}') for k in range(1, 24)], "event_id long, props string").coalesce(1).write.parquet(f"{d}/events.parquet")
     return d
 
 
@@ -54,3 +58,15 @@ def test_reduction_reaches_the_end_of_a_text(spark, tmp_path, name):
     text = PROSE * 12 + "The significant DATA2000 implementation."
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert "DATA2000" in QUERIES[name](spark, str(tmp_path)).first().reduced
+
+
+@pytest.mark.parametrize("name", ["snap_edges", "merge_edges", "edge_crossings", "extract_files", "decode_latin"])
+def test_all_rows_of_a_table(spark, folder, name):
+    agree(spark, folder, name, "documents", "lineitem", "events")
+
+
+def test_table_cells_come_from_all_orders(spark, tmp_path):
+    # Two lines each way, of short edges that merge; no order is divisible by four.
+    lines = [(k, n, 1, float(k)) for k in (1, 2) for n in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert QUERIES["table_cells"](spark, str(tmp_path)).count() == 1
