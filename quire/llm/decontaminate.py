@@ -5,7 +5,10 @@ units after a number are typed placeholders that remember their value. Every
 window of ``WINDOW`` tokens is hashed as a template (placeholders without their
 values); documents and benchmark meet in a hash join of these windows. A match
 counts if the slots are consistent: values repeat at the same places of both
-windows, so that one renaming maps all slots of the one onto the other. A
+windows, so that one renaming maps all slots of the one onto the other. What
+stands before a window must not matter, nor must the start of a sentence hide a
+name, so each text is read a second time with all capitalised words as names,
+and windows that differ there are looked for in both readings. A
 question with other numbers or names is caught, a text that merely has the
 same wording around unrelated values is not. Column expressions only.
 """
@@ -33,6 +36,8 @@ UNITS = "mm cm m km in ft mi inch inches foot feet mile miles meter meters metre
 #: (pattern, replacement) in order; the same text works in Java and RE2.
 #: \x01 opens a placeholder, \x02 joins the parts of one number.
 NAME = r"([\p{Ll}0-9,;:] )(\p{Lu}\p{Ll}\p{L}*)"
+#: In the second reading, a name wherever it stands.
+ANY_NAME = r"(^|[^\p{L}\p{N}])(\p{Lu}\p{Ll}\p{L}*)"
 JOINED = r"([0-9])[.,:/]([0-9])"
 PUNCTUATION = r"[^\p{L}\p{N}\x01\x02]+"
 NUMBER = r"(^| )([0-9][0-9\x02]*)"
@@ -46,10 +51,10 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, names: str = NAME) -> Column:
     """One space between tokens; a slot is \\x01, its type (n, d or u), its value."""
     mark = lambda c, pattern, out: F.regexp_replace(c, F.lit(pattern), F.lit(out))
-    name = lambda c: mark(c, NAME, "$1\x01n$2")
+    name = lambda c: mark(c, names, "$1\x01n$2")
     # A match takes the character before it, so neighbours need a second pass.
     bare = F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "  ")).otherwise(text)
     named = _let(name(bare), lambda c: F.when(F.contains(c, F.lit("\x01")), name(c)).otherwise(c))
@@ -62,13 +67,20 @@ def _slot(v: Column) -> Column:
     return F.startswith(v, F.lit("\x01"))
 
 
-def _tokens() -> Column:
-    return F.split("canon", " ")
+def _readings(df: DataFrame, *kept: str) -> DataFrame:
+    """(kept..., canon, wide): both readings of each text."""
+    return df.select(*kept, canonical(F.col("text")).alias("canon"), canonical(F.col("text"), ANY_NAME).alias("wide"))
+
+
+def _tokens(reading: str = "canon") -> Column:
+    return F.split(reading, " ")
 
 
 def windows(df: DataFrame, key: str, size: int, *carried: str) -> DataFrame:
-    """(key, pos, h, carried...) for each window of ``size`` tokens of ``canon``,
-    pos from 0; h hashes the template. A text of fewer tokens has no window.
+    """(key, carried..., pos, kind, h) for each window of ``size`` tokens, pos from 0;
+    h hashes the template in the reading of that kind, 0 for ``canon`` and 1 for
+    ``wide``, which is left out where the template is the same. A text of fewer
+    tokens has no window.
 
     Hashes of 2, 4, 8... tokens are made from those of half the length, so a
     window costs a few hashes instead of ``size``.
@@ -89,8 +101,12 @@ def windows(df: DataFrame, key: str, size: int, *carried: str) -> DataFrame:
         return _let(done, lambda d: _let(paired(a, length), lambda b: build(b, 2 * length, d, covered, left)))
 
     whole = lambda t: F.when(F.size(t) >= size, F.slice(build(t, 1, None, 0, size), 1, F.size(t) - (size - 1)))
-    found = F.when(F.col("canon") != "", _let(F.transform(_tokens(), typed), whole))
-    return df.select(key, *carried, F.posexplode(found).alias("pos", "h"))
+    hashes = lambda tokens: _let(F.transform(tokens, typed), whole)
+    one = df.select(key, *carried, F.when(F.col("canon") != "", hashes(_tokens())).alias("first"), F.when(F.col("wide") != F.col("canon"), hashes(_tokens("wide"))).alias("second"))
+    one = one.select(key, *carried, F.posexplode(F.arrays_zip("first", F.coalesce("second", "first").alias("second"))).alias("pos", "both"))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"both.{n}").alias("h")) for k, n in enumerate(("first", "second"))]
+    each = F.when(F.col("both.first") == F.col("both.second"), F.array(kinds[0])).otherwise(F.array(*kinds))
+    return one.select(key, *carried, "pos", F.explode(each).alias("x")).select(key, *carried, "pos", "x.kind", "x.h")
 
 
 def slot_places(tokens: Column, pos: Column, size: Column) -> Column:
@@ -98,16 +114,21 @@ def slot_places(tokens: Column, pos: Column, size: Column) -> Column:
     return _let(F.slice(tokens, pos + 1, size), lambda part: F.transform(part, lambda v: F.when(_slot(v), F.array_position(part, v)).otherwise(F.lit(0).cast("long"))))
 
 
+def _places() -> Column:
+    """slot_places in the reading of the window's kind."""
+    return slot_places(F.split(F.when(F.col("kind") == 0, F.col("canon")).otherwise(F.col("wide")), " "), F.col("pos"), F.col("size"))
+
+
 def benchmark_windows(bench: DataFrame, size: int, text_col: str = "text", item_col: str = "item_id") -> tuple[DataFrame, list[int]]:
     """(h, size, places, item_id), the smallest item of each, and the window sizes in use."""
-    items = texts(bench, item_col, text_col).select(F.col("doc_id").alias("item_id"), canonical(F.col("text")).alias("canon"))
+    items = _readings(texts(bench, item_col, text_col).withColumnRenamed("doc_id", "item_id"), "item_id")
     n = F.when(F.col("canon") == "", 0).otherwise(F.size(_tokens()))
     short = sorted(r.n for r in items.select(n.alias("n")).where((F.col("n") >= LEAST) & (F.col("n") < size)).distinct().collect())  # at most size - LEAST values
-    parts = [windows(items if s == size else items.where(n == s), "item_id", s, "canon").withColumn("size", F.lit(s)) for s in [size, *short]]
+    parts = [windows(items if s == size else items.where(n == s), "item_id", s, "canon", "wide").withColumn("size", F.lit(s)) for s in [size, *short]]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    found = found.select("item_id", "h", "size", slot_places(_tokens(), F.col("pos"), F.col("size")).alias("places"))
+    found = found.select("item_id", "h", "size", _places().alias("places"))
     return found.where(F.size(F.filter("places", lambda x: x == 0)) >= F.col("size") * WORDS).groupBy("h", "size", "places").agg(F.min("item_id").alias("item_id")), [size, *short]
 
 
@@ -115,20 +136,21 @@ def contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
     """(doc_id, item_id, n_windows, n_other): one row for each document that shares
     a slot-consistent window with the benchmark. item_id is the smallest such
     item, n_windows the number of consistent windows (of equal rows of a
-    document together), n_other that of windows whose template matches but whose
+    document together), n_other that of templates that match but whose
     slots don't. Null and empty texts match nothing; rows of a null id are
     reported together under null; an empty table on either side gives no rows.
     """
     known, sizes = benchmark_windows(bench, size)
     small = known.count() <= broadcast_rows
-    canon = texts(docs, id_col, text_col).select("doc_id", canonical(F.col("text")).alias("canon"))
+    # Rows of one id may have different texts, so a row goes by its text too.
+    source = _readings(texts(docs, id_col, text_col), "doc_id").withColumn("row", F.xxhash64("canon", "wide"))
     # Only texts with slots need their tokens again. They ride along where the
     # join is a lookup; before a shuffle they'd be copied to every window.
-    slotted = F.when(F.contains(F.col("canon"), F.lit("\x01")), F.col("canon")).alias("slotted")
-    source = canon.select("doc_id", "canon", slotted)
+    slotted = F.when(F.contains(F.col("wide"), F.lit("\x01")), F.struct("canon", "wide")).alias("slotted")
+    source = source.select("doc_id", "row", "canon", "wide", slotted)
     found = None
     for s in sizes:
-        part = windows(source, "doc_id", s, *(["slotted"] if small else [])).withColumn("size", F.lit(s))
+        part = windows(source, "doc_id", s, "row", *(["slotted"] if small else [])).withColumn("size", F.lit(s))
         found = part if found is None else found.unionByName(part)
     if small:
         hits = found.join(F.broadcast(known), ["h", "size"])
@@ -137,11 +159,15 @@ def contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
         again = hits.select("doc_id").distinct().select(F.col("doc_id").alias("hit_id"))
         named = source.where("slotted IS NOT NULL").join(again, F.col("doc_id").eqNullSafe(F.col("hit_id"))).groupBy("hit_id").agg(F.min("slotted").alias("slotted"))
         hits = hits.join(named, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    places = F.when(F.isnotnull("slotted"), slot_places(F.split("slotted", " "), F.col("pos"), F.col("size"))).otherwise(F.array_repeat(F.lit(0).cast("long"), F.col("size")))
-    same = F.col("same")
-    hits = hits.select("doc_id", "item_id", (places == F.col("places")).alias("same"))
-    hits = hits.groupBy("doc_id").agg(F.min(F.when(same, F.col("item_id"))).alias("item_id"), F.count_if(same).alias("n_windows"), F.count_if(~same).alias("n_other"))
-    return hits.where("n_windows > 0")
+    hits = hits.withColumns({"canon": F.col("slotted.canon"), "wide": F.col("slotted.wide")})
+    places = F.when(F.isnotnull("slotted"), _places()).otherwise(F.array_repeat(F.lit(0).cast("long"), F.col("size")))
+    # A window that both readings find is one window; equal rows count one by one.
+    same, place = F.col("same"), ["doc_id", "row", "size", "pos"]
+    pairs = hits.select(*place, "kind", "item_id", (places == F.col("places")).alias("same"), F.xxhash64("h", "places").alias("pair"))
+    pairs = pairs.groupBy(*place, "kind", "pair").agg(F.min("item_id").alias("item_id"), F.first("same").alias("same"), F.count(F.lit(1)).alias("n"))
+    other = [F.coalesce(F.sum(F.when(~same & (F.col("kind") == k), F.col("n"))), F.lit(0)) for k in range(2)]
+    at = pairs.groupBy(*place).agg(F.min(F.when(same, F.col("item_id"))).alias("item_id"), F.coalesce(F.max(F.when(same, F.col("n"))), F.lit(0)).alias("n"), F.greatest(*other).alias("other"))
+    return at.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.sum("n").alias("n_windows"), F.sum("other").alias("n_other")).where("n_windows > 0")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

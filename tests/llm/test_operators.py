@@ -479,3 +479,16 @@ def test_large_numbers_beside_nulls_stay_whole(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for out in (toxicity.score(table, none), secrets.scan(table, None), language.identify(table, None), simhash.keep_one(table)):
         assert sorted(((r.doc_id, r.n_chars) for r in out.collect()), key=str) == want
+
+
+# Decontamination, where typing or the reading of a text might hide a copy
+
+BOILING = "What is the boiling point of water at sea level"
+
+
+def test_what_stands_before_an_item_hides_no_copy(spark):
+    bench = spark.createDataFrame([(1, BOILING), (2, "Alice buys 5 apples and then gives 5 away to friends"), (3, "It rained. Alice ran home with 3 wet dogs")], "item_id long, text string")
+    rows = [(1, f"Question: {BOILING}"), (2, f"so, {BOILING.lower()}"), (3, "Later. Bob buys 7 apples and then gives 7 away to friends"), (4, "It rained. Carol ran home with 4 wet dogs"), (5, "Bob buys 7 apples and then gives 8 away to friends")]
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        found = decontaminate.contaminated(docs(spark, rows), bench, broadcast_rows=limit).collect()
+        assert {(r.doc_id, r.item_id, r.n_windows) for r in found} == {(1, 1, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1)}
