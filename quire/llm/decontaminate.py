@@ -8,7 +8,8 @@ counts if the slots are consistent: values repeat at the same places of both
 windows, so that one renaming maps all slots of the one onto the other. What
 stands before a window must not matter, nor must the start of a sentence hide a
 name, so each text is read a second time with all capitalised words as names,
-and windows that differ there are looked for in both readings. A
+and windows that differ there are looked for in both readings. In a third one
+nothing is a slot, so that windows of few words match if they are the same. A
 question with other numbers or names is caught, a text that merely has the
 same wording around unrelated values is not. Column expressions only.
 """
@@ -24,8 +25,11 @@ WINDOW = 12
 #: Items of fewer tokens than WINDOW are searched as one whole window; below
 #: LEAST tokens nothing tells them from common speech, so they match nothing.
 LEAST = 5
-#: A benchmark window is used if at least half of its tokens are words.
+#: A benchmark window is used as a template if at least half of its tokens are
+#: words; others match only as they stand, values and all.
 WORDS = 0.5
+#: Readings of a text.
+KINDS = 3
 #: Benchmark windows up to this many (24 bytes each) are broadcast; beyond it
 #: both sides are shuffled by window hash.
 BROADCAST_ROWS = 1_000_000
@@ -68,7 +72,7 @@ def _slot(v: Column) -> Column:
 
 
 def _readings(df: DataFrame, *kept: str) -> DataFrame:
-    """(kept..., canon, wide): both readings of each text."""
+    """(kept..., canon, wide): the two readings with slots of each text."""
     return df.select(*kept, canonical(F.col("text")).alias("canon"), canonical(F.col("text"), ANY_NAME).alias("wide"))
 
 
@@ -76,11 +80,16 @@ def _tokens(reading: str = "canon") -> Column:
     return F.split(reading, " ")
 
 
+def _bare() -> Column:
+    """Tokens without slots; the parts of a number are still one token."""
+    return F.split(F.regexp_replace("canon", "\x01[ndu]", ""), " ")
+
+
 def windows(df: DataFrame, key: str, size: int, *carried: str) -> DataFrame:
     """(key, carried..., pos, kind, h) for each window of ``size`` tokens, pos from 0;
-    h hashes the template in the reading of that kind, 0 for ``canon`` and 1 for
-    ``wide``, which is left out where the template is the same. A text of fewer
-    tokens has no window.
+    h hashes the template in the reading of that kind: 0 for ``canon``, 1 for
+    ``wide``, 2 without slots; later ones are left out where they are the same.
+    A text of fewer tokens has no window.
 
     Hashes of 2, 4, 8... tokens are made from those of half the length, so a
     window costs a few hashes instead of ``size``.
@@ -102,10 +111,12 @@ def windows(df: DataFrame, key: str, size: int, *carried: str) -> DataFrame:
 
     whole = lambda t: F.when(F.size(t) >= size, F.slice(build(t, 1, None, 0, size), 1, F.size(t) - (size - 1)))
     hashes = lambda tokens: _let(F.transform(tokens, typed), whole)
-    one = df.select(key, *carried, F.when(F.col("canon") != "", hashes(_tokens())).alias("first"), F.when(F.col("wide") != F.col("canon"), hashes(_tokens("wide"))).alias("second"))
-    one = one.select(key, *carried, F.posexplode(F.arrays_zip("first", F.coalesce("second", "first").alias("second"))).alias("pos", "both"))
-    kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"both.{n}").alias("h")) for k, n in enumerate(("first", "second"))]
-    each = F.when(F.col("both.first") == F.col("both.second"), F.array(kinds[0])).otherwise(F.array(*kinds))
+    slots = F.contains(F.col("wide"), F.lit("\x01"))
+    one = df.select(key, *carried, F.when(F.col("canon") != "", hashes(_tokens())).alias("h0"), F.when(F.col("wide") != F.col("canon"), hashes(_tokens("wide"))).alias("h1"), F.when(slots, hashes(_bare())).alias("h2"))
+    one = one.select(key, *carried, F.posexplode(F.arrays_zip("h0", F.coalesce("h1", "h0").alias("h1"), F.coalesce("h2", "h0").alias("h2"))).alias("pos", "all"))
+    h = [F.col(f"all.h{k}") for k in range(KINDS)]
+    news = [F.lit(True), h[1] != h[0], (h[2] != h[0]) & (h[2] != h[1])]
+    each = F.filter(F.array(*[F.when(new, F.struct(F.lit(k).alias("kind"), h[k].alias("h"))) for k, new in enumerate(news)]), lambda x: x.isNotNull())
     return one.select(key, *carried, "pos", F.explode(each).alias("x")).select(key, *carried, "pos", "x.kind", "x.h")
 
 
@@ -116,7 +127,8 @@ def slot_places(tokens: Column, pos: Column, size: Column) -> Column:
 
 def _places() -> Column:
     """slot_places in the reading of the window's kind."""
-    return slot_places(F.split(F.when(F.col("kind") == 0, F.col("canon")).otherwise(F.col("wide")), " "), F.col("pos"), F.col("size"))
+    found = slot_places(F.split(F.when(F.col("kind") == 0, F.col("canon")).otherwise(F.col("wide")), " "), F.col("pos"), F.col("size"))
+    return F.when(F.col("kind") == 2, F.array_repeat(F.lit(0).cast("long"), F.col("size"))).otherwise(found)
 
 
 def benchmark_windows(bench: DataFrame, size: int, text_col: str = "text", item_col: str = "item_id") -> tuple[DataFrame, list[int]]:
@@ -161,11 +173,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
         hits = hits.join(named, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     hits = hits.withColumns({"canon": F.col("slotted.canon"), "wide": F.col("slotted.wide")})
     places = F.when(F.isnotnull("slotted"), _places()).otherwise(F.array_repeat(F.lit(0).cast("long"), F.col("size")))
-    # A window that both readings find is one window; equal rows count one by one.
+    # A window that several readings find is one window; equal rows count one by one.
     same, place = F.col("same"), ["doc_id", "row", "size", "pos"]
     pairs = hits.select(*place, "kind", "item_id", (places == F.col("places")).alias("same"), F.xxhash64("h", "places").alias("pair"))
     pairs = pairs.groupBy(*place, "kind", "pair").agg(F.min("item_id").alias("item_id"), F.first("same").alias("same"), F.count(F.lit(1)).alias("n"))
-    other = [F.coalesce(F.sum(F.when(~same & (F.col("kind") == k), F.col("n"))), F.lit(0)) for k in range(2)]
+    other = [F.coalesce(F.sum(F.when(~same & (F.col("kind") == k), F.col("n"))), F.lit(0)) for k in range(KINDS)]
     at = pairs.groupBy(*place).agg(F.min(F.when(same, F.col("item_id"))).alias("item_id"), F.coalesce(F.max(F.when(same, F.col("n"))), F.lit(0)).alias("n"), F.greatest(*other).alias("other"))
     return at.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.sum("n").alias("n_windows"), F.sum("other").alias("n_other")).where("n_windows > 0")
 

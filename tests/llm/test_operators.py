@@ -492,3 +492,13 @@ def test_what_stands_before_an_item_hides_no_copy(spark):
     for limit in (decontaminate.BROADCAST_ROWS, 0):
         found = decontaminate.contaminated(docs(spark, rows), bench, broadcast_rows=limit).collect()
         assert {(r.doc_id, r.item_id, r.n_windows) for r in found} == {(1, 1, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1)}
+
+
+def test_windows_of_few_words_match_as_they_stand(spark):
+    item = "Compute 12 + 7 * 3 - 45 / 9"
+    long = "Paris 1 2 3 Rome 4 5 6 Oslo 7 8 9 10"
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    rows = [(1, f"First. {item} now"), (2, "First. Compute 13 + 7 * 3 - 45 / 9 now"), (3, f"the list: {long} more"), (4, long.replace("8", "88").replace("Rome", "Bonn"))]
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        found = decontaminate.contaminated(docs(spark, rows), bench, broadcast_rows=limit).collect()
+        assert {(r.doc_id, r.item_id, r.n_windows, r.n_other) for r in found} == {(1, 1, 1, 0), (3, 2, 2, 0)}
