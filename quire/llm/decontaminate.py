@@ -168,9 +168,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
         hits = found.join(F.broadcast(known), ["h", "size"])
     else:
         hits = found.join(known, ["h", "size"])
-        again = hits.select("doc_id").distinct().select(F.col("doc_id").alias("hit_id"))
-        named = source.where("slotted IS NOT NULL").join(again, F.col("doc_id").eqNullSafe(F.col("hit_id"))).groupBy("hit_id").agg(F.min("slotted").alias("slotted"))
-        hits = hits.join(named, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+        again = hits.select("doc_id", "row").distinct().select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row"))
+        hit = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row"))
+        named = source.where("slotted IS NOT NULL").join(again, hit).groupBy("hit_id", "hit_row").agg(F.min("slotted").alias("slotted"))
+        hits = hits.join(named, hit, "left")
     hits = hits.withColumns({"canon": F.col("slotted.canon"), "wide": F.col("slotted.wide")})
     places = F.when(F.isnotnull("slotted"), _places()).otherwise(F.array_repeat(F.lit(0).cast("long"), F.col("size")))
     # A window that several readings find is one window; equal rows count one by one.

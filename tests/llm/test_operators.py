@@ -502,3 +502,13 @@ def test_windows_of_few_words_match_as_they_stand(spark):
     for limit in (decontaminate.BROADCAST_ROWS, 0):
         found = decontaminate.contaminated(docs(spark, rows), bench, broadcast_rows=limit).collect()
         assert {(r.doc_id, r.item_id, r.n_windows, r.n_other) for r in found} == {(1, 1, 1, 0), (3, 2, 2, 0)}
+
+
+def test_both_joins_tell_rows_of_one_id_apart(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, " ".join(WORDS[:14]))], "item_id long, text string")
+    changed = f"They said, {ITEM.replace('40', '75')}"
+    rows = [(1, changed), (1, "A 5 b 6 c 7 in 8 days"), (None, changed), (None, "A 1 b 2"), (2, " ".join(WORDS[:14])), (2, "and 9 c 7"), (2, " ".join(WORDS[:14])), (None, None)]
+    a, b = (decontaminate.contaminated(docs(spark, rows), bench, broadcast_rows=n).collect() for n in (decontaminate.BROADCAST_ROWS, 0))
+    assert sorted(a, key=repr) == sorted(b, key=repr)
+    found = {r.doc_id: (r.item_id, r.n_windows > 0) for r in a}
+    assert found == {1: (1, True), None: (1, True), 2: (2, True)} and next(r.n_windows for r in a if r.doc_id == 2) == 6
