@@ -22,8 +22,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a passage with the benchmark go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Rows whose text shares a passage with the benchmark go, told by id and text, so that
+    clean rows of null and repeated ids stay. Null and empty texts stay; an empty table on either side
+    takes nothing away."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), least=decontaminate.SHORTEST)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

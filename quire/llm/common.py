@@ -39,6 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        new, k = f"quire_{n}", 0
+        while new.lower() in taken:
+            new, k = f"quire_{n}_{k}", k + 1
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id counts as ''."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts

@@ -1,219 +1,233 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes lower-case word tokens in which numbers, mid-sentence names and
-units after a number are typed placeholders that remember their value. Every
-window of ``WINDOW`` tokens is hashed as a template (placeholders without their
-values); documents and benchmark meet in a hash join of these windows. A match
-counts if the slots are consistent: values repeat at the same places of both
-windows, so that one renaming maps all slots of the one onto the other. What
-stands before a window must not matter, nor must the start of a sentence hide a
-name, so each text is read a second time with all capitalised words as names,
-and windows that differ there are looked for in both readings. In a third one
-nothing is a slot, so that windows of few words match if they are the same. A
-question with other numbers or names is caught, a text that merely has the
-same wording around unrelated values is not. Column expressions only.
+Each text is read twice. In the typed reading numbers, names (one or more
+capitalised words) and units after a number are placeholders that remember their
+value; a token's type depends on nothing but itself and, for a unit, the number
+before it, so it doesn't matter what stands around a passage. In the plain
+reading every token is a lower-case word, so that passages of few words, and
+copies in other letter case, match as they stand.
+
+Every window of ``WINDOW`` benchmark tokens is a template (placeholders without
+their values). Texts are dealt into segments of bounded length; the four-token
+grams of a segment meet the benchmark in a hash join, by one gram of each
+template, and what meets is compared token by token. A match counts if the slots
+are consistent: values repeat at the same places of both windows, so that one
+renaming maps all slots of the one onto the other. A question with other numbers
+or names is caught, a text that merely has the same wording around unrelated
+values is not. Column expressions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, texts
+from quire.llm.common import fresh, table, texts
 
 WINDOW = 12
-#: Items of fewer tokens than WINDOW are searched as one whole window; below
-#: LEAST tokens nothing tells them from common speech, so they match nothing.
+#: Items of fewer tokens than WINDOW are one whole window; below LEAST tokens
+#: they match nothing unless a caller asks for it, and only as they stand.
 LEAST = 5
-#: A benchmark window is used as a template if at least half of its tokens are
+#: What the registered query and the pipeline ask for: every item that has a token.
+SHORTEST = 1
+#: A benchmark window is a template if at least half of its tokens are
 #: words; others match only as they stand, values and all.
 WORDS = 0.5
-#: Readings of a text.
-KINDS = 3
-#: Benchmark windows up to this many (24 bytes each) are broadcast; beyond it
-#: both sides are shuffled by window hash.
-BROADCAST_ROWS = 1_000_000
-
-# Unit words that are placeholders after a number.
+#: Tokens of a gram, and of a segment (besides those that its last windows reach into).
+GRAM, SEGMENT = 4, 512
+#: Benchmark templates up to this many (about 400 bytes each) are broadcast;
+#: beyond it both sides are shuffled by gram.
+BROADCAST_ROWS = 200_000
+TYPED, PLAIN = 0, 1
+
+# Unit words that are placeholders after a number, and numbers in words.
 UNITS = "mm cm m km in ft mi inch inches foot feet mile miles meter meters metre metres mg g kg lb lbs oz gram grams kilogram kilograms ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degrees mph kmh kph"
+NUMBERS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 
-#: (pattern, replacement) in order; the same text works in Java and RE2.
-#: \x01 opens a placeholder, \x02 joins the parts of one number.
-NAME = r"([\p{Ll}0-9,;:] )(\p{Lu}\p{Ll}\p{L}*)"
-#: In the second reading, a name wherever it stands.
-ANY_NAME = r"(^|[^\p{L}\p{N}])(\p{Lu}\p{Ll}\p{L}*)"
-JOINED = r"([0-9])[.,:/]([0-9])"
-PUNCTUATION = r"[^\p{L}\p{N}\x01\x02]+"
-NUMBER = r"(^| )([0-9][0-9\x02]*)"
-UNIT = r"(\x01d[^ ]* )(" + "|".join(UNITS.split()) + r")( |$)"
-SLOT = r"\x01([ndu])[^ ]*"
+#: Tokens. Java's possessive runs take no stack, however long a list of names or numbers is.
+WORD = r"[0-9]+(?:[.,:/][0-9]+)++|[\p{L}\p{N}]+"
+TOKEN = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*+|" + WORD
 
 
-def _let(value: Column, body) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: Catalyst would copy the expression
     to each place that uses it, and evaluate every copy."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def canonical(text: Column, names: str = NAME) -> Column:
-    """One space between tokens; a slot is \\x01, its type (n, d or u), its value."""
-    mark = lambda c, pattern, out: F.regexp_replace(c, F.lit(pattern), F.lit(out))
-    name = lambda c: mark(c, names, "$1\x01n$2")
-    # A match takes the character before it, so neighbours need a second pass.
-    bare = F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "  ")).otherwise(text)
-    named = _let(name(bare), lambda c: F.when(F.contains(c, F.lit("\x01")), name(c)).otherwise(c))
-    plain = lambda c: F.trim(mark(c, PUNCTUATION, " "))
-    joined = lambda c: mark(mark(c, JOINED, "$1\x02$2"), JOINED, "$1\x02$2")
-    return _let(F.lower(named), lambda c: F.when(c.rlike("[0-9]"), mark(mark(plain(joined(c)), NUMBER, "$1\x01d$2"), UNIT, "$1\x01u$2$3")).otherwise(plain(c)))
+def _digit(token: Column) -> Column:
+    return F.substring(token, 1, 1).between("0", "9")
 
 
-def _slot(v: Column) -> Column:
-    return F.startswith(v, F.lit("\x01"))
+def typed(text: Column) -> Column:
+    """Tokens of the typed reading; a slot is \\x01, its type (n, d or u), its value."""
 
+    def tag(tokens: Column, x: Column, i: Column) -> Column:
+        low, first = F.lower(x), F.substring(x, 1, 1)
+        slot = lambda kind: F.concat(F.lit("\x01" + kind), low)
+        unit = low.isin(*UNITS.split()) & F.coalesce(_digit(F.get(tokens, i - 1)), F.lit(False))
+        name = (first != F.lower(first)) & (F.char_length(x) > 1)
+        return F.when(_digit(x) | low.isin(*NUMBERS.split()), slot("d")).when(unit, slot("u")).when(name, slot("n")).otherwise(low)
 
-def _readings(df: DataFrame, *kept: str) -> DataFrame:
-    """(kept..., canon, wide): the two readings with slots of each text."""
-    return df.select(*kept, canonical(F.col("text")).alias("canon"), canonical(F.col("text"), ANY_NAME).alias("wide"))
+    return _let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda a: F.transform(a, lambda x, i: tag(a, x, i)))
 
 
-def _tokens(reading: str = "canon") -> Column:
-    return F.split(reading, " ")
+def plain(text: Column) -> Column:
+    """Tokens of the plain reading: lower-case words and numbers."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _bare() -> Column:
-    """Tokens without slots; the parts of a number are still one token."""
-    return F.split(F.regexp_replace("canon", "\x01[ndu]", ""), " ")
-
+def _slot(v: Column) -> Column:
+    return F.startswith(v, F.lit("\x01"))
 
-def windows(df: DataFrame, key: str, size: int, *carried: str) -> DataFrame:
-    """(key, carried..., pos, kind, h) for each window of ``size`` tokens, pos from 0;
-    h hashes the template in the reading of that kind: 0 for ``canon``, 1 for
-    ``wide``, 2 without slots; later ones are left out where they are the same.
-    A text of fewer tokens has no window.
 
-    Hashes of 2, 4, 8... tokens are made from those of half the length, so a
-    window costs a few hashes instead of ``size``.
-    """
-    typed = lambda x: F.xxhash64(F.when(_slot(x), F.substring(x, 1, 2)).otherwise(x))
-    paired = lambda a, step: F.transform(a, lambda x, i: F.xxhash64(x, F.get(a, i + step)))
-
-    def build(a: Column, length: int, done: Column | None, covered: int, left: int) -> Column:
-        """a: hashes of ``length`` tokens; done: those of the first ``covered`` tokens of each window."""
-        start = covered
-        if left & length:
-            done = a if done is None else F.transform(done, lambda x, i: F.xxhash64(x, F.get(a, i + start)))
-            covered, left = covered + length, left - length
-        if not left:
-            return done
-        if done is None:
-            return _let(paired(a, length), lambda b: build(b, 2 * length, None, 0, left))
-        return _let(done, lambda d: _let(paired(a, length), lambda b: build(b, 2 * length, d, covered, left)))
-
-    whole = lambda t: F.when(F.size(t) >= size, F.slice(build(t, 1, None, 0, size), 1, F.size(t) - (size - 1)))
-    hashes = lambda tokens: _let(F.transform(tokens, typed), whole)
-    slots = F.contains(F.col("wide"), F.lit("\x01"))
-    one = df.select(key, *carried, F.when(F.col("canon") != "", hashes(_tokens())).alias("h0"), F.when(F.col("wide") != F.col("canon"), hashes(_tokens("wide"))).alias("h1"), F.when(slots, hashes(_bare())).alias("h2"))
-    one = one.select(key, *carried, F.posexplode(F.arrays_zip("h0", F.coalesce("h1", "h0").alias("h1"), F.coalesce("h2", "h0").alias("h2"))).alias("pos", "all"))
-    h = [F.col(f"all.h{k}") for k in range(KINDS)]
-    news = [F.lit(True), h[1] != h[0], (h[2] != h[0]) & (h[2] != h[1])]
-    each = F.filter(F.array(*[F.when(new, F.struct(F.lit(k).alias("kind"), h[k].alias("h"))) for k, new in enumerate(news)]), lambda x: x.isNotNull())
-    return one.select(key, *carried, "pos", F.explode(each).alias("x")).select(key, *carried, "pos", "x.kind", "x.h")
-
-
-def slot_places(tokens: Column, pos: Column, size: Column) -> Column:
-    """For each token of a window, the place of its value's first occurrence there; 0 for a word."""
-    return _let(F.slice(tokens, pos + 1, size), lambda part: F.transform(part, lambda v: F.when(_slot(v), F.array_position(part, v)).otherwise(F.lit(0).cast("long"))))
+def _bare(v: Column) -> Column:
+    """A slot's type without its value, a word as it is."""
+    return F.when(_slot(v), F.substring(v, 1, 2)).otherwise(v)
 
 
-def _places() -> Column:
-    """slot_places in the reading of the window's kind."""
-    found = slot_places(F.split(F.when(F.col("kind") == 0, F.col("canon")).otherwise(F.col("wide")), " "), F.col("pos"), F.col("size"))
-    return F.when(F.col("kind") == 2, F.array_repeat(F.lit(0).cast("long"), F.col("size"))).otherwise(found)
+def readings(df: DataFrame, *kept: str) -> DataFrame:
+    """(kept..., kind, tokens): both readings of each text that has tokens."""
+    both = F.array(*[F.struct(F.lit(kind).alias("kind"), read(F.col("text")).alias("tokens")) for kind, read in ((TYPED, typed), (PLAIN, plain))])
+    return df.select(*kept, F.explode(both).alias("r")).select(*kept, "r.kind", "r.tokens").where(F.size("tokens") > 0)
 
 
-def benchmark_windows(bench: DataFrame, size: int, text_col: str = "text", item_col: str = "item_id") -> tuple[DataFrame, list[int]]:
-    """(h, size, places, item_id), the smallest item of each, and the window sizes in use."""
-    items = _readings(texts(bench, item_col, text_col).withColumnRenamed("doc_id", "item_id"), "item_id")
-    n = F.when(F.col("canon") == "", 0).otherwise(F.size(_tokens()))
-    short = sorted(r.n for r in items.select(n.alias("n")).where((F.col("n") >= LEAST) & (F.col("n") < size)).distinct().collect())  # at most size - LEAST values
-    parts = [windows(items if s == size else items.where(n == s), "item_id", s, "canon", "wide").withColumn("size", F.lit(s)) for s in [size, *short]]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.select("item_id", "h", "size", _places().alias("places"))
-    return found.where(F.size(F.filter("places", lambda x: x == 0)) >= F.col("size") * WORDS).groupBy("h", "size", "places").agg(F.min("item_id").alias("item_id")), [size, *short]
+def _grams(tokens: Column, length: int | Column) -> Column:
+    """For each token, the hash of the gram of ``length`` tokens (GRAM at most) that
+    it begins. One that reaches over the end is that of the tokens there."""
+    part = lambda h, i, k: F.get(h, i + k) if isinstance(length, int) else F.when(F.lit(k) < length, F.get(h, i + k))
+    most = length if isinstance(length, int) else GRAM
+    return _let(F.transform(tokens, lambda x: F.xxhash64(_bare(x))), lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[part(h, i, k) for k in range(1, most)])))
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def places(window: Column) -> Column:
+    """For each token of a window, the place of its value's first occurrence there; 0 for a word."""
+    return F.transform(window, lambda v: F.when(_slot(v), F.array_position(window, v)).otherwise(F.lit(0).cast("long")))
+
+
+def templates(bench: DataFrame, size: int = WINDOW, least: int = LEAST, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(kind, gram, h, at, size, template, options): one row for each distinct template.
+    h is the hash of its gram of ``gram`` tokens from place ``at`` on, the one whose words have the
+    most letters; options are the (places, item_id) that it has in the
+    benchmark, with the smallest item of each."""
+    items = readings(texts(bench, item_col, text_col).select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    n = F.size("tokens")
+    sized = items.withColumn("size", F.least(n, F.lit(size))).where(F.col("size") >= (F.when(F.col("kind") == PLAIN, least).otherwise(max(least, LEAST))))
+    wins = sized.select("item_id", "kind", "size", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), lambda i: F.slice("tokens", i, F.col("size")))).alias("window"))
+    words = F.size(F.filter("window", lambda v: ~_slot(v)))
+    wins = wins.where((F.col("kind") == PLAIN) | (words >= F.col("size") * WORDS))
+    known = wins.select("item_id", "kind", "size", F.transform("window", _bare).alias("template"), places(F.col("window")).alias("places"))
+    known = known.groupBy("kind", "size", "template", "places").agg(F.min("item_id").alias("item_id"))
+    # A template's options are ways in which at most half of its tokens repeat.
+    known = known.groupBy("kind", "size", "template").agg(F.sort_array(F.collect_list(F.struct("places", "item_id"))).alias("options"))
+    gram = F.least(F.col("size"), F.lit(GRAM))
+    letters = lambda i: F.aggregate(F.slice("template", i + 1, F.col("gram")), F.lit(0), lambda n, x: n + F.when(_slot(x), 0).otherwise(F.char_length(x)))
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.col("size") - F.col("gram")), lambda i: F.struct((-letters(i)).alias("few"), i.alias("at"))))
+    at = known.withColumn("gram", gram).withColumn("at", best["at"])
+    return at.select("kind", "gram", F.get(_grams(F.col("template"), F.col("gram")), F.col("at")).alias("h"), "at", "size", "template", "options")
+
+
+def _segments(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with tokens dealt into segments: (..., seg, tokens), each with the tokens
+    that windows beginning in its first SEGMENT tokens reach."""
+    cut = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(SEGMENT)), lambda i: F.slice("tokens", i + 1, F.lit(SEGMENT + size - 1)))
+    kept = [c for c in df.columns if c != "tokens"]
+    return df.select(*kept, F.posexplode(cut).alias("seg", "tokens"))
+
+
+def hits(docs: DataFrame, bench: DataFrame, size: int = WINDOW, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, text_hash, text_bytes, kind, item_id): one row for each window of each
+    row that is a benchmark template; item_id is the smallest item whose slots are
+    consistent with the window's, null if there is none."""
+    known = templates(bench, size, least)
+    # The benchmark's templates are a few rows an item; the count decides how they are met, not what is found.
+    counted = known.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()  # GRAM rows at most
+    small = sum(r.n for r in counted) <= broadcast_rows
+    key = ["doc_id", "text_hash", "text_bytes"]
+    rows = texts(docs, id_col, text_col).withColumns({"text_hash": F.xxhash64("text"), "text_bytes": F.octet_length("text")})
+    parts = _segments(readings(rows, *key), size)
+    found = None
+    for g in sorted(r.gram for r in counted) or [GRAM]:
+        source = parts if small else parts.select(*key, "kind", "seg", F.col("tokens"))
+        # Where both sides are shuffled, tokens would be copied to every gram.
+        carried = ["tokens"] if small else []
+        grams = source.select(*key, "kind", "seg", *carried, _grams(F.col("tokens"), g).alias("grams"))
+        # The outer form: Spark would filter by the other's input, and compute all grams twice for that.
+        grams = grams.select(*key, "kind", "seg", *carried, F.posexplode_outer("grams").alias("pos", "h"))
+        mine = known.where(F.col("gram") == g).drop("gram").withColumnRenamed("kind", "known_kind")
+        met = grams.join(F.broadcast(mine) if small else mine, "h").where(F.col("kind") == F.col("known_kind"))
+        met = met.withColumn("start", F.col("pos") - F.col("at")).where((F.col("start") >= 0) & (F.col("start") < SEGMENT))
+        found = met if found is None else found.unionByName(met)
+    if not small:
+        # Equal rows have equal segments, so one of each does.
+        place = [*key, "kind", "seg"]
+        wanted = found.select(*place).distinct()
+        same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"]) & (a["text_bytes"] == b["text_bytes"]) & (a["kind"] == b["kind"]) & (a["seg"] == b["seg"])
+        again = parts.join(wanted, same(parts, wanted), "left_semi").groupBy(*place).agg(F.first("tokens").alias("tokens"))
+        named = again.select(*[F.col(c).alias(f"again_{c}") for c in place], "tokens")
+        found = found.join(named, F.col("doc_id").eqNullSafe(F.col("again_doc_id")) & (F.col("text_hash") == F.col("again_text_hash")) & (F.col("text_bytes") == F.col("again_text_bytes")) & (F.col("kind") == F.col("again_kind")) & (F.col("seg") == F.col("again_seg")))
+    # Behind a generator the comparison can't become part of the join, which it would keep from being compiled.
+    window = found.select(*key, "kind", "template", "options", F.explode(F.array(F.slice("tokens", F.col("start") + 1, F.col("size")))).alias("window"))
+    window = window.where(F.transform("window", _bare) == F.col("template"))
+    own = window.select(*key, "kind", "options", places(F.col("window")).alias("own"))
+    return own.select(*key, "kind", F.array_min(F.transform(F.filter("options", lambda o: o["places"] == F.col("own")), lambda o: o["item_id"])).alias("item"), F.exists("options", lambda o: o["places"] == F.col("own")).alias("same"))
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_windows, n_other): one row for each document that shares
     a slot-consistent window with the benchmark. item_id is the smallest such
-    item, n_windows the number of consistent windows (of equal rows of a
-    document together), n_other that of templates that match but whose
+    item, n_windows the number of consistent windows in the reading that has more of
+    them (of all rows of an id together), n_other that of templates that match but whose
     slots don't. Null and empty texts match nothing; rows of a null id are
     reported together under null; an empty table on either side gives no rows.
+    A null item_id is found like any other, and reported as null if no other item is.
+    Items of fewer than ``least`` tokens aren't searched, those below LEAST only as they stand.
     """
-    known, sizes = benchmark_windows(bench, size)
-    small = known.count() <= broadcast_rows
-    # Rows of one id may have different texts, so a row goes by its text too.
-    source = _readings(texts(docs, id_col, text_col), "doc_id").withColumn("row", F.xxhash64("canon", "wide"))
-    # Only texts with slots need their tokens again. They ride along where the
-    # join is a lookup; before a shuffle they'd be copied to every window.
-    slotted = F.when(F.contains(F.col("wide"), F.lit("\x01")), F.struct("canon", "wide")).alias("slotted")
-    source = source.select("doc_id", "row", "canon", "wide", slotted)
-    found = None
-    for s in sizes:
-        part = windows(source, "doc_id", s, "row", *(["slotted"] if small else [])).withColumn("size", F.lit(s))
-        found = part if found is None else found.unionByName(part)
-    if small:
-        hits = found.join(F.broadcast(known), ["h", "size"])
-    else:
-        hits = found.join(known, ["h", "size"])
-        again = hits.select("doc_id", "row").distinct().select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row"))
-        hit = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row"))
-        named = source.where("slotted IS NOT NULL").join(again, hit).groupBy("hit_id", "hit_row").agg(F.min("slotted").alias("slotted"))
-        hits = hits.join(named, hit, "left")
-    hits = hits.withColumns({"canon": F.col("slotted.canon"), "wide": F.col("slotted.wide")})
-    places = F.when(F.isnotnull("slotted"), _places()).otherwise(F.array_repeat(F.lit(0).cast("long"), F.col("size")))
-    # A window that several readings find is one window; equal rows count one by one.
-    same, place = F.col("same"), ["doc_id", "row", "size", "pos"]
-    pairs = hits.select(*place, "kind", "item_id", (places == F.col("places")).alias("same"), F.xxhash64("h", "places").alias("pair"))
-    pairs = pairs.groupBy(*place, "kind", "pair").agg(F.min("item_id").alias("item_id"), F.first("same").alias("same"), F.count(F.lit(1)).alias("n"))
-    other = [F.coalesce(F.sum(F.when(~same & (F.col("kind") == k), F.col("n"))), F.lit(0)) for k in range(KINDS)]
-    at = pairs.groupBy(*place).agg(F.min(F.when(same, F.col("item_id"))).alias("item_id"), F.coalesce(F.max(F.when(same, F.col("n"))), F.lit(0)).alias("n"), F.greatest(*other).alias("other"))
-    return at.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.sum("n").alias("n_windows"), F.sum("other").alias("n_other")).where("n_windows > 0")
-
-
-def decontaminate(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without contaminated documents. A row
-    of a null id stays unless a row of a null id is contaminated."""
-    bad = contaminated(docs, bench, size, id_col, text_col).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    found = hits(docs, bench, size, least, id_col, text_col, broadcast_rows)
+    n = lambda kind, good: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("same") == good), 1)), F.lit(0)).cast("long")
+    each = found.groupBy("doc_id").agg(F.min(F.when(F.col("same"), F.col("item"))).alias("item_id"), F.greatest(n(TYPED, True), n(PLAIN, True)).alias("n_windows"), n(TYPED, False).alias("n_other"))
+    return each.where("n_windows > 0")
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose text is contaminated.
+    Rows are told by id and text, so that clean rows of a null or repeated id
+    stay; null and empty texts stay."""
+    bad_id, bad_hash, bad_bytes = fresh(docs, "bad_id", "bad_hash", "bad_bytes")
+    bad = hits(docs, bench, size, least, id_col, text_col).where("same").groupBy("doc_id", "text_hash", "text_bytes").agg(F.count(F.lit(1)).alias("n"))
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash), F.col("text_bytes").alias(bad_bytes))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(text) == F.col(bad_hash)) & (F.octet_length(text) == F.col(bad_bytes)), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def _sql_canonical(text: str) -> str:
-    sub = lambda e, p, r: f"regexp_replace({e}, '{p}', '{r}', 'g')"
-    marks = f"replace(replace(coalesce({text}, ''), chr(1), ' '), chr(2), ' ')"
-    one = "\\1' || chr(1) || 'n\\2"
-    e = f"lower({sub(sub(marks, NAME, one), NAME, one)})"
-    two = "\\1' || chr(2) || '\\2"
-    e = sub(sub(e, JOINED, two), JOINED, two)
-    e = f"trim({sub(e, PUNCTUATION, ' ')})"
-    num, unit = "\\1' || chr(1) || 'd\\2", "\\1' || chr(1) || 'u\\2\\3"
-    return sub(sub(e, NUMBER, num), UNIT, unit)
-
-
-def oracle(docs: str = "documents", select: str = "SELECT doc_id, min(item_id) FILTER (same) AS item_id, count(*) FILTER (same) AS n_windows, count(*) FILTER (NOT same) AS n_other FROM hits GROUP BY doc_id HAVING count(*) FILTER (same) > 0") -> str:
-    """DuckDB SQL of contaminated(); the benchmark's items all have WINDOW or more tokens or fewer than LEAST."""
-    slot = "regexp_replace(x, '" + SLOT + "', chr(1) || '\\1')"
-    wins = lambda src, key: f"""SELECT {key}, list_transform(toks[i:i + {WINDOW - 1}], lambda x: {slot}) AS t,
-      list_transform(toks[i:i + {WINDOW - 1}], lambda x: CASE WHEN x[1] = chr(1) THEN list_position(toks[i:i + {WINDOW - 1}], x) ELSE 0 END) AS v
-      FROM (SELECT {key}, toks, unnest(range(1, len(toks) - {WINDOW - 2})) AS i FROM (SELECT {key}, string_split({_sql_canonical('text')}, ' ') AS toks FROM {src}) WHERE len(toks) >= {WINDOW})"""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=SHORTEST)
+
+
+def oracle(docs: str = "documents") -> str:
+    """DuckDB SQL of contaminated() with op1's parameters, for tables whose ids are unique."""
+    word = r"[0-9]+(?:[.,:/][0-9]+)+|[\p{L}\p{N}]+"
+    listed = lambda values: ", ".join(f"'{v}'" for v in values.split())
+    digit = lambda e: f"coalesce({e}[1] BETWEEN '0' AND '9', false)"
+    tag = f"""CASE WHEN {digit('x')} OR lower(x) IN ({listed(NUMBERS)}) THEN chr(1) || 'd' || lower(x)
+      WHEN lower(x) IN ({listed(UNITS)}) AND i > 1 AND {digit('raw[i - 1]')} THEN chr(1) || 'u' || lower(x)
+      WHEN x[1] <> lower(x[1]) AND length(x) > 1 THEN chr(1) || 'n' || lower(x) ELSE lower(x) END"""
+    both = lambda src, key: f"""SELECT {key}, {TYPED} AS kind, list_transform(raw, lambda x, i: {tag}) AS toks
+        FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '\\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)*|{word}') AS raw FROM {src})
+      UNION ALL SELECT {key}, {PLAIN}, regexp_extract_all(lower(coalesce(text, '')), '{word}') FROM {src}"""
+    bare = "list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN x[1:2] ELSE x END)"
+    spots = "list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN list_position(w, x) ELSE 0 END)"
     return f"""
-WITH bw AS (SELECT t, v, min(item_id) AS item_id FROM ({wins('benchmark', 'item_id')}) WHERE len(list_filter(t, lambda x: x[1] <> chr(1))) >= {WINDOW * WORDS} GROUP BY t, v),
-dw AS ({wins(docs, 'doc_id')}),
-hits AS (SELECT d.doc_id, b.item_id, d.v = b.v AS same FROM dw d JOIN bw b ON d.t = b.t)
-{select}"""
+WITH items AS (SELECT *, least({WINDOW}, len(toks)) AS size FROM ({both('benchmark', 'item_id')}) WHERE len(toks) >= {SHORTEST}),
+bw AS (SELECT item_id, kind, size, toks[i:i + size - 1] AS w FROM (SELECT *, unnest(range(1, len(toks) - size + 2)) AS i FROM items)),
+b AS (SELECT kind, size, {bare} AS t, {spots} AS v, min(item_id) AS item_id FROM bw
+  WHERE kind = {PLAIN} OR (size >= {LEAST} AND len(list_filter(w, lambda x: x[1] <> chr(1))) >= size * {WORDS}) GROUP BY ALL),
+d AS ({both(docs, 'doc_id')}),
+dw AS (SELECT doc_id, kind, size, i, toks[i:i + size - 1] AS w FROM (SELECT doc_id, kind, toks, size, unnest(range(1, len(toks) - size + 2)) AS i
+  FROM d JOIN (SELECT DISTINCT kind, size FROM b) USING (kind) WHERE len(toks) >= size)),
+hits AS (SELECT d.doc_id, d.kind, d.size, d.i, min(b.item_id) FILTER (d.v = b.v) AS item_id, bool_or(d.v = b.v) AS same
+  FROM (SELECT doc_id, kind, size, i, {bare} AS t, {spots} AS v FROM dw) d JOIN b ON d.kind = b.kind AND d.size = b.size AND d.t = b.t GROUP BY ALL)
+SELECT doc_id, min(item_id) FILTER (same) AS item_id, greatest(count(*) FILTER (same AND kind = {TYPED}), count(*) FILTER (same AND kind = {PLAIN})) AS n_windows,
+  count(*) FILTER (NOT same AND kind = {TYPED}) AS n_other FROM hits GROUP BY doc_id HAVING bool_or(same)"""
