@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,14 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. A temporary one is set only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    the session. Where that is unset, a temporary one if driver and executors
+    are one process (tests); on a cluster an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = context.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="quire-shared-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
@@ -39,6 +51,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave, once nothing reads them any more."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` but those of the given names (in any letter case), whatever characters are in theirs."""
+    gone = {w.lower() for w in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``df`` has, in any letter case."""
     taken = {c.lower() for c in df.columns}
@@ -62,14 +94,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-#: Texts are handed to Python in batches of at most so many rows and bytes.
+#: Texts are taken up in Python in parts of at most so many rows and bytes (Spark
+#: hands them over in batches that are bounded by its own settings).
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Long texts make Arrow batches large: bounds them for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def parts(batch: pa.RecordBatch, text: int, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``rows`` rows and, unless one row has more, ``size``
+    bytes in its column number ``text``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 def sampled(rows: DataFrame, group: str, key: str, most: int, seed: int = 5) -> DataFrame:
@@ -79,33 +118,33 @@ def sampled(rows: DataFrame, group: str, key: str, most: int, seed: int = 5) ->
     A first cut by a hash threshold from the group's count leaves little more
     than wanted, so the exact cut ranks few rows however large the group.
     """
-    n = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).alias("_u")
-    kept = rows.select("*", u).join(F.broadcast(n), F.col(group) == F.col("_g"))
+    g, total, hashed, place = fresh(rows, "group", "total", "hash", "place")
+    n = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias(total))
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).alias(hashed)
+    kept = rows.select("*", u).join(F.broadcast(n), F.col(group) == F.col(g))
     # Twice the wanted share, and 64 rows, so that next to never fewer pass than there should be.
-    kept = kept.where(F.col("_u") < F.lit(float(1 << 40)) * (2.0 * most + 64) / F.col("_n"))
-    order = Window.partitionBy(group).orderBy("_u", key)
-    return kept.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(*rows.columns)
+    kept = kept.where(F.col(hashed) < F.lit(float(1 << 40)) * (2.0 * most + 64) / F.col(total))
+    order = Window.partitionBy(group).orderBy(hashed, key)
+    return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) <= most).select(*columns(rows))
 
 
 def with_columns(docs: DataFrame, fields: list[tuple[str, DataType]], compute) -> DataFrame:
     """``docs`` with columns of the given names and types, made by ``compute`` from
-    each Arrow batch's texts (null: '') as a list of value lists. Input columns of these names are
-    replaced; the others pass through Python untouched, nulls and large numbers too."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    texts (null: ''), a part of a batch at a time, as a list of value lists. Input columns of these names
+    are replaced; the others pass through Python untouched, nulls and large numbers too."""
     names = [n for n, _ in fields]
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    kept = docs.select(*columns(docs, *names))
     out = StructType([*kept.schema.fields, *[StructField(n, t) for n, t in fields]])
     kinds = [to_arrow_type(f.dataType) for f in out.fields[len(kept.columns) :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = compute(b.column(b.num_columns - 1).to_pylist())
-            arrays = [*b.columns[:-1], *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+        for batch in batches:
+            for b in parts(batch, batch.num_columns - 1):
+                made = compute(b.column(b.num_columns - 1).to_pylist())
+                arrays = [*b.columns[:-1], *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return kept.select(*kept.columns, F.coalesce(F.col("text"), F.lit("")).alias("_body")).mapInArrow(run, out)
+    return docs.select(*columns(docs, *names), F.coalesce(F.col("text"), F.lit("")).alias(fresh(docs, "body")[0])).mapInArrow(run, out)
 
 
 class WordCache:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bytegrams import find, mask
-from quire.llm.common import fold, kept_in_worker, sent_to_workers, small_batches, table, written
+from quire.llm.common import fold, kept_in_worker, parts, sent_to_workers, table, written
 
 DEPTH = 5
 FOLDS, HELD = 7, 2
@@ -49,10 +49,10 @@ def coded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """(bytes, at, text): the code of all texts, each behind DEPTH fillers and a
     space, the place of each byte that is to be predicted, and its text's number."""
     gap = bytes(DEPTH - 1) + b" "
-    parts = [b" ".join(w) + b" " + END if w else END for w in texts]
-    line = np.frombuffer(b"".join(gap + p for p in parts), np.uint8)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    owner = np.repeat(np.arange(len(parts)), lengths)
+    codes = [b" ".join(w) + b" " + END if w else END for w in texts]
+    line = np.frombuffer(b"".join(gap + c for c in codes), np.uint8)
+    lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+    owner = np.repeat(np.arange(len(codes)), lengths)
     return line, np.arange(lengths.sum()) + DEPTH * (owner + 1), owner
 
 
@@ -210,14 +210,16 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches, joined up to about TAKEN bytes."""
+    """Batches, cut and joined to about TAKEN bytes of text."""
     held: list[pa.RecordBatch] = []
-    for b in batches:
-        if b.num_rows:
+    size = 0
+    for batch in batches:
+        for b in parts(batch, batch.schema.get_field_index("text"), 1 << 30, TAKEN):
             held.append(b)
-            if sum(x.nbytes for x in held) >= TAKEN:
+            size += b.nbytes
+            if size >= TAKEN:
                 yield pa.Table.from_batches(held)
-                held = []
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -256,7 +258,6 @@ def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: s
     log10((c + 1) / (N + V + 1)) over tokens.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     found = written(counts(learn.select(F.col(text_col).alias("text"))), "counts")
     words = found.where("word IS NOT NULL").select("word", "n")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

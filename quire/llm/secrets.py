@@ -2,10 +2,13 @@
 
 The patterns' spans always stand. The field tags the tokens between white space
 as secret begin (B), inside (I) or outside (O), from the token's own shape,
-that of its neighbours and features of the file, and is decoded by Viterbi;
-what it tags where no pattern matches is added as kind ``crf``. It learns from
-the patterns' spans in a bounded sample, but sees shapes, not patterns, so it
-finds secrets under other names and of other forms.
+its neighbours (their shapes and words), open quotation marks and features of the
+file, and is decoded by Viterbi; what it tags where no pattern matches is added as
+kind ``crf``. It learns from whole texts of a bounded sample: from the patterns'
+spans, from the same spelt anew in other alphabets, and from secrets of several
+tokens (key blocks, quoted pass phrases, keys in groups) and look-alikes
+that are planted there. It sees shapes and words, not patterns, so it finds
+secrets under other names and of other forms.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import math
 import re
 import string
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,21 +37,26 @@ KINDS = ("assign", "access", "hex", "crf")
 HINTS = ("pass", "secret", "token", "api")
 
 #: A neighbour that names a secret may also hold one of these.
-NAMES = (*HINTS, "key", "auth", "cred", "pwd", "bearer")
+NAMES = (*HINTS, "key", "auth", "cred", "pwd", "phrase", "bearer")
 NEAR = {(a, b, c, d): (f"near={a}{b}", f"far={c}{d}") for a in (False, True) for b in (False, True) for c in range(6) for d in (False, True)}
 
-#: Bound on the texts that a fit learns from, chosen by a hash of the id.
-SAMPLE = 2000
-#: Tokens on either side of a labelled one, and of a random one per text, that a fit sees.
-REACH = 12
+#: Bounds on the texts that a fit learns from, with a match of the patterns and without: so
+#: many of each, chosen by a hash of the id, as long as they have no more characters together.
+SAMPLE, SAMPLED_CHARS = 300, 2_000_000
+#: A text's chain is cut into chains of so many tokens to learn from; features reach over the cuts.
+CHAIN = 64
+#: Passages planted in each text.
+PLANTED = 3
 ROUNDS = 100
-RIDGE = 0.5
+RIDGE = 0.1
 STEP = 0.1
 O, B, I = 0, 1, 2  # noqa: E741
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 WORD = re.compile(r"\S+")
 ALPHABETS = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/_-", string.ascii_lowercase + string.digits]
 PLAIN = [("plain", f"length={k}") for k in range(13)]
+#: A quotation that isn't closed within so many tokens is none.
+QUOTED = 12
 #: A token's class is kept for so many tokens.
 CACHE = 200_000
 SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
@@ -94,11 +103,39 @@ def shape(token: str) -> tuple[str, ...]:
 
 
 def near(token: str) -> tuple[str, ...]:
-    """What a neighbour sees of a token: whether it names or joins something, and a coarse shape."""
-    bare = token.lower()
-    named = any(h in bare for h in NAMES)
-    joins = bare.rstrip("\"'`").endswith((":", "="))
-    return NEAR[named, joins, min(len(token), 40) // 8, not token.isalpha() and any(map(str.isdigit, token))]
+    """What a neighbour sees of a token: whether it names or joins something, a coarse shape, and its word."""
+    low = token.lower()
+    named = any(h in low for h in NAMES)
+    joins = low.rstrip("\"'`").endswith((":", "="))
+    coarse = NEAR[named, joins, min(len(token), 40) // 8, not token.isalpha() and any(map(str.isdigit, token))]
+    word = low.strip(".,;:=!?\"'`()-")
+    return (*coarse, f"word={word}") if word.isalpha() and len(word) <= 20 else coarse
+
+
+def told(token: str, words: set[str]) -> tuple[str, ...]:
+    """What a neighbour sees of a token, its word only if it is one of those."""
+    return tuple(n for n in near(token) if not n.startswith("word=") or n in words)
+
+
+def quotes(tokens: list[str]) -> dict[int, str]:
+    """Feature of the tokens that open, close or are in a quotation of several
+    tokens, and whether what stands before it names a secret."""
+    out: dict[int, str] = {}
+    opened = -1
+    for k in [k for k, w in enumerate(tokens) if '"' in w or "`" in w]:
+        if (tokens[k].count('"') + tokens[k].count("`")) % 2 == 0:
+            continue
+        if opened >= 0 and k - opened < QUOTED:
+            lead = " ".join([*tokens[max(0, opened - 2) : opened], re.split("[\"`]", tokens[opened])[0]]).lower()
+            named = any(h in lead for h in NAMES)
+            out[opened] = f"open={named}"
+            for m in range(opened + 1, k):
+                out[m] = f"in={named}"
+            out[k] = f"close={named}"
+            opened = -1
+        else:
+            opened = k
+    return out
 
 
 def file_features(text: str, n: int) -> tuple[str, ...]:
@@ -131,10 +168,58 @@ def disguised(tokens: list[str], tags: np.ndarray, digest: bytes) -> list[str]:
     return out
 
 
+# What stands before planted secrets, and before planted look-alikes.
+PHRASE_LEADS = ("passphrase:", "password is", "secret phrase =", "pwd:", "recovery phrase:", "login password")
+GROUP_LEADS = ("license key:", "api key", "auth key =", "secret key is", "activation key:", "credential:")
+BLOCK_NAMES = ("RSA PRIVATE", "PRIVATE", "EC PRIVATE", "OPENSSH PRIVATE", "PGP PRIVATE")
+QUOTE_LEADS = ("he said", "the title", "called", "as in", "a sign read", "she wrote:")
+DIGIT_LEADS = ("call", "phone:", "order number", "dial", "invoice", "account of")
+
+
+def spelt(digest: bytes, salt: str, letters: str, n: int) -> str:
+    return "".join(letters[c % len(letters)] for c in hashlib.shake_128(digest + salt.encode()).digest(n))
+
+
+def planted(tokens: list[str], digest: bytes) -> tuple[list[str], np.ndarray]:
+    """The tokens with a passage put in at a place that the digest says: a key block, a quoted
+    pass phrase, a key in groups, or else a plain quotation, a number in groups or words in capitals; and its tags."""
+    kind, at = digest[0] % 6, int.from_bytes(digest[1:4], "big") % (len(tokens) + 1)
+    pick = lambda values, k: values[digest[k] % len(values)]
+    plain = sorted({t for t in tokens if t.isalpha() and t.islower()}) or ["word"]
+    words = [plain[b % len(plain)] for b in digest[4 : 7 + digest[7] % 3]]
+    base64 = ALPHABETS[0] + "+/"
+    if kind == 0:
+        name = pick(BLOCK_NAMES, 8)
+        before, after = f"-----BEGIN {name} KEY-----".split(), f"-----END {name} KEY-----".split()
+        lines = 2 + digest[9] % 7
+        secret = [spelt(digest, f"line {k}", base64, 64 if k + 1 < lines else 20 + digest[10] % 44) for k in range(lines)]
+        tags = [B] + [I] * (lines - 1)
+    elif kind in (1, 3):
+        lead = pick(PHRASE_LEADS if kind == 1 else QUOTE_LEADS, 8)
+        before, after = lead.split(), []
+        secret = ['"' + words[0], *words[1:-1], words[-1] + '"' + ("", ".", ",")[digest[9] % 3]]
+        if kind == 1 and digest[10] % 2 and lead[-1] in ":=":
+            before, secret[0] = before[:-1], before[-1].rstrip(":") + "=" * (not lead.endswith("=")) + secret[0]
+        tags = [B] + [I] * (len(secret) - 1) if kind == 1 else [O] * len(secret)
+    elif kind == 5:
+        before, secret, after = [], [w.upper() + ("", "!!", ",")[digest[9] % 3] for w in words], []
+        tags = [O] * len(secret)
+    else:
+        letters = (string.ascii_uppercase + string.digits, ALPHABETS[0], ALPHABETS[2])[digest[9] % 3] if kind == 2 else string.digits
+        before, after = pick(GROUP_LEADS if kind == 2 else DIGIT_LEADS, 8).split(), []
+        groups, size = 3 + digest[10] % 3, 4 + digest[11] % 3
+        secret = [spelt(digest, f"group {k}", letters, size) for k in range(groups)]
+        tags = [B] + [I] * (groups - 1) if kind == 2 else [O] * groups
+    return [*tokens[:at], *before, *secret, *after, *tokens[at:]], np.array([O] * (at + len(before)) + tags + [O] * (len(after) + len(tokens) - at))
+
+
+#: Where a feature is seen: at the token itself, one before, two before, one behind, in the quotation, of the file.
+OWN, BEFORE, TWICE, BEHIND, QUOTE, FILE = "o:", "p:", "r:", "n:", "q:", "f:"
+
+
 @dataclass
 class Field:
-    """Weights by feature name for own, previous, next and file features, and
-    transitions [from, to]."""
+    """Weights by place and feature name, and transitions [from, to]."""
 
     weights: dict[str, np.ndarray]
     transitions: np.ndarray
@@ -144,79 +229,108 @@ class Field:
         return sum((self.weights.get(place + n, zero) for n in names), zero)
 
 
-def names_of(tokens: list[str], text: str, at: int, end: int) -> list[list[str]]:
-    """Feature names of tokens[at:end]."""
-    whole = ["f:" + n for n in file_features(text, len(tokens))]
-    out = []
-    for k in range(at, end):
-        own = ["o:" + n for n in shape(tokens[k])]
-        own += ["p:" + n for n in near(tokens[k - 1])] if k else ["p:edge"]
-        own += ["n:" + n for n in near(tokens[k + 1])] if k + 1 < len(tokens) else ["n:edge"]
-        out.append(own + whole)
-    return out
+def posteriors(e: np.ndarray, t: np.ndarray, there: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(sum of log partition sums, tag posteriors, expected transition counts) of chains of
+    tag scores e [chain, token, tag]; ``there`` is true at tokens and false behind a chain's end."""
+    n, longest, _ = e.shape
+    top = e.max(axis=2)
+    x, step = np.exp(e - top[..., None]), np.exp(t)
+    alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones((n, longest))
+    scale[:, 0] = x[:, 0].sum(axis=1)
+    alpha[:, 0] = x[:, 0] / scale[:, :1]
+    for j in range(1, longest):
+        a = (alpha[:, j - 1] @ step) * x[:, j]
+        scale[:, j] = np.where(there[:, j], a.sum(axis=1), 1.0)
+        alpha[:, j] = np.where(there[:, j, None], a / scale[:, j, None], alpha[:, j - 1])
+    pairs = np.zeros((3, 3))
+    for j in range(longest - 1, 0, -1):
+        ahead = x[:, j] * beta[:, j] / scale[:, j, None] * there[:, j, None]
+        pairs += (alpha[:, j - 1].T @ ahead) * step
+        beta[:, j - 1] = np.where(there[:, j, None], ahead @ step.T, 1.0)
+    return float((np.log(scale) + top)[there].sum()), alpha * beta * there[..., None], pairs
+
+
+def learn(samples: Iterable[str], rounds: int = ROUNDS, ridge: float = RIDGE) -> Field | None:
+    """Maximum conditional likelihood by Adam over the chains of the texts; None
+    without a single pattern match."""
+    words: dict[str, int] = {"": 0}
+    asked: dict[str, int] = {"": 0}
+    files: dict[tuple[str, ...], int] = {}
+    chains: list[tuple[np.ndarray, np.ndarray, int]] = []  # (token, quotation) of a chain and its surroundings, tags, file
+    some = False
 
+    def add(tokens: list[str], tags: np.ndarray, file: int, only_tagged: np.ndarray | None = None) -> None:
+        marks = quotes(tokens)
+        ids = np.zeros((2, len(tokens) + 3), np.int64)
+        ids[0, 2:-1] = [words.setdefault(w, len(words)) for w in tokens]
+        for k, name in marks.items():
+            ids[1, k + 2] = asked.setdefault(name, len(asked))
+        for at in range(0, len(tokens), CHAIN):
+            if only_tagged is None or only_tagged[at : at + CHAIN].any():
+                chains.append((ids[:, at : at + CHAIN + 3], tags[at : at + CHAIN], file))
 
-def learn(samples: list[str], rounds: int = ROUNDS, ridge: float = RIDGE) -> Field | None:
-    """Maximum conditional likelihood by Adam over padded stretches of the
-    texts; None without a single pattern match."""
-    index: dict[str, int] = {}
-    stretches: list[tuple[list[list[int]], np.ndarray]] = []
-    some = False
     for text in samples:
         tokens, tags = labelled(text)
         if not tokens:
             continue
-        centres = [int(k) for k in np.flatnonzero(tags)]
-        some |= bool(centres)
-        # Without a match: the token least like a word, and a middle one.
-        odd = max(range(len(tokens)), key=lambda k: (sum(map(str.isdigit, tokens[k])), len(tokens[k])))
-        done = -1
-        for c in sorted({*centres, odd, len(tokens) // 2}):
-            at, end = max(done, c - REACH, 0), min(len(tokens), c + REACH + 1)
-            if at >= end:
-                continue
-            forms = [tokens]
-            if tags[at:end].any():
-                forms.append(disguised(tokens, tags, hashlib.md5(text.encode()).digest()))
-            for form in forms:
-                stretches.append(([[index.setdefault(n, len(index)) for n in names] for names in names_of(form, text, at, end)], tags[at:end]))
-            done = end
+        some |= bool(tags.any())
+        file = files.setdefault(file_features(text, len(tokens)), len(files))
+        digest = hashlib.md5(text.encode()).digest()
+        add(tokens, tags, file)
+        if tags.any():
+            add(disguised(tokens, tags, digest), tags, file, tags)
+        # A passage goes into the tokens around its place; the rest is there already.
+        for k in range(PLANTED):
+            digest = hashlib.md5(digest + bytes([k])).digest()
+            mid = int.from_bytes(digest[12:], "big") % len(tokens)
+            part = slice(max(0, mid - CHAIN // 2), mid + CHAIN // 2)
+            if not tags[part].any():
+                add(*planted(tokens[part], digest), file)
     if not some:
         return None
-    longest, width = max(len(t) for _, t in stretches), max(len(x) for f, _ in stretches for x in f)
-    x = np.full((len(stretches), longest, width), len(index))
-    y, there = np.zeros((len(stretches), longest), np.int64), np.zeros((len(stretches), longest), bool)
-    for k, (feats, tags) in enumerate(stretches):
-        for j, f in enumerate(feats):
-            x[k, j, : len(f)] = f
-        y[k, : len(tags)], there[k, : len(tags)] = tags, True
+    index: dict[str, int] = {}
+
+    def rows(names: list[tuple[str, ...]], place: str) -> np.ndarray:
+        width = max(map(len, names))
+        return np.array([[*(index.setdefault(place + n, len(index)) for n in x), *[-1] * (width - len(x))] for x in names], np.int64).reshape(len(names), width)
+
+    # Of neighbouring words those count that stand beside a tagged token more than once; tokens that are
+    # alike in all features are one class.
+    beside: Counter = Counter()
+    for ids, tags, _ in chains:
+        hit = np.flatnonzero(tags)
+        beside.update(np.unique(np.concatenate([ids[0, hit + k] for k in (0, 1, 3)])).tolist())
+    telling = {f"word={w}" for w, n in Counter(x for t, k in words.items() if beside[k] for x in [near(t)[-1][5:]] * beside[k] if near(t)[-1].startswith("word=")).items() if n > 1}
+    classes: dict[tuple[tuple[str, ...], tuple[str, ...]], int] = {(("edge",), ("edge",)): 0}
+    of = np.array([classes.setdefault((shape(w), told(w, telling)) if w else (("edge",), ("edge",)), len(classes)) for w in words])
+    own, by = ([k[p] for k in classes] for p in (0, 1))
+    places = [rows(own, OWN), rows(by, BEFORE), rows(by, TWICE), rows(by, BEHIND), rows([(n,) if n else () for n in asked], QUOTE), rows(list(files), FILE)]
+    longest = max(len(t) for _, t, _ in chains)
+    at = np.zeros((len(places), len(chains), longest), np.int64)
+    y, there = np.zeros((len(chains), longest), np.int64), np.zeros((len(chains), longest), bool)
+    for k, (ids, tags, file) in enumerate(chains):
+        n = len(tags)
+        for p, shift in ((0, 2), (1, 1), (2, 0), (3, 3)):
+            at[p, k, :n] = of[ids[0, shift : shift + n]]
+        at[4, k, :n], at[5, k], y[k, :n], there[k, :n] = ids[1, 2 : 2 + n], file, tags, True
     w, t = np.zeros((len(index) + 1, 3)), np.zeros((3, 3))
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, t)]
     gold = np.eye(3)[y] * there[..., None]
-    rows = np.arange(len(x))
     gold_t = np.zeros((3, 3))
     for j in range(1, longest):
         np.add.at(gold_t, (y[:, j - 1], y[:, j]), there[:, j])
     for turn in range(1, rounds + 1):
-        e = w[x].sum(axis=2)
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for j in range(1, longest):
-            a = np.logaddexp.reduce(alpha[:, j - 1, :, None] + t, axis=1) + e[:, j]
-            alpha[:, j] = np.where(there[:, j, None], a, alpha[:, j - 1])
-        for j in range(longest - 2, -1, -1):
-            b = np.logaddexp.reduce(t + (e[:, j + 1] + beta[:, j + 1])[:, None, :], axis=2)
-            beta[:, j] = np.where(there[:, j + 1, None], b, 0.0)
-        z = np.logaddexp.reduce(alpha[rows, -1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None]) * there[..., None]
-        pt = np.zeros((3, 3))
-        for j in range(1, longest):
-            q = alpha[:, j - 1, :, None] + t + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None]
-            pt += (np.exp(q) * there[:, j, None, None]).sum(axis=0)
+        e = sum(w[names].sum(axis=1)[ids] for names, ids in zip(places, at, strict=True))
+        _, p, pt = posteriors(e, t, there)
         d = (p - gold).reshape(-1, 3)
-        grad = np.stack([np.bincount(x.ravel(), np.repeat(d[:, c], width), len(w)) for c in range(3)], axis=1)
+        grad = np.zeros_like(w)
+        for names, ids in zip(places, at, strict=True):
+            flat = ids.ravel()
+            for c in range(3):
+                sums = np.bincount(flat, d[:, c], len(names))
+                grad[:, c] += np.bincount(names.ravel() % len(w), np.repeat(sums, names.shape[1]), len(w))
         for v, g, (first, second) in zip((w, t), (grad, pt - gold_t), moments, strict=True):
-            g = (g + ridge * v) / len(x)
+            g = (g + ridge * v) / len(chains)
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
             v -= STEP * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-9)
@@ -230,25 +344,26 @@ class Tagger:
     def __init__(self, field: Field):
         self.field = field
         self.classes: dict = {}
-        self.tables = np.zeros((0, 9))
+        self.tables = np.zeros((0, 12))
         self.rows: list[np.ndarray] = []
         self.tokens: dict[str, int] = {}
         t = field.transitions
-        #: A tag that leads by more than any two transitions can give stands in every best path.
-        self.sure = 2 * float(t.max() - t.min()) + 1e-9
-        self.edges = field.score(("edge",), "p:"), field.score(("edge",), "n:")
+        #: What a token in a secret, and the step out of one, can gain by transitions at most.
+        self.into, self.out = max(0.0, float(t[:, 1:].max() - t[O, O])), max(0.0, float(t[:, O].max() - t[O, O]))
+        self.words = {n[len(p) :] for n in field.weights for p in (BEFORE, TWICE, BEHIND) if n.startswith(p + "word=")}
+        self.edges = [field.score(("edge",), p) for p in (BEFORE, TWICE, BEHIND)]
 
     def class_of(self, token: str) -> int:
-        key = shape(token), near(token)
+        by = told(token, self.words)
+        key = shape(token), by
         k = self.classes.get(key)
         if k is None:
             k = self.classes[key] = len(self.rows)
-            self.rows.append(np.concatenate([self.field.score(key[0], "o:"), self.field.score(key[1], "p:"), self.field.score(key[1], "n:")]))
+            self.rows.append(np.concatenate([self.field.score(key[0], OWN), *[self.field.score(by, p) for p in (BEFORE, TWICE, BEHIND)]]))
         return k
 
-    def tags(self, tokens: list[str], text: str) -> np.ndarray:
-        """The Viterbi path. Tokens that are surely outside part the chain into
-        stretches, which are decoded one by one with the same result."""
+    def scores(self, tokens: list[str], text: str) -> np.ndarray:
+        """Scores of the three tags at each token."""
         known = self.tokens
         if len(known) > CACHE:
             known.clear()
@@ -258,12 +373,29 @@ class Tagger:
             self.tables = np.array(self.rows)
         at = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         s = self.tables[at]
-        e = s[:, 0:3] + self.field.score(file_features(text, len(tokens)), "f:")
+        e = s[:, 0:3] + self.field.score(file_features(text, len(tokens)), FILE)
         e[1:] += s[:-1, 3:6]
-        e[:-1] += s[1:, 6:9]
+        e[2:] += s[:-2, 6:9]
+        e[:-1] += s[1:, 9:12]
         e[0] += self.edges[0]
-        e[-1] += self.edges[1]
-        open_ = np.flatnonzero(e[:, O] - np.maximum(e[:, B], e[:, I]) <= self.sure)
+        e[:2] += self.edges[1]
+        e[-1] += self.edges[2]
+        if '"' in text or "`" in text:
+            for k, name in quotes(tokens).items():
+                e[k] += self.field.score((name,), QUOTE)
+        return e
+
+    def tags(self, tokens: list[str], text: str) -> np.ndarray:
+        """The Viterbi path. A token is surely outside if no stretch that holds it can
+        score more than being all outside does; such tokens part the chain into stretches, which are
+        decoded one by one with the same result."""
+        e = self.scores(tokens, text)
+        gain = np.maximum(e[:, B], e[:, I]) - e[:, O] + self.into
+        upto = np.concatenate(([0.0], np.cumsum(gain)))
+        # The best sums that end, and that begin, at each token.
+        ending = upto[1:] - np.minimum.accumulate(upto[:-1])
+        starting = np.maximum.accumulate(upto[:0:-1])[::-1] - upto[:-1]
+        open_ = np.flatnonzero(ending + starting - gain + self.out >= -1e-6 * (1 + np.abs(upto[-1])))
         tags = np.zeros(len(tokens), np.int64)
         if len(open_):
             for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
@@ -293,27 +425,53 @@ class Tagger:
         hits = np.flatnonzero(tags)
         if not len(hits):
             return []
+        # (start, end, last token, its start): one token's longest run; of several tokens all
+        # between the quotation marks and other signs around them.
         out, spots, k = [], WORD.finditer(text), -1
         for h in hits:
             while k < h:
                 spot, k = next(spots), k + 1
-            run = max(RUN.finditer(spot.group()), key=lambda m: m.end() - m.start(), default=None)
-            if not run:
+            token = spot.group()
+            if tags[h] == I and out and out[-1][2] == h - 1:
+                first = out[-1][3]
+                end = len(token)
+                while end and not token[end - 1].isalnum() and token[end - 1] not in "+/=_-":
+                    end -= 1
+                start = first.start() + max(map(first.group().rstrip("\"`.,;:!?").rfind, "\"`=")) + 1 if out[-1][2] == out[-1][4] else out[-1][0]
+                out[-1] = (start, spot.start() + end, h, first, out[-1][4])
                 continue
-            a, b = spot.start() + run.start(), spot.start() + run.end()
-            if tags[h] == I and out and out[-1][3] == h - 1:
-                out[-1] = ("crf", out[-1][1], b, h)
-            else:
-                out.append(("crf", a, b, h))
+            run = max(RUN.finditer(token), key=lambda m: m.end() - m.start(), default=None)
+            if run:
+                out.append((spot.start() + run.start(), spot.start() + run.end(), h, spot, h))
+        out = [("crf", a, b) for a, b, *_ in out]
         return [x[:3] for x in out if not any(a < x[2] and x[1] < b for _, a, b in base)]
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Learns from at most ``sample`` texts; None if no pattern matches there."""
-    rows = texts(docs)
-    ids = sampled(rows.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("all")), "all", "doc_id", sample).select("doc_id").distinct()
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    return learn([r.text for r in chosen.toLocalIterator(prefetchPartitions=True)])
+#: The patterns for Spark, to tell texts with a match from those without.
+MATCHES = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLED_CHARS) -> Field | None:
+    """Learns from at most ``sample`` texts with a match and as many without, of at most
+    ``chars`` characters each together, those of the least hash of the id; None if no pattern
+    matches there. Rows of null ids teach nothing, equal rows count one by one up to the bound."""
+    rows = texts(docs).where("doc_id IS NOT NULL").select("doc_id", F.rlike("text", F.lit(MATCHES)).alias("matches"), F.char_length("text").alias("n"))
+    ids = sampled(rows, "matches", "doc_id", sample).collect()  # 2 * sample rows at most
+    taken: set[tuple[int, int]] = set()
+    for with_match in (True, False):
+        left = chars
+        for r in sorted((r for r in ids if r.matches == with_match), key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), r.n)):
+            if r.n <= left:
+                taken.add((r.doc_id, r.n))
+                left -= r.n
+    if not taken:
+        return None
+    found = texts(docs).where(F.col("doc_id").isin(*{i for i, _ in taken})).select("doc_id", "text").toLocalIterator(prefetchPartitions=True)
+    kept: dict[tuple[int, str], None] = {}
+    for r in found:
+        if (r.doc_id, len(r.text)) in taken and len(kept) < 2 * sample:
+            kept.setdefault((r.doc_id, r.text))
+    return learn([text for _, text in sorted(kept)])
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
