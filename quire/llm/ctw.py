@@ -1,63 +1,79 @@
 """Language-model scores by context-tree weighting.
 
 A text is its words, each closed by a space, and an end; bytes are predicted
-bit by bit from the bytes before them. Each context of each depth keeps a
-Krichevsky-Trofimov estimate for each node of the byte's binary tree, and
-weighting mixes those of all depths by how well they coded the corpus.
-
-Counts cover every training text. The tree has those contexts that hold at
-least one in CONTEXTS of the corpus' bytes, so its size has a bound that
-doesn't depend on the corpus; rarer contexts share their parent's rest.
+bit by bit from the DEPTH bytes before them, which reach over the word's opening space into
+the TAIL last bytes of the word before. Each context of each depth, and each node of the
+byte's binary tree there, keeps a Krichevsky-Trofimov estimate, and weighting mixes those of
+all depths by how well they coded the corpus. Every context that the corpus has is in the
+tree, which is computed in shards: all contexts that end in the same two bytes are a subtree of
+one task. A word's code length behind a tail follows from the two alone, so it is looked up like a count.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bytegrams import find, mask
-from quire.llm.common import fold, kept_in_worker, parts, sent_to_workers, table, written
+from quire.llm.common import dropped, fold, kept_in_worker, parts, sent_to_workers, table, written
 
-DEPTH = 5
+DEPTH, TAIL = 7, 2
 FOLDS, HELD = 7, 2
-#: A context of each depth stands in the tree if it holds one in so many bytes,
-#: hence there are at most so many of each depth.
-CONTEXTS = 65536
-#: Words with one in so many tokens are known to every task; the others' counts
+#: Words behind a tail with one in so many tokens are known to every task; the others
 #: are joined. There are at most so many.
-HEAD = 32768
-#: Distinct words, and byte strings, that a task counts before it hands them on.
-HELD_WORDS, HELD_GRAMS = 250_000, 1_000_000
+HEAD = 262_144
+#: Distinct words behind tails that a task counts before it hands them on.
+HELD_WORDS = 400_000
+#: Distinct words behind tails that are scored together.
+CHUNK = 100_000
+#: Byte strings whose subtrees are laid out at a time (a subtree of three bytes stays whole).
+LAID_OUT = 50_000
 #: Bytes of text that a task takes up at a time.
 TAKEN = 2 << 20
 #: No word holds a line end, so this is the end token's spelling.
 END = b"\n"
 LOG10 = math.log10
+#: Shards are contexts that end in the same so many bytes.
+SHARD = 2
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def coded(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, at, text): the code of all texts, each behind DEPTH fillers and a
-    space, the place of each byte that is to be predicted, and its text's number."""
-    gap = bytes(DEPTH - 1) + b" "
-    codes = [b" ".join(w) + b" " + END if w else END for w in texts]
-    line = np.frombuffer(b"".join(gap + c for c in codes), np.uint8)
-    lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-    owner = np.repeat(np.arange(len(codes)), lengths)
-    return line, np.arange(lengths.sum()) + DEPTH * (owner + 1), owner
+def keys_of(words: list[bytes]) -> list[bytes]:
+    """Each word, and the end, behind the tail of the word before and a space."""
+    return [p[-TAIL:] + b" " + w for p, w in zip([b"", *words], [*words, END], strict=True)]
+
+
+def spelt(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, key): the byte strings that spell the words, as integers with the symbol lowest
+    and DEPTH older bytes above (0 before the tail), and the number of their key. The end
+    is one byte, words close with a space."""
+    gap = bytes(DEPTH)
+    codes = [gap + k + (b"" if k.endswith(END) else b" ") for k in keys]
+    starts = np.fromiter((DEPTH + 1 + k.index(b" ") for k in keys), np.int64, len(keys))
+    ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
+    text = np.frombuffer(b"".join(codes), np.uint8)
+    starts[1:] += ends[:-1]
+    n = ends - starts
+    owner = np.repeat(np.arange(len(keys)), n)
+    at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+    gram = text[at].astype(np.uint64)
+    for d in range(1, DEPTH + 1):
+        gram |= text[at - d].astype(np.uint64) << np.uint64(8 * d)
+    return gram, owner
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series for x + 8, less the factors in between; x >= 0.5."""
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """Log gamma by Stirling's series for x + 8, less the factors in between; x >= 0.5."""
     product = np.ones_like(x)
     for k in range(8):
         product *= x + k
@@ -65,148 +81,230 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(product)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 inner nodes of the byte's tree, the root first
-    and each level from left to right, of counts of 256 symbols."""
-    levels, c = [], counts
-    while c.shape[1] > 1:
-        levels.append((c[:, 0::2], c[:, 1::2]))
-        c = c[:, 0::2] + c[:, 1::2]
-    return tuple(np.concatenate([lv[k] for lv in reversed(levels)], axis=1) for k in (0, 1))
+#: Log gamma of k + 1/2 and k + 1 for small counts.
+SMALL = np.arange(4096.0)
+HALVES, WHOLES = _stirling(SMALL + 0.5), _stirling(SMALL + 1.0)
+
+
+def _log_gamma(n: np.ndarray, small: np.ndarray, shift: float) -> np.ndarray:
+    out = small[np.minimum(n, len(small) - 1).astype(np.int64)]
+    large = n >= len(small)
+    if large.any():
+        out[large] = _stirling(n[large] + shift)
+    return out
 
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the sequential KT estimate of all bits of a node."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - np.log(np.pi)
-
-
-def _one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """KT probability that the next bit is a one."""
-    return (ones + 0.5) / (zeros + ones + 1.0)
-
-
-def _symbols(one: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of the 256 symbols from those of a one at the 255 nodes."""
-    p, at = np.zeros((len(one), 1)), 0
-    for level in range(8):
-        q = one[:, at : at + (1 << level)]
-        p = np.stack([p + np.log10(1 - q), p + np.log10(q)], axis=2).reshape(len(one), 2 << level)
-        at += 1 << level
-    return p
-
-
-class Tree:
-    """Known contexts as a trie over ever older bytes, and for each its log10
-    probabilities of the 256 symbols where it is the deepest known context."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[d]: contexts of d bytes, sorted, and their counts of 256 symbols;
-        the parent of each context is among those of the depth before."""
-        parents = [find(levels[d - 1][0], keys & mask(d - 1))[0] if d else None for d, (keys, _) in enumerate(levels)]
-        # From the leaves up: what a context's own estimate weighs against its
-        # children's, one of which is the rest that no kept child has.
-        weights, rests, below = [], [], None
-        for d in range(len(levels) - 1, -1, -1):
-            counts = levels[d][1]
-            own = _kt(*_bits(counts))
-            if d + 1 < len(levels) and len(levels[d + 1][0]):
-                up = parents[d + 1]
-                rest = counts - _rows(up, levels[d + 1][1], len(counts))
-                rest_bits = _bits(np.maximum(rest, 0))
-                split = _rows(up, below, len(counts)) + _kt(*rest_bits)
-                leaf = ~np.isin(np.arange(len(counts)), up)
-                weight = 1 / (1 + np.exp(np.clip(split - own, -60, 60)))
-                weight[leaf] = 1.0
-                below = np.where(leaf[:, None], own, np.logaddexp(own, split) + np.log(0.5))
-                rests.append(_one(*rest_bits).astype(np.float32))
-            else:
-                weight, below = np.ones_like(own), own
-                rests.append(np.zeros_like(own, np.float32))
-            weights.append(weight.astype(np.float32))
-        weights, rests = weights[::-1], rests[::-1]
-        # From the root down: what has been mixed so far, and what is left to give.
-        logs = [np.full((1, 256), -8 * np.log10(2), np.float32)]
-        mixed = left = None
-        for d, (_, counts) in enumerate(levels):
-            if d:
-                mixed, left = mixed[parents[d]], left[parents[d]]
-            else:
-                mixed, left = np.zeros((len(counts), 255)), np.ones((len(counts), 255))
-            mixed = mixed + left * weights[d] * _one(*_bits(counts))
-            left = left * (1 - weights[d])
-            logs.append(_symbols(np.clip(mixed + left * rests[d], 1e-12, 1 - 1e-12)).astype(np.float32))
-
-        # Node 0 is nowhere: no children, and all symbols alike. The root is 1.
-        self.logs = np.concatenate(logs).ravel()
-        first = np.cumsum([1, *(len(keys) for keys, _ in levels)])
-        self.children = np.zeros(first[-1] * 256, np.int32)
-        for d in range(1, len(levels)):
-            oldest = (levels[d][0] >> np.uint64(8 * (d - 1))).astype(np.int64)
-            self.children[(first[d - 1] + parents[d]) * 256 + oldest] = first[d] + np.arange(len(oldest))
-        self.depth, self.rooted = len(levels) - 1, int(len(levels[0][0]) > 0)
-
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Log10 probability of each text, given as its words."""
-        line, at, owner = coded(texts)
-        node = best = np.full(len(at), self.rooted)
-        for d in range(1, self.depth + 1):
-            node = self.children[node * 256 + line[at - d]]
-            best = np.where(node > 0, node, best)
-        return np.bincount(owner, self.logs[best.astype(np.int64) * 256 + line[at]], len(texts))
-
-
-def _rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by their row number ``at``."""
-    out = np.zeros((n, values.shape[1]))
-    np.add.at(out, at, values)
+    """Log of the sequential KT estimate of all bits of a node; counts are whole numbers."""
+    return _log_gamma(zeros, HALVES, 0.5) + _log_gamma(ones, HALVES, 0.5) - _log_gamma(zeros + ones, WHOLES, 1.0) - math.log(math.pi)
+
+
+class Nodes:
+    """Binary nodes of one depth: bits seen there, the estimate's weight against what the depths below
+    say, and the log of the weighted probability of these bits."""
+
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray | None):
+        """split: the sum of the children's logs; None at the greatest depth."""
+        self.zeros, self.ones = zeros, ones
+        own = _kt(zeros, ones)
+        self.one = (ones + 0.5) / (zeros + ones + 1.0)
+        if split is None:
+            self.weight, self.below = np.ones(len(own)), own
+        else:
+            self.weight = 1 / (1 + np.exp(np.clip(split - own, -700, 700)))
+            self.below = np.logaddexp(own, split) + math.log(0.5)
+
+
+class Level(Nodes):
+    """Nodes of a depth up to SHARD, by sorted key (context, node from 0 at the root of the byte's tree to 254)."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray):
+        super().__init__(zeros, ones, split)
+        self.key = key
+
+
+def parents(depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a Level of ``depth`` is made of, from nodes one deeper."""
+    own, at = np.unique(((key >> np.uint64(8)) & mask(depth)) << np.uint64(8) | (key & np.uint64(255)), return_inverse=True)
+    return own, *(np.bincount(at, v, len(own)) for v in (zeros, ones, below))
+
+
+class Subtree:
+    """The depths from DEPTH up to SHARD + 1 over some distinct byte strings: all that share
+    their context's newest SHARD + 1 bytes. Strings of n = 0 have nodes without counts, which
+    change nothing and predict an even chance."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.order = np.argsort(gram)
+        keys, times = gram[self.order], n[self.order].astype(float)
+        self.depths: list[tuple[np.ndarray | None, list[np.ndarray], list[Nodes]]] = []
+        child: tuple[list[np.ndarray], list[Nodes]] | None = None
+        for d in range(DEPTH, SHARD, -1):
+            up = None
+            if d < DEPTH:
+                keys, up = np.unique(((keys >> np.uint64(8)) & mask(d)) << np.uint64(8) | (keys & np.uint64(255)), return_inverse=True)
+                times = np.bincount(up, times, len(keys))
+            places, nodes, firsts = [], [], []
+            for level in range(8):
+                # Keys are sorted, so a node's are neighbours: those equal but for the symbol's last bits.
+                prefix = keys >> np.uint64(8 - level)
+                first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
+                place = np.zeros(len(keys), np.int64)
+                place[first[1:]] = 1
+                place = np.cumsum(place)
+                total = np.add.reduceat(times, first)
+                ones = np.add.reduceat(times * ((keys >> np.uint64(7 - level)) & np.uint64(1)).astype(float), first)
+                split = None
+                if child:
+                    split = np.bincount(place[up[child[0][level]]], child[1][level].below, len(first))
+                places.append(place)
+                nodes.append(Nodes(total - ones, ones, split))
+                firsts.append(first)
+            child = firsts, nodes
+            self.depths.append((up, places, nodes))
+        #: (key, zeros, ones, below) of the nodes of depth SHARD + 1.
+        key = [((keys[f] >> np.uint64(8)) << np.uint64(8)) | (np.uint64((1 << lv) - 1) + ((keys[f] & np.uint64(255)) >> np.uint64(8 - lv))) for lv, f in enumerate(firsts)]
+        self.top = tuple(np.concatenate(x) for x in (key, [v.zeros for v in nodes], [v.ones for v in nodes], [v.below for v in nodes]))
+
+    def predicted(self, gram: np.ndarray, upper: list[Level]) -> np.ndarray:
+        """Log10 probability of each string's symbol in its context; upper: the
+        levels from 0 to SHARD, which hold all nodes of these strings."""
+        g = gram[self.order]
+        out = np.zeros(len(g))
+        for level in range(8):
+            node = np.uint64((1 << level) - 1) + ((g & np.uint64(255)) >> np.uint64(8 - level))
+            one, left = np.zeros(len(g)), np.ones(len(g))
+            for d, v in enumerate(upper):
+                at, there = find(v.key, (((g >> np.uint64(8)) & mask(d)) << np.uint64(8)) | node)
+                one += left * np.where(there, v.weight[at] * v.one[at], 0.0)
+                left *= np.where(there, 1 - v.weight[at], 1.0)
+            # From the deepest on, where each string's ancestors are.
+            ancestor, steps = np.arange(len(g)), []
+            for up, places, nodes in self.depths:
+                ancestor = ancestor if up is None else up[ancestor]
+                at = places[level][ancestor]
+                steps.append((nodes[level].weight[at], nodes[level].one[at]))
+            for weight, estimate in reversed(steps):
+                one += left * weight * estimate
+                left *= 1 - weight
+            bit = (g >> np.uint64(7 - level)) & np.uint64(1)
+            out += np.log10(np.where(bit == 1, one, 1 - one))
+        value = np.zeros(len(g))
+        value[self.order] = out
+        return value
+
+
+def subtrees(gram: np.ndarray) -> list[slice]:
+    """Slices of byte strings sorted as by ``in_shards``, of about LAID_OUT each, none with a part of the strings of
+    one context of SHARD + 1 bytes."""
+    newest = (gram >> np.uint64(8)) & mask(SHARD + 1)
+    starts = np.concatenate((np.flatnonzero(np.concatenate(([True], newest[1:] != newest[:-1]))), [len(gram)]))
+    out, at = [], 0
+    while at < len(gram):
+        end = int(starts[max(np.searchsorted(starts, at + LAID_OUT, "right") - 1, np.searchsorted(starts, at, "right"))])
+        out.append(slice(at, end))
+        at = end
     return out
 
 
-def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct byte strings of DEPTH + 1 bytes of the texts' codes, as integers
-    with the symbol lowest and older bytes higher, and their counts."""
-    line, at, _ = coded(texts)
-    key = line[at].astype(np.int64)
-    for d in range(1, DEPTH + 1):
-        key |= line[at - d].astype(np.int64) << (8 * d)
-    return np.unique(key, return_counts=True)
+def shards(gram: np.ndarray, n: np.ndarray) -> Level:
+    """The level of SHARD over whole shards."""
+    tops = [Subtree(gram[s], n[s]).top for s in subtrees(gram)]
+    return Level(*parents(SHARD, *(np.concatenate(x) for x in zip(*tops, strict=True))))
+
+
+def above(level: Level) -> list[Level]:
+    """The levels from 0 on down to the given one of SHARD - 1."""
+    levels = [level]
+    for d in range(SHARD - 2, -1, -1):
+        v = levels[0]
+        levels.insert(0, Level(*parents(d, v.key, v.zeros, v.ones, v.below)))
+    return levels
+
+
+def in_shards(grams: DataFrame) -> DataFrame:
+    """(gram, n) dealt by the newest SHARD bytes of the context, sorted by these, then the third."""
+    newest = F.shiftright("gram", 8)
+    shard, third = newest.bitwiseAND((1 << (8 * SHARD)) - 1), newest.bitwiseAND(0xFFFFFF)
+    return grams.select("gram", "n").repartition(shard).sortWithinPartitions(shard, third, "gram")
+
+
+def _whole_shards(batches: Iterator[pd.DataFrame], work: Callable[[np.ndarray, np.ndarray], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= 4 * LAID_OUT:
+            rows = pd.concat(held, ignore_index=True)
+            shard = (rows["gram"].to_numpy().view(np.uint64) >> np.uint64(8)) & mask(SHARD)
+            # The last shard may go on in the next batch.
+            done = int(np.flatnonzero(shard != shard[-1]).max(initial=-1)) + 1
+            held, size = [rows.iloc[done:]], len(rows) - done
+            if done:
+                yield work(rows["gram"].to_numpy().view(np.uint64)[:done], rows["n"].to_numpy()[:done])
+    if size:
+        rows = pd.concat(held, ignore_index=True)
+        yield work(rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+
+
+def code_lengths(grams: DataFrame) -> DataFrame:
+    """(gram, value): log10 probability of each byte string's symbol in its context, by the
+    tree of all. ``grams`` has (gram, n), distinct; those of n = 0 are only asked for."""
+
+    def rise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(gram: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            v = shards(gram, n)
+            # Other shards have children of the same nodes, so these are sums yet.
+            key, zeros, ones, split = parents(SHARD - 1, v.key, v.zeros, v.ones, v.below)
+            return pd.DataFrame({"node": key.astype(np.int64), "zeros": zeros, "ones": ones, "split": split})
+
+        return _whole_shards(batches, work)
+
+    tops = in_shards(grams).mapInPandas(rise, "node long, zeros double, ones double, split double")
+    # Contexts of SHARD - 1 bytes and the 255 nodes of each: 65,280 rows at most.
+    rows = tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("split").alias("split")).orderBy("node").toPandas()
+    top = above(Level(rows["node"].to_numpy(np.uint64), *(rows[c].to_numpy(float) for c in ("zeros", "ones", "split"))))
+    sent = sent_to_workers(grams.sparkSession, top)
+
+    def fall(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = kept_in_worker("ctw-top", sent, lambda v: v)
 
+        def work(gram: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            known = [*upper, shards(gram, n)]
+            value = [Subtree(gram[s], n[s]).predicted(gram[s], known) for s in subtrees(gram)]
+            return pd.DataFrame({"gram": gram.view(np.int64), "value": np.concatenate(value)})
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(word binary, gram long, n long): how often each word and each byte string
-    occurs in the training texts; one of word and gram is null."""
+        return _whole_shards(batches, work)
+
+    return in_shards(grams).mapInPandas(fall, "gram long, value double")
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """(key binary, n long): how often the texts that teach have each key of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def hand_on(all_: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal words, found, held
-            if words and (all_ or len(words) >= HELD_WORDS):
-                w, n = pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
-                words = Counter()
-                yield pa.record_batch([w, pa.nulls(len(w), pa.int64()), n], names=["word", "gram", "n"])
-            if held and (all_ or held >= HELD_GRAMS):
-                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([v for _, v in found]), len(keys)).astype(np.int64)
-                found, held = [(keys, n)], len(keys)
-                if all_ or held >= HELD_GRAMS:
-                    found, held = [], 0
-                    yield pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=["word", "gram", "n"])
+        keys: Counter = Counter()
 
-        for part in taken(batches):
-            split = [words_of(t) for t in part.column("text").to_pylist()]
-            for w in split:
-                words.update(w)
-            words[END] += len(split)
-            found.append(grams(split))
-            held += len(found[-1][0])
-            yield from hand_on(False)
-        yield from hand_on(True)
+        def hand_on() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(keys), pa.binary()), pa.array(list(keys.values()), pa.int64())], names=["key", "n"])
 
-    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+        for part in taken(batches):
+            for text, learns in zip(part.column("text").to_pylist(), part.column("learns").to_pylist(), strict=True):
+                here = keys_of(words_of(text))
+                if learns:
+                    keys.update(here)
+                else:
+                    for k in here:
+                        if k not in keys:
+                            keys[k] = 0
+            if len(keys) >= HELD_WORDS:
+                yield hand_on()
+                keys = Counter()
+        if keys:
+            yield hand_on()
+
+    return rows.select("text", "learns").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -224,107 +322,129 @@ def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def known_contexts(found: DataFrame, total: int, contexts: int = CONTEXTS) -> Tree:
-    """The tree over the contexts that hold ``total / contexts`` bytes or more: at
-    most ``contexts`` of each depth, with 256 counts at most, come to the driver."""
-    gram = F.col("gram")
-    depths = F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])).alias("d")
-    older = F.shiftright(gram, 8)
-    context = older.bitwiseAND(F.element_at(F.array(*[F.lit(int(mask(d))) for d in range(DEPTH + 1)]), F.col("d") + 1))
-    pairs = found.where("gram IS NOT NULL").select("gram", "n", depths).select("d", context.alias("c"), gram.bitwiseAND(255).alias("s"), "n")
-    pairs = pairs.groupBy("d", "c", "s").agg(F.sum("n").alias("n"))
-    whole = pairs.groupBy("d", "c").agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col("s").cast("short").alias("s"), "n")).alias("all"))
-    kept = whole.where(F.col("total") >= F.lit(total / contexts)).select("d", "c", F.col("all.s").alias("s"), F.col("all.n").alias("n")).toArrow()
-    depth, context = kept.column("d").to_numpy(), kept.column("c").to_numpy().astype(np.uint64)
-    symbols, times = kept.column("s").combine_chunks(), kept.column("n").combine_chunks()
-    row = np.repeat(np.arange(len(depth)), symbols.value_lengths().to_numpy(zero_copy_only=False))
-    dense = np.zeros((len(depth), 256), np.float32)
-    dense[row, symbols.flatten().to_numpy().astype(int)] = times.flatten().to_numpy()
-    levels = []
-    for d in range(DEPTH + 1):
-        of = np.flatnonzero(depth == d)
-        of = of[np.argsort(context[of])]
-        levels.append((context[of], dense[of].astype(float)))
-    return Tree(levels)
-
-
-def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of
-    ``docs``, by a model of the texts of ``learn``.
-
-    Null and empty texts are the end token alone. Repeated rows are scored one by
-    one, and teach one by one. An empty table gives no rows; with nothing to
-    learn from, bytes are even and no token is known. base_score sums
-    log10((c + 1) / (N + V + 1)) over tokens.
-    """
-    spark = docs.sparkSession
-    found = written(counts(learn.select(F.col(text_col).alias("text"))), "counts")
-    words = found.where("word IS NOT NULL").select("word", "n")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+def lexicon(keys: DataFrame, kinds: int, chunk: int = CHUNK) -> DataFrame:
+    """(key, n, c, first, value) of a table (key, n) of ``kinds`` rows: c is the count of the key's word,
+    first true for one key of each word, value the log10 probability of the word behind its tail.
+
+    Keys are dealt by word into chunks of about ``chunk``; each asks once for each of its byte strings."""
+    chunks = max(1, -(-kinds // chunk))
+    # Where the space is, byte by byte: a tail may be a part of a character.
+    word = F.coalesce(*[F.when(F.substring("key", k, 1) == F.lit(b" "), F.substring("key", k + 1, 1 << 30)) for k in range(1, TAIL + 2)])
+    dealt = keys.withColumn("chunk", F.pmod(F.xxhash64(word), F.lit(chunks)).cast("int"))
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        gram, owner = spelt(rows["key"].tolist())
+        found, at = np.unique(gram, return_inverse=True)
+        n = np.bincount(at, rows["n"].to_numpy(float)[owner], len(found)).round().astype(np.int64)
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "gram": found.view(np.int64), "n": n})
+
+    asked = written(dealt.groupBy("chunk").applyInPandas(ask, "chunk int, gram long, n long"), "asked")
+    grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    values = written(code_lengths(grams), "values")
+
+    def answer(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        own = known["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(own)
+        keys = rows["key"].tolist()
+        gram, owner = spelt(keys)
+        value = known["value"].to_numpy()[order][np.searchsorted(own[order], gram)]
+        words = pd.Series([k[k.index(b" ") + 1 :] for k in keys])
+        c = rows["n"].groupby(words.to_numpy()).transform("sum")
+        return pd.DataFrame({"key": rows["key"], "n": rows["n"], "c": c, "first": ~words.duplicated().to_numpy(), "value": np.bincount(owner, value, len(rows))})
+
+    told = asked.select("chunk", "gram").join(values, "gram")
+    found = written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "key binary, n long, c long, first boolean, value double"), "lexicon")
+    dropped(asked, grams, values)
+    return found
+
+
+def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
+    """As score(), for rows (doc_id, text binary, learns, asks): those that teach the
+    model, and those that are to be scored."""
+    spark = rows.sparkSession
+    keys = written(counts(rows), "counts")
+    known = lexicon(keys, keys.count())
+    dropped(keys)
+    size = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("v")).first()
     tokens, kinds = int(size.n), int(size.v)
-    total = found.where("gram IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tree = known_contexts(found, total, contexts)
     # Each holds a share of 1 / head of all tokens or more, so there are no more than head.
-    common = {bytes(r.word): r.n for r in words.where(F.col("n") >= F.lit(max(1.0, tokens / head))).collect()}
-    sent = sent_to_workers(spark, (tree, common))
+    often = F.col("n") >= F.lit(max(1.0, tokens / head))
+    common = known.where(often).select("key", "c", "value").toPandas()
+    sent = sent_to_workers(spark, (dict(zip(map(bytes, common["key"]), range(len(common)), strict=True)), np.log10(common["c"].to_numpy(float) + 1), common["value"].to_numpy(float)))
     floor = float(np.log10(tokens + kinds + 1.0))
+    schema = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, key binary, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = kept_in_worker("ctw", sent, lambda v: v)
+        place, logs, values = kept_in_worker("ctw", sent, lambda v: v)
         for part in taken(batches):
-            split = [words_of(t) for t in part.column("text").to_pylist()]
-            n_known, base = np.zeros(len(split), np.int64), np.zeros(len(split))
-            rare: list[bytes] = []
+            first: list[tuple] = []
             times: list[int] = []
-            ends = [0]
-            for k, w in enumerate(split):
-                here = Counter(w)
-                here[END] = 1
-                seen = 0
-                value = 0.0
-                for word, n in here.items():
-                    c = often.get(word)
-                    if c is None:
-                        rare.append(word)
-                        times.append(n)
-                    else:
-                        seen += n
-                        value += n * LOG10(c + 1)
-                n_known[k], base[k] = seen, value
-                ends.append(len(rare))
-            offsets = pa.array(ends, pa.int32())
-            yield pa.record_batch(
-                [
-                    part.column("row").combine_chunks(),
-                    part.column("doc_id").combine_chunks(),
-                    pa.array([len(w) + 1 for w in split], pa.int64()),
-                    pa.array(n_known),
-                    pa.array(base),
-                    pa.array(known.of(split)),
-                    pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
-                ],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    once = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"), "scored")
-    # Of the words that aren't common no one is in more than a small share of all rows.
-    rare = once.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    rest = rare.join(words.where(F.col("n") < F.lit(max(1.0, tokens / head))), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("value"))
-    both = once.drop("rare", "times").join(rest, "row", "left")
-    return both.select(
+            rare: list[bytes] = []
+            lengths: list[int] = []
+            for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                w = words_of(text)
+                here = Counter(keys_of(w))
+                found = list(map(place.get, here))
+                n = np.fromiter(here.values(), np.int64, len(here))
+                at = np.array([-1 if k is None else k for k in found], np.int64)
+                old = at >= 0
+                own, at = n[old], at[old]
+                first.append((len(w) + 1, sum(map(len, w)) + len(w) + 1, int(own.sum()), float(own @ logs[at]), float(own @ values[at])))
+                others = [k for k, f in zip(here, found, strict=True) if f is None]
+                rare += others or [b"  %d" % row]  # no key has two spaces: this one is in no table, and in no other row
+                times += n[~old].tolist() or [0]
+                lengths.append(max(1, len(others)))
+            # What belongs to a text stands in the first of its rows.
+            row = np.repeat(part.column("row").to_numpy(), lengths)
+            at = np.cumsum(lengths) - lengths
+            later = np.ones(len(row), bool)
+            later[at] = False
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            spread = [pa.array(np.repeat(np.array(c), lengths), t, mask=later) for c, t in zip(zip(*first, strict=True), kinds, strict=True)]
+            ids = part.column("doc_id").combine_chunks().take(pa.array(np.where(later, None, np.repeat(np.arange(len(lengths)), lengths)), pa.int64()))
+            yield pa.record_batch([pa.array(row), ids, *spread, pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=[f.split()[0] for f in schema.split(", ")])
+
+    asked = rows.where("asks").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+    # Of the keys that aren't common no one is in more than a small share of all rows.
+    both = asked.join(known.where(~often).select("key", "c", "value"), "key", "left")
+    total = lambda own, joined: F.sum(F.coalesce(F.col(own), F.lit(0))) + F.sum(F.coalesce(joined, F.lit(0)))
+    each = both.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.max("n_bytes").alias("n_bytes"),
+        total("n_known", F.when(F.col("c") > 0, F.col("times"))).alias("n_known"),
+        total("base", F.col("times") * F.log10(F.col("c") + 1)).alias("base"),
+        total("score", F.col("times") * F.col("value")).alias("score"),
+    )
+    return each.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("value", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
         "score",
+        (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, learns, asks) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), learns.alias("learns"), asks.alias("asks"))
+
+
+def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for
+    each row of ``docs``, by a model of the texts of ``learn``.
+
+    Null and empty texts are the end token alone. Repeated rows, and rows of null ids, are scored one by
+    one, and teach one by one. An empty table gives no rows; with nothing to
+    learn from, bytes are even and no token is known. base_score sums
+    log10((c + 1) / (N + V + 1)) over tokens; bits_per_byte is the code length by the tree.
+    """
+    teach = _rows(learn, id_col, text_col, F.lit(True), F.lit(False))
+    return scored(teach.unionByName(_rows(docs, id_col, text_col, F.lit(False), F.lit(True))), head)
+
+
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(F.col("doc_id"), FOLDS) == HELD
-    found = score(docs, docs.where(~held))
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = scored(_rows(table(spark, sf_dir, "documents"), "doc_id", "text", ~held, F.lit(True)))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

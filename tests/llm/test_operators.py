@@ -225,43 +225,90 @@ def test_no_conversations(spark):
 # Context-tree weighting
 
 
-def test_tree_gives_a_distribution_that_weighs_context():
-    texts = [t.encode().split() for t in ["abab abab ab", "abab ab abab", "ba ba"]]
-    keys, n = ctw.grams(texts)
-    levels = []
-    for d in range(ctw.DEPTH + 1):
-        m = np.uint64((1 << 8 * d) - 1)
-        context, symbol = (keys.astype(np.uint64) >> np.uint64(8)) & m, (keys & 255).astype(int)
-        known, at = np.unique(context, return_inverse=True)
-        dense = np.zeros((len(known), 256))
-        np.add.at(dense, (at, symbol), n)
-        levels.append((known, dense))
-    tree = ctw.Tree(levels)
-    p = 10.0 ** tree.logs.reshape(-1, 256)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    assert tree.of([[b"abab"]])[0] > tree.of([[b"bbbb"]])[0] > tree.of([["ü".encode() * 2]])[0]
-    assert tree.of([[b"abab"], []])[1] > -10
-
-
-def test_root_weights_are_those_of_the_definition():
-    """One context level: the mixture of the root's estimate and its children's."""
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-    one, two = np.zeros((1, 256)), np.zeros((2, 256))
-    two[0, 0], two[0, 128], two[1, 0], two[1, 128] = 9, 1, 2, 7
-    one[0] = two.sum(0)
-    tree = ctw.Tree([(np.zeros(1, np.uint64), one), (np.array([65, 66], np.uint64), two)])
-    own, split = kt(11, 8), kt(9, 1) + kt(2, 7) + kt(0, 0)
-    w = 1 / (1 + math.exp(split - own))
-    first = [1 - (w * 8.5 / 20 + (1 - w) * 1.5 / 11), 1 - (w * 8.5 / 20 + (1 - w) * 7.5 / 10)]
-    got = (10.0 ** tree.logs.reshape(-1, 256))[2:, :128].sum(axis=1)
-    assert np.allclose(got, first, atol=1e-4)
+class Plain:
+    """Context-tree weighting by its definition, over dictionaries."""
+
+    def __init__(self, counts):
+        self.seen = {}  # (context, node) -> [zeros, ones]
+        for key, n in counts.items():
+            for context, symbol in self.steps(key):
+                for d in range(ctw.DEPTH + 1):
+                    for node, bit in self.path(symbol):
+                        self.seen.setdefault((context[len(context) - d :], node), [0, 0])[bit] += n
+        self.children = {}
+        for context, node in self.seen:
+            if context:
+                self.children.setdefault((context[1:], node), set()).add(context)
+
+    @staticmethod
+    def steps(key):
+        word = key.index(b" ") + 1
+        code = bytes(ctw.DEPTH) + key + (b"" if key.endswith(ctw.END) else b" ")
+        return [(code[i - ctw.DEPTH : i], code[i]) for i in range(ctw.DEPTH + word, len(code))]
+
+    @staticmethod
+    def path(symbol):
+        return [((1 << lv) - 1 + (symbol >> (8 - lv)), symbol >> (7 - lv) & 1) for lv in range(8)]
+
+    def weighted(self, context, node, more):
+        """Log of the weighted probability at a context once ``more`` bits were added to some."""
+        zeros, ones = (a + b for a, b in zip(self.seen.get((context, node), (0, 0)), more.get(context, (0, 0)), strict=True))
+        own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+        if len(context) == ctw.DEPTH:
+            return own
+        below = self.children.get((context, node), set()) | {c for c in more if c[1:] == context and len(c) == len(context) + 1}
+        split = sum(self.weighted(c, node, more) for c in sorted(below))
+        top = max(own, split)
+        return top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(split - top))
+
+    def log10(self, key):
+        total = 0.0
+        for context, symbol in self.steps(key):
+            for node, bit in self.path(symbol):
+                more = {context[len(context) - d :]: (1 - bit, bit) for d in range(ctw.DEPTH + 1)}
+                total += self.weighted(b"", node, more) - self.weighted(b"", node, {})
+        return total / math.log(10)
+
+
+def test_words_cost_what_plain_context_tree_weighting_says(spark):
+    counts = Counter({b" ab": 3, b"ab ab": 2, b"ab ba": 1, b"ba \n": 4, b"ba ab": 5000, b"\xa9 \xc3\xa9ab": 2, b" \n": 1})
+    asked = [*counts, b"ab \xc3\xa9", b"ab abab", b" zz", b"zz \n"]
+    table = spark.createDataFrame([(bytearray(k), counts[k]) for k in asked], "key binary, n long")
+    plain = Plain(counts)
+    for chunk in (100, 2):
+        got = {bytes(r.key): r for r in ctw.lexicon(table, len(asked), chunk).collect()}
+        assert set(got) == set(asked)
+        for k in asked:
+            assert abs(got[k].value - plain.log10(k)) < 1e-6, k
+            assert got[k].n == counts[k] and got[k].c == sum(n for x, n in counts.items() if x.split(b" ", 1)[1] == k.split(b" ", 1)[1])
+        assert sum(r.first for r in got.values()) == len({k.split(b" ", 1)[1] for k in asked})
+
+
+def test_the_model_is_a_distribution():
+    """All symbols behind one context, over subtrees laid out one by one."""
+    rng = np.random.default_rng(4)
+    text = bytes(rng.choice(list(b"abc "), 4000).tolist()) + b" "
+    keys = Counter(ctw.keys_of(ctw.words_of(text)))
+    gram, owner = ctw.spelt(list(keys))
+    known, at = np.unique(gram, return_inverse=True)
+    n = np.bincount(at, np.array(list(keys.values()), float)[owner])
+    context = known[n.argmax()] >> np.uint64(8)
+    every = np.union1d(known, (context << np.uint64(8)) | np.arange(256, dtype=np.uint64))
+    times = np.zeros(len(every))
+    times[np.searchsorted(every, known)] = n
+    order = np.lexsort((every, every >> np.uint64(8) & np.uint64(0xFFFFFF), every >> np.uint64(8) & np.uint64(0xFFFF)))
+    every, times = every[order], times[order]
+    level = ctw.shards(every, times)
+    upper = [*ctw.above(ctw.Level(*ctw.parents(ctw.SHARD - 1, level.key, level.zeros, level.ones, level.below))), level]
+    value = np.concatenate([ctw.Subtree(every[s], times[s]).predicted(every[s], upper) for s in ctw.subtrees(every)])
+    assert abs((10.0 ** value[every >> np.uint64(8) == context]).sum() - 1) < 1e-9
 
 
 def test_scores_and_base_of_texts(spark):
     rows = [(i, prose(i, 60 + i)) for i in range(60)] + [(100, None), (101, ""), (None, "the of"), (5, prose(5, 65)), (102, prose(7, 20000)), (103, "zzqq unheard")]
     table = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
     learn = table.where(fold(F.col("doc_id"), 7) != 2)
-    got = sorted(ctw.score(table, learn, head=8).drop("score").collect(), key=str)
+    got = sorted(ctw.score(table, learn, head=8).drop("score", "bits_per_byte").collect(), key=str)
     counts, n = Counter(), 0
     for i, t in rows:
         import zlib
