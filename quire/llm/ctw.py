@@ -1,12 +1,13 @@
 """Language-model scores by context-tree weighting.
 
 A text is its words, each closed by a space, and an end; bytes are predicted
-bit by bit from the DEPTH bytes before them, which reach over the word's opening space into
-the TAIL last bytes of the word before. Each context of each depth, and each node of the
+bit by bit from the DEPTH bytes before them, which reach no farther than TAIL bytes over the
+word's opening space. Each context of each depth, and each node of the
 byte's binary tree there, keeps a Krichevsky-Trofimov estimate, and weighting mixes those of
 all depths by how well they coded the corpus. Every context that the corpus has is in the
 tree, which is computed in shards: all contexts that end in the same two bytes are a subtree of
-one task. A word's code length behind a tail follows from the two alone, so it is looked up like a count.
+one task. What the first bytes of a word cost follows from them and the tail before (the word's head), what
+the others cost from the word alone, so both are looked up like counts.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.bytegrams import find, mask
+from quire.llm.bytegrams import find, mask, summed
 from quire.llm.common import dropped, fold, kept_in_worker, parts, sent_to_workers, table, written
 
-DEPTH, TAIL = 7, 2
+DEPTH, TAIL = 6, 2
+#: Bytes of a word (its closing space is one) whose contexts reach its opening space.
+HEAD_BYTES = DEPTH - 1
 FOLDS, HELD = 7, 2
-#: Words behind a tail with one in so many tokens are known to every task; the others
-#: are joined. There are at most so many.
-HEAD = 262_144
-#: Distinct words behind tails that a task counts before it hands them on.
-HELD_WORDS = 400_000
-#: Distinct words behind tails that are scored together.
-CHUNK = 100_000
+#: Words, and heads, with one in so many tokens are known to every task; the others
+#: are joined. There are at most so many of each.
+HEAD = 1 << 20
+#: Distinct words that a task counts before it hands them on, and heads.
+HELD_WORDS, HELD_HEADS = 250_000, 1_000_000
+#: Distinct words and heads that are scored together.
+CHUNK = 200_000
 #: Byte strings whose subtrees are laid out at a time (a subtree of three bytes stays whole).
 LAID_OUT = 50_000
 #: Bytes of text that a task takes up at a time.
@@ -48,18 +51,43 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def keys_of(words: list[bytes]) -> list[bytes]:
-    """Each word, and the end, behind the tail of the word before and a space."""
-    return [p[-TAIL:] + b" " + w for p, w in zip([b"", *words], [*words, END], strict=True)]
+def heads_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(head, text): for each token of each text TAIL bytes of running text before its opening space (0 before
+    the text), and its first HEAD_BYTES bytes (0 behind its end), as one integer, the oldest byte highest."""
+    before = bytes(TAIL) + b" "
+    codes = [before + b" ".join(w) + b" " + END if w else before + END for w in texts]
+    line = np.frombuffer(b"".join(codes) + bytes(HEAD_BYTES), np.uint8)
+    starts = np.flatnonzero(line == 32) + 1
+    head = np.zeros(len(starts), np.uint64)
+    for k in range(TAIL):
+        head = (head << np.uint64(8)) | line[starts - 1 - TAIL + k].astype(np.uint64)
+    live = np.ones(len(starts), bool)
+    for k in range(HEAD_BYTES):
+        byte = line[starts + k]
+        head = (head << np.uint64(8)) | np.where(live, byte, 0).astype(np.uint64)
+        live &= (byte != 32) & (byte != END[0])
+    return head, np.repeat(np.arange(len(texts)), np.fromiter((len(w) + 1 for w in texts), np.int64, len(texts)))
+
+
+def head_keys(head: np.ndarray) -> pa.Array:
+    """Heads as keys beside words: a space and 8 bytes; no word begins with a space."""
+    data = np.full((len(head), 9), 32, np.uint8)
+    data[:, 1:] = head.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((np.arange(len(head) + 1) * 9).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def spelt(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, key): the byte strings that spell the words, as integers with the symbol lowest
-    and DEPTH older bytes above (0 before the tail), and the number of their key. The end
-    is one byte, words close with a space."""
+    """(gram, key): the byte strings that spell what the keys stand for, heads or the bytes of words behind their
+    heads, as integers with the symbol lowest and DEPTH older bytes above; and the number of their key."""
     gap = bytes(DEPTH)
-    codes = [gap + k + (b"" if k.endswith(END) else b" ") for k in keys]
-    starts = np.fromiter((DEPTH + 1 + k.index(b" ") for k in keys), np.int64, len(keys))
+    codes, starts = [], np.zeros(len(keys), np.int64)
+    for k, key in enumerate(keys):
+        if key[:1] == b" ":
+            codes.append(gap + key[9 - TAIL - HEAD_BYTES : 9 - HEAD_BYTES] + b" " + key[9 - HEAD_BYTES :].rstrip(b"\0"))
+            starts[k] = DEPTH + TAIL + 1
+        else:
+            codes.append(gap + b" " + key + (b"" if key == END else b" "))
+            starts[k] = min(DEPTH + 1 + HEAD_BYTES, len(codes[-1]))
     ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
     text = np.frombuffer(b"".join(codes), np.uint8)
     starts[1:] += ends[:-1]
@@ -281,28 +309,41 @@ def code_lengths(grams: DataFrame) -> DataFrame:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(key binary, n long): how often the texts that teach have each key of all texts."""
+    """(key binary, n long): how often the texts that teach have each word and each head of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: Counter = Counter()
-
-        def hand_on() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(keys), pa.binary()), pa.array(list(keys.values()), pa.int64())], names=["key", "n"])
+        words: Counter = Counter()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def hand_on(all_: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal words, found, held
+            if words and (all_ or len(words) >= HELD_WORDS):
+                yield pa.record_batch([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["key", "n"])
+                words = Counter()
+            if held and (all_ or held >= HELD_HEADS):
+                heads, n = summed(np.concatenate([h for h, _ in found]), np.concatenate([c for _, c in found]))
+                found, held = [(heads, n)], len(heads)
+                if all_ or held >= HELD_HEADS // 2:
+                    found, held = [], 0
+                    yield pa.record_batch([head_keys(heads), pa.array(n)], names=["key", "n"])
 
         for part in taken(batches):
-            for text, learns in zip(part.column("text").to_pylist(), part.column("learns").to_pylist(), strict=True):
-                here = keys_of(words_of(text))
-                if learns:
-                    keys.update(here)
+            split = [words_of(t) for t in part.column("text").to_pylist()]
+            learns = part.column("learns").to_numpy()
+            for w, teaches in zip(split, learns.tolist(), strict=True):
+                if teaches:
+                    words.update(w)
+                    words[END] += 1
                 else:
-                    for k in here:
-                        if k not in keys:
-                            keys[k] = 0
-            if len(keys) >= HELD_WORDS:
-                yield hand_on()
-                keys = Counter()
-        if keys:
-            yield hand_on()
+                    for k in (*w, END):
+                        if k not in words:
+                            words[k] = 0
+            head, owner = heads_of(split)
+            found.append(summed(head, learns[owner].astype(np.int64)))
+            held += len(found[-1][0])
+            yield from hand_on(False)
+        yield from hand_on(True)
 
     return rows.select("text", "learns").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -323,19 +364,16 @@ def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def lexicon(keys: DataFrame, kinds: int, chunk: int = CHUNK) -> DataFrame:
-    """(key, n, c, first, value) of a table (key, n) of ``kinds`` rows: c is the count of the key's word,
-    first true for one key of each word, value the log10 probability of the word behind its tail.
+    """(key, n, value) of a table (key, n) of ``kinds`` rows: value is the log10 probability of the head, or
+    of the word's bytes behind its head.
 
-    Keys are dealt by word into chunks of about ``chunk``; each asks once for each of its byte strings."""
+    Keys are dealt into chunks of about ``chunk``; each asks once for each of its byte strings."""
     chunks = max(1, -(-kinds // chunk))
-    # Where the space is, byte by byte: a tail may be a part of a character.
-    word = F.coalesce(*[F.when(F.substring("key", k, 1) == F.lit(b" "), F.substring("key", k + 1, 1 << 30)) for k in range(1, TAIL + 2)])
-    dealt = keys.withColumn("chunk", F.pmod(F.xxhash64(word), F.lit(chunks)).cast("int"))
+    dealt = keys.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         gram, owner = spelt(rows["key"].tolist())
-        found, at = np.unique(gram, return_inverse=True)
-        n = np.bincount(at, rows["n"].to_numpy(float)[owner], len(found)).round().astype(np.int64)
+        found, n = summed(gram, rows["n"].to_numpy()[owner])
         return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "gram": found.view(np.int64), "n": n})
 
     asked = written(dealt.groupBy("chunk").applyInPandas(ask, "chunk int, gram long, n long"), "asked")
@@ -345,19 +383,23 @@ def lexicon(keys: DataFrame, kinds: int, chunk: int = CHUNK) -> DataFrame:
     def answer(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         own = known["gram"].to_numpy().view(np.uint64)
         order = np.argsort(own)
-        keys = rows["key"].tolist()
-        gram, owner = spelt(keys)
-        value = known["value"].to_numpy()[order][np.searchsorted(own[order], gram)]
-        words = pd.Series([k[k.index(b" ") + 1 :] for k in keys])
-        c = rows["n"].groupby(words.to_numpy()).transform("sum")
-        return pd.DataFrame({"key": rows["key"], "n": rows["n"], "c": c, "first": ~words.duplicated().to_numpy(), "value": np.bincount(owner, value, len(rows))})
+        gram, owner = spelt(rows["key"].tolist())
+        value = known["value"].to_numpy()[order][np.searchsorted(own[order], gram)] if len(gram) else np.zeros(0)
+        return pd.DataFrame({"key": rows["key"], "n": rows["n"], "value": np.bincount(owner, value, len(rows))})
 
     told = asked.select("chunk", "gram").join(values, "gram")
-    found = written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "key binary, n long, c long, first boolean, value double"), "lexicon")
+    found = written(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "key binary, n long, value double"), "lexicon")
     dropped(asked, grams, values)
     return found
 
 
+class Known(dict):
+    """The place of each common word; -1 for the others."""
+
+    def __missing__(self, key: bytes) -> int:
+        return -1
+
+
 def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
     """As score(), for rows (doc_id, text binary, learns, asks): those that teach the
     model, and those that are to be scored."""
@@ -365,48 +407,69 @@ def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
     keys = written(counts(rows), "counts")
     known = lexicon(keys, keys.count())
     dropped(keys)
-    size = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("v")).first()
+    is_head = F.substring("key", 1, 1) == F.lit(b" ")
+    size = known.where(~is_head).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     tokens, kinds = int(size.n), int(size.v)
-    # Each holds a share of 1 / head of all tokens or more, so there are no more than head.
+    # Each holds a share of 1 / head of all tokens or more, so there are no more than head of either sort.
     often = F.col("n") >= F.lit(max(1.0, tokens / head))
-    common = known.where(often).select("key", "c", "value").toPandas()
-    sent = sent_to_workers(spark, (dict(zip(map(bytes, common["key"]), range(len(common)), strict=True)), np.log10(common["c"].to_numpy(float) + 1), common["value"].to_numpy(float)))
+    common = known.where(often).toPandas()
+    first = common["key"].map(lambda k: k[:1] == b" ").to_numpy(bool)
+    words, heads = common[~first], common[first]
+    named = np.array([int.from_bytes(k[1:], "big") for k in heads["key"]], np.uint64)
+    order = np.argsort(named)
+    sent = sent_to_workers(
+        spark,
+        (
+            Known(zip(map(bytes, words["key"]), range(len(words)), strict=True)),
+            np.append(np.log10(words["n"].to_numpy(float) + 1), 0.0),
+            np.append(words["value"].to_numpy(float), 0.0),
+            named[order],
+            heads["value"].to_numpy(float)[order],
+        ),
+    )
     floor = float(np.log10(tokens + kinds + 1.0))
     schema = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, key binary, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, logs, values = kept_in_worker("ctw", sent, lambda v: v)
+        place, logs, values, common_heads, head_values = kept_in_worker("ctw", sent, lambda v: v)
         for part in taken(batches):
-            first: list[tuple] = []
-            times: list[int] = []
+            split = [words_of(t) for t in part.column("text").to_pylist()]
+            n = len(split)
+            head, owner = heads_of(split)
+            kinds, of = np.unique(head, return_inverse=True)
+            at, there = find(common_heads, kinds)
+            value = np.where(there, head_values[at], 0.0) if len(head_values) else np.zeros(len(kinds))
+            score = np.bincount(owner, value[of], n)
+            missed = ~there[of]
+            pairs, times_of = np.unique(owner[missed] * len(kinds) + of[missed], return_counts=True)
+            base, n_known, n_bytes = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             rare: list[bytes] = []
-            lengths: list[int] = []
-            for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                w = words_of(text)
-                here = Counter(keys_of(w))
-                found = list(map(place.get, here))
-                n = np.fromiter(here.values(), np.int64, len(here))
-                at = np.array([-1 if k is None else k for k in found], np.int64)
-                old = at >= 0
-                own, at = n[old], at[old]
-                first.append((len(w) + 1, sum(map(len, w)) + len(w) + 1, int(own.sum()), float(own @ logs[at]), float(own @ values[at])))
-                others = [k for k, f in zip(here, found, strict=True) if f is None]
-                rare += others or [b"  %d" % row]  # no key has two spaces: this one is in no table, and in no other row
-                times += n[~old].tolist() or [0]
-                lengths.append(max(1, len(others)))
-            # What belongs to a text stands in the first of its rows.
-            row = np.repeat(part.column("row").to_numpy(), lengths)
-            at = np.cumsum(lengths) - lengths
-            later = np.ones(len(row), bool)
-            later[at] = False
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            spread = [pa.array(np.repeat(np.array(c), lengths), t, mask=later) for c, t in zip(zip(*first, strict=True), kinds, strict=True)]
-            ids = part.column("doc_id").combine_chunks().take(pa.array(np.where(later, None, np.repeat(np.arange(len(lengths)), lengths)), pa.int64()))
-            yield pa.record_batch([pa.array(row), ids, *spread, pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=[f.split()[0] for f in schema.split(", ")])
+            times: list[int] = []
+            whose: list[np.ndarray] = []
+            for k, w in enumerate(split):
+                w.append(END)
+                found = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+                # Place -1 is the last, 0.
+                base[k], n_known[k], n_bytes[k] = logs[found].sum(), (found >= 0).sum(), sum(map(len, w)) + len(w) - 1
+                score[k] += values[found].sum()
+                others = Counter([w[m] for m in np.flatnonzero(found < 0).tolist()])
+                rare += others
+                times += others.values()
+                whose.append(np.full(len(others), k))
+            row = part.column("row").to_numpy()
+            # What belongs to a text stands in a row of its own; its key is in no table, and in no other row.
+            own = [b"  %d" % r for r in row.tolist()]
+            texts, lone = np.arange(n), np.full(len(rare) + len(pairs), -1)
+            at = np.concatenate((texts, *whose, pairs // max(1, len(kinds))))
+            none = np.concatenate((texts, lone)) < 0
+            totals = [pa.array(np.concatenate((v, np.zeros(len(lone), v.dtype))), mask=none) for v in (np.fromiter(map(len, split), np.int64, n), n_bytes, n_known, base, score)]
+            ids = part.column("doc_id").combine_chunks().take(pa.array(np.concatenate((texts, lone)), mask=none))
+            keys = pa.concat_arrays([pa.array(own + rare, pa.binary()), head_keys(kinds[pairs % max(1, len(kinds))])])
+            yield pa.record_batch([pa.array(row[at]), ids, *totals, keys, pa.array(np.concatenate((np.zeros(n, np.int64), np.array(times, np.int64), times_of)))], names=[f.split()[0] for f in schema.split(", ")])
 
     asked = rows.where("asks").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
     # Of the keys that aren't common no one is in more than a small share of all rows.
-    both = asked.join(known.where(~often).select("key", "c", "value"), "key", "left")
+    both = asked.join(known.where(~often).select("key", F.when(~is_head, F.col("n")).alias("c"), "value"), "key", "left")
     total = lambda own, joined: F.sum(F.coalesce(F.col(own), F.lit(0))) + F.sum(F.coalesce(joined, F.lit(0)))
     each = both.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

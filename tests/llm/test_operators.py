@@ -228,23 +228,29 @@ def test_no_conversations(spark):
 class Plain:
     """Context-tree weighting by its definition, over dictionaries."""
 
-    def __init__(self, counts):
+    def __init__(self, texts):
         self.seen = {}  # (context, node) -> [zeros, ones]
-        for key, n in counts.items():
-            for context, symbol in self.steps(key):
+        for text in texts:
+            for context, symbol in self.steps(text):
                 for d in range(ctw.DEPTH + 1):
                     for node, bit in self.path(symbol):
-                        self.seen.setdefault((context[len(context) - d :], node), [0, 0])[bit] += n
+                        self.seen.setdefault((context[len(context) - d :], node), [0, 0])[bit] += 1
         self.children = {}
         for context, node in self.seen:
             if context:
                 self.children.setdefault((context[1:], node), set()).add(context)
 
     @staticmethod
-    def steps(key):
-        word = key.index(b" ") + 1
-        code = bytes(ctw.DEPTH) + key + (b"" if key.endswith(ctw.END) else b" ")
-        return [(code[i - ctw.DEPTH : i], code[i]) for i in range(ctw.DEPTH + word, len(code))]
+    def steps(text):
+        """(context, symbol) of each byte of a text; contexts go on for TAIL bytes behind the word's opening space."""
+        line = bytes(ctw.DEPTH) + b" " + b"".join(w + b" " for w in text.lower().split()) + ctw.END
+        out, opening = [], ctw.DEPTH
+        for i in range(ctw.DEPTH + 1, len(line)):
+            first = max(i - ctw.DEPTH, opening - ctw.TAIL)
+            out.append((line[first:i].rjust(ctw.DEPTH, b"\0"), line[i]))
+            if line[i] == 32:
+                opening = i
+        return out
 
     @staticmethod
     def path(symbol):
@@ -261,34 +267,42 @@ class Plain:
         top = max(own, split)
         return top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(split - top))
 
-    def log10(self, key):
+    def log10(self, text):
         total = 0.0
-        for context, symbol in self.steps(key):
+        for context, symbol in self.steps(text):
             for node, bit in self.path(symbol):
                 more = {context[len(context) - d :]: (1 - bit, bit) for d in range(ctw.DEPTH + 1)}
                 total += self.weighted(b"", node, more) - self.weighted(b"", node, {})
         return total / math.log(10)
 
 
-def test_words_cost_what_plain_context_tree_weighting_says(spark):
-    counts = Counter({b" ab": 3, b"ab ab": 2, b"ab ba": 1, b"ba \n": 4, b"ba ab": 5000, b"\xa9 \xc3\xa9ab": 2, b" \n": 1})
-    asked = [*counts, b"ab \xc3\xa9", b"ab abab", b" zz", b"zz \n"]
-    table = spark.createDataFrame([(bytearray(k), counts[k]) for k in asked], "key binary, n long")
-    plain = Plain(counts)
-    for chunk in (100, 2):
-        got = {bytes(r.key): r for r in ctw.lexicon(table, len(asked), chunk).collect()}
-        assert set(got) == set(asked)
-        for k in asked:
-            assert abs(got[k].value - plain.log10(k)) < 1e-6, k
-            assert got[k].n == counts[k] and got[k].c == sum(n for x, n in counts.items() if x.split(b" ", 1)[1] == k.split(b" ", 1)[1])
-        assert sum(r.first for r in got.values()) == len({k.split(b" ", 1)[1] for k in asked})
+def test_texts_cost_what_plain_context_tree_weighting_says(spark):
+    learn = ["ab ba ab", "Ab abracadabra a b", "é ébé ab", "", "ab " * 4500]
+    asked = [*learn[:4], "abracadabras zz", "zz", "a ü ab ab", "b"]
+    plain = Plain([t.encode() for t in learn])
+    table = docs(spark, list(enumerate(asked)))
+    for head in (ctw.HEAD, 3, 1):
+        got = {r.doc_id: r for r in ctw.score(table, docs(spark, list(enumerate(learn))), head=head).collect()}
+        for i, t in enumerate(asked):
+            want = plain.log10(t.encode())
+            assert abs(got[i].score - want) < 1e-6, t
+            assert abs(got[i].bits_per_byte + want * math.log2(10) / len(plain.steps(t.encode()))) < 1e-6
+
+
+def test_chunks_of_any_size_cost_the_same(spark):
+    keys = Counter(w for t in ("ab ba abracadabra é", "b") for w in t.encode().split())
+    keys.update(bytes(k) for k in ctw.head_keys(ctw.heads_of([b"ab ba abracadabra".split(), []])[0]).to_pylist())
+    table = spark.createDataFrame([(bytearray(k), n) for k, n in keys.items()], "key binary, n long")
+    one, many = ({bytes(r.key): (r.n, round(r.value, 9)) for r in ctw.lexicon(table, len(keys), chunk).collect()} for chunk in (100, 2))
+    assert one == many and set(one) == set(keys)
 
 
 def test_the_model_is_a_distribution():
     """All symbols behind one context, over subtrees laid out one by one."""
     rng = np.random.default_rng(4)
     text = bytes(rng.choice(list(b"abc "), 4000).tolist()) + b" "
-    keys = Counter(ctw.keys_of(ctw.words_of(text)))
+    words = ctw.words_of(text)
+    keys = Counter([*words, *ctw.head_keys(ctw.heads_of([words])[0]).to_pylist()])
     gram, owner = ctw.spelt(list(keys))
     known, at = np.unique(gram, return_inverse=True)
     n = np.bincount(at, np.array(list(keys.values()), float)[owner])
