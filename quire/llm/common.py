@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, LongType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,6 +147,35 @@ def with_columns(docs: DataFrame, fields: list[tuple[str, DataType]], compute) -
     return docs.select(*columns(docs, *names), F.coalesce(F.col("text"), F.lit("")).alias(fresh(docs, "body")[0])).mapInArrow(run, out)
 
 
+#: Distinct words that a task counts before it hands them on.
+HELD = 250_000
+
+
+def counted(rows: DataFrame, group: str, words_of: Callable[[str], list[bytes]]) -> DataFrame:
+    """(group, word binary, n long): how often the texts of each group of ``rows`` have each word."""
+    kind = rows.schema[group].dataType
+    schema = StructType([StructField(group, kind), StructField("word", BinaryType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for g, words in held.items():
+                if words:
+                    yield pa.record_batch([pa.array([g] * len(words), to_arrow_type(kind)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            for b in parts(batch, 1):
+                for g, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    held.setdefault(g, Counter()).update(words_of(text))
+                if sum(map(len, held.values())) >= HELD:
+                    yield from hand_on()
+        yield from hand_on()
+
+    return rows.select(group, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema).groupBy(group, "word").agg(F.sum("n").alias("n"))
+
+
 class WordCache:
     """Rows of numbers for words: evaluated once, kept while there is room."""
 

@@ -1,40 +1,37 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A byte model of words (contexts of up to DEPTH bytes within the word) is made
-for toxic and for ordinary texts. Both back off, by absolute discounting, to
-shorter contexts and at last to byte counts shared by the classes, so that
-rare expressions say little. A text's log-likelihood ratio per word, and per
-square root of words, are weighed by a logistic fit on labelled texts that the
-models haven't seen.
+Toxic and ordinary texts have a model of words each: counts of the class less a discount, and
+what the discount takes goes to lower orders that the classes share: an interpolated Kneser-Ney
+model of the bytes of distinct words (each word counts once, each shorter context by the number of
+longer ones it continues), so that rare expressions say little. A word's log-likelihood ratio
+is that of the two; a text's features are the mean ratio of its words, the sum over the root of their number,
+and the mean of the PEAKS greatest, weighed by a logistic fit on labelled texts that the models haven't seen.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from quire.llm.bytegrams import find, mask, positions
-from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
+from quire.llm.bytegrams import mask, positions, summed
+from quire.llm.common import columns, counted, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
+#: Bytes of context in the shared model.
 DEPTH = 5
-DISCOUNT = 0.75
+#: Of continuation counts, and of a class's counts of a word.
+DISCOUNT, WORD_DISCOUNT = 0.75, 2.0
+PEAKS = 3
 FOLDS = 5
 #: Bound on the labelled texts of each class that a fit uses, models and
 #: calibration together; chosen by a hash of the id.
 SAMPLE = 3000
 #: Of the sample, this share calibrates.
 CALIBRATE = 4
-#: No single word counts for more, either way (a word that only one class has
-#: reaches about 50).
-CLIP = 60.0
-#: Bounds of the two features: beyond them a text is plainly of one class.
-MEAN, ROOT = (-1.0, 3.0), (-10.0, 60.0)
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
@@ -43,82 +40,75 @@ def words_of(text: str) -> list[bytes]:
 LAID_OUT = 50_000
 
 
-def _pairs(words: list[bytes], counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol, times): distinct pairs of the greatest depth, and how often
-    each class has them. Shallower pairs follow from these."""
-    found, sums = np.zeros(0, np.uint64), np.zeros((2, 0))
+def _keys(words: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(byte string of ``depth`` bytes and a symbol, its word) of each byte of the words, a part at a time."""
     for at in range(0, len(words), LAID_OUT):
         context, symbol, word = positions(words[at : at + LAID_OUT])
-        keys, of = np.unique(((context & mask(depth)) << np.uint64(8)) | symbol.astype(np.uint64), return_inverse=True)
-        new = np.stack([np.bincount(of, counts[c, at : at + LAID_OUT][word], len(keys)) for c in (0, 1)])
-        found, of = np.unique(np.concatenate((found, keys)), return_inverse=True)
-        sums = np.stack([np.bincount(of, np.concatenate((sums[c], new[c])), len(found)) for c in (0, 1)])
-    return found >> np.uint64(8), (found & np.uint64(255)).astype(np.uint8), sums
-
-
-class Ratio:
-    """log P(word | toxic) - log P(word | ordinary), by backoff tables."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, depth: int = DEPTH, discount: float = DISCOUNT):
-        """counts: two rows, ordinary and toxic, with a column for each word."""
-        context, symbol, times = _pairs(words, counts, depth)
-        self.depth = depth
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        logs: np.ndarray | None = None  # of each deepest pair, for both classes, at the depth below
-        for d in range(depth + 1):
-            pair = ((context & mask(d)) << np.uint64(8)) | symbol.astype(np.uint64)
-            keys, at = np.unique(pair, return_inverse=True)
-            owner, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-            both = np.stack([np.bincount(at, times[c], len(keys)) for c in (0, 1)])
-            if d == 0:
-                # Shared by the classes: in how many contexts a byte follows.
-                seen = ((context & mask(1)) << np.uint64(8)) | symbol.astype(np.uint64)
-                follows = np.bincount((np.unique(seen) & np.uint64(255)).astype(int), minlength=256) + 1.0
-                p = np.tile(follows[(keys & np.uint64(255)).astype(int)] / follows.sum(), (2, 1))
-                back = np.zeros((2, len(owner)))
-            else:
-                total = np.stack([np.bincount(of, both[c], len(owner)) for c in (0, 1)])
-                kinds = np.stack([np.bincount(of, both[c] > 0, len(owner)) for c in (0, 1)])
-                weight = np.where(total > 0, np.minimum(1.0, discount * kinds / np.maximum(total, 1)), 1.0)
-                lower = np.zeros((2, len(keys)))
-                lower[:, at] = logs
-                p = np.maximum(both - discount, 0) / np.maximum(total, 1)[:, of] + weight[:, of] * np.exp(lower)
-                back = np.log(weight)
-            logs = np.log(p)[:, at]
-            self.pairs.append((keys, (np.log(p[1]) - np.log(p[0]))))
-            self.contexts.append((owner, back[1] - back[0]))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Each position takes the deepest pair that is known, and the backoff
-        weights of the contexts known on the way down to it."""
-        context, symbol, word = positions(words)
-        value, left = np.zeros(len(context)), np.arange(len(context))
-        for d in range(self.depth, -1, -1):
-            c = context[left] & mask(d)
-            at, there = find(self.pairs[d][0], (c << np.uint64(8)) | symbol[left].astype(np.uint64))
-            if there.any():
-                value[left[there]] += self.pairs[d][1][at[there]]
-            left, c = left[~there], c[~there]
-            if not len(left):
-                break
-            at, there = find(self.contexts[d][0], c)
-            if there.any():
-                value[left[there]] += self.contexts[d][1][at[there]]
-        return np.clip(np.bincount(word, value, len(words)), -CLIP, CLIP)
-
-
-def features(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """1, the mean ratio of a word, and the sum over the root of the count."""
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), np.clip(sums / n, *MEAN), np.clip(sums / np.sqrt(n), *ROOT)], axis=1)
+        yield ((context & mask(depth)) << np.uint64(8)) | symbol.astype(np.uint64), word + at
+
+
+def shared(words: list[bytes], depth: int = DEPTH, discount: float = DISCOUNT) -> np.ndarray:
+    """Probability of each of the distinct words by the model of their bytes, closing space included."""
+    key, times = np.zeros(0, np.uint64), np.zeros(0)
+    for k, _ in _keys(words, depth):
+        found, n = np.unique(k, return_counts=True)
+        key, times = summed(np.concatenate((key, found)), np.concatenate((times, n.astype(float))))
+    longest, row = key, np.arange(len(key))
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (discounted share, weight of the order below, row of each longest string)
+    for d in range(depth, -1, -1):
+        _, of = np.unique(key >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(of, times)[of], np.bincount(of)[of]
+        if d:
+            orders.append((np.maximum(times - discount, 0) / total, discount * kinds / total, row))
+            # In how many contexts one byte longer each string is.
+            key, at = np.unique((((key >> np.uint64(8)) & mask(d - 1)) << np.uint64(8)) | (key & np.uint64(255)), return_inverse=True)
+            row, times = at[row], np.bincount(at, minlength=len(key)).astype(float)
+        else:
+            orders.append(((times + 1) / (total + 256), np.zeros(len(key)), row))
+    p = np.zeros(len(longest))
+    for share, weight, row in reversed(orders):
+        p = share[row] + weight[row] * p
+    logs = np.log(p)
+    out = np.zeros(len(words))
+    for k, word in _keys(words, depth):
+        out += np.bincount(word, logs[np.searchsorted(longest, k)], len(words))
+    return np.exp(out)
+
+
+class Ratio(dict):
+    """log P(word | toxic) - log P(word | ordinary) of each known word; ``new`` for all others, of which
+    the shared orders say the same in both classes."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, discount: float = WORD_DISCOUNT):
+        """counts: two rows, ordinary and toxic, with a column for each of the distinct words."""
+        lower = shared(words)
+        total = counts.sum(axis=1)
+        left = np.minimum(counts, discount).sum(axis=1) / total
+        logs = [np.log(np.maximum(n - discount, 0) / total[c] + left[c] * lower) for c, n in enumerate(counts)]
+        super().__init__(zip(words, (logs[1] - logs[0]).tolist(), strict=True))
+        self.new = float(np.log(left[1]) - np.log(left[0]))
+
+    def __missing__(self, word: bytes) -> float:
+        return self.new
+
+
+def features(ratio: Ratio, words: list[bytes]) -> tuple[float, float, float, float]:
+    """1, the mean ratio of a word, the sum over the root of the count, and the mean of the PEAKS greatest (0 where
+    there are fewer words)."""
+    n = len(words)
+    if not n:
+        return 1.0, 0.0, 0.0, 0.0
+    values = np.fromiter(map(ratio.__getitem__, words), float, n)
+    total = float(values.sum())
+    top = np.partition(values, n - PEAKS)[n - PEAKS :] if n > PEAKS else values
+    return 1.0, total / n, total / math.sqrt(n), float(top.sum()) / PEAKS
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Newton's method on weighted log loss."""
     b = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
         g = x.T @ (weight * (p - y)) + ridge * b
         h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(b))
         step = np.linalg.solve(h, g)
@@ -142,28 +132,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratio
         return None
     chosen = sampled(marked, "toxic", "doc_id", sample)  # two times ``sample`` ids at most
     part = texts(docs).join(F.broadcast(chosen), "doc_id").select("toxic", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(CALIBRATE)) == 0).alias("calibrates"), "text")
-    rows = part.toPandas()
-    models, tests = rows[~rows.calibrates], rows[rows.calibrates]
-    counts = [Counter(), Counter()]
-    for toxic, text in zip(models.toxic, models.text, strict=True):
-        counts[toxic].update(words_of(text))
-    if not counts[0] or not counts[1]:
+    # The sample's distinct words come to the driver.
+    found = counted(part.where("NOT calibrates"), "toxic", words_of).groupBy("word").pivot("toxic", [0, 1]).agg(F.sum("n")).orderBy("word").toPandas()
+    counts = found[["0", "1"]].fillna(0).to_numpy(float).T
+    if not counts.sum(axis=1).all():
         return None
-    words = list(counts[0] | counts[1])
-    ratio = Ratio(words, np.array([[c[w] for w in words] for c in counts], float))
-    del words, counts, models, rows
+    ratio = Ratio([bytes(w) for w in found["word"]], counts)
+    del found, counts
+    tests = measured(part.where("calibrates").select("toxic", "text"), ratio).drop("text").toPandas()  # four numbers a text
     y = tests.toxic.to_numpy(float)
     if len(set(y)) < 2:
-        return ratio, np.array([-1.0, 2.0, 0.0])
-    x = features(*_sums(WordCache(ratio.of, 1), list(tests.text)))
+        return ratio, np.array([-1.0, 2.0, 0.0, 0.0])
+    x = np.array(tests.features.tolist())
     share = prior[1] / (prior[0] + prior[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return ratio, logistic(x, y, weight)
 
 
-def _sums(cache: WordCache, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    sums, n = cache.sums([Counter(words_of(t)) for t in batch])
-    return sums[:, 0], n
+def measured(docs: DataFrame, ratio: Ratio) -> DataFrame:
+    """The rows of ``docs`` with their features."""
+    model = sent_to_workers(docs.sparkSession, (dict(ratio), ratio.new))
+
+    def compute(batch: list[str]) -> list:
+        known = kept_in_worker("ratio", model, restored)
+        return [[features(known, words_of(t)) for t in batch]]
+
+    return with_columns(docs, [("features", ArrayType(DoubleType()))], compute)
+
+
+def restored(sent: tuple) -> Ratio:
+    """Pickling a dictionary leaves its attributes behind."""
+    ratio = Ratio.__new__(Ratio)
+    ratio.update(sent[0])
+    ratio.new = sent[1]
+    return ratio
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -174,16 +176,17 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     ''. Without labels of both classes every score is 0. Each row is scored on
     its own, so repeated rows and empty tables are nothing special.
     """
-    model = sent_to_workers(docs.sparkSession, fit(docs, labels, sample))
+    fitted = fit(docs, labels, sample)
+    model = sent_to_workers(docs.sparkSession, fitted and (dict(fitted[0]), fitted[0].new, fitted[1]))
 
     def compute(batch: list[str]) -> list:
-        fitted = kept_in_worker("toxicity", model, lambda v: v and (WordCache(v[0].of, 1), v[1]))
-        if not fitted:
+        found = kept_in_worker("toxicity", model, lambda v: v and (restored(v[:2]), v[2]))
+        if not found:
             return [[0.0] * len(batch)]
-        x = features(*_sums(fitted[0], batch)) @ fitted[1]
+        x = np.array([features(found[0], words_of(t)) for t in batch]).reshape(-1, 4) @ found[1]
         return [1 / (1 + np.exp(-np.clip(x, -500, 500)))]
 
-    scored = with_columns(docs.select(*[c for c in docs.columns if c not in ("held_out", "predicted")]), [("score", DoubleType())], compute)
+    scored = with_columns(docs.select(*columns(docs, "held_out", "predicted")), [("score", DoubleType())], compute)
     return scored.withColumns({"held_out": fold(F.col("doc_id"), FOLDS) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
