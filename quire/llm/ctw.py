@@ -428,7 +428,7 @@ def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
         ),
     )
     floor = float(np.log10(tokens + kinds + 1.0))
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, key binary, times long"
+    schema = "row long, key binary, times long, doc_id long, n_bytes long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, logs, values, common_heads, head_values = kept_in_worker("ctw", sent, lambda v: v)
@@ -457,27 +457,30 @@ def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
                 times += others.values()
                 whose.append(np.full(len(others), k))
             row = part.column("row").to_numpy()
-            # What belongs to a text stands in a row of its own; its key is in no table, and in no other row.
-            own = [b"  %d" % r for r in row.tolist()]
-            texts, lone = np.arange(n), np.full(len(rare) + len(pairs), -1)
+            # What belongs to a text stands in a row of its own, with its tokens as times; its key is in no table,
+            # and in no other row.
+            apart = [b"  %d" % r for r in row.tolist()]
+            texts, n_lone = np.arange(n), len(rare) + len(pairs)
             at = np.concatenate((texts, *whose, pairs // max(1, len(kinds))))
-            none = np.concatenate((texts, lone)) < 0
-            totals = [pa.array(np.concatenate((v, np.zeros(len(lone), v.dtype))), mask=none) for v in (np.fromiter(map(len, split), np.int64, n), n_bytes, n_known, base, score)]
-            ids = part.column("doc_id").combine_chunks().take(pa.array(np.concatenate((texts, lone)), mask=none))
-            keys = pa.concat_arrays([pa.array(own + rare, pa.binary()), head_keys(kinds[pairs % max(1, len(kinds))])])
-            yield pa.record_batch([pa.array(row[at]), ids, *totals, keys, pa.array(np.concatenate((np.zeros(n, np.int64), np.array(times, np.int64), times_of)))], names=[f.split()[0] for f in schema.split(", ")])
+            own = [part.column("doc_id").combine_chunks(), *map(pa.array, (n_bytes, n_known, base, score))]
+            own = [pa.concat_arrays([v, pa.nulls(n_lone, v.type)]) for v in own]
+            keys = pa.concat_arrays([pa.array(apart + rare, pa.binary()), head_keys(kinds[pairs % max(1, len(kinds))])])
+            tokens_of = np.fromiter(map(len, split), np.int64, n)
+            yield pa.record_batch([pa.array(row[at]), keys, pa.array(np.concatenate((tokens_of, np.array(times, np.int64), times_of))), *own], names=[f.split()[0] for f in schema.split(", ")])
 
     asked = rows.where("asks").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
-    # Of the keys that aren't common no one is in more than a small share of all rows.
-    both = asked.join(known.where(~often).select("key", F.when(~is_head, F.col("n")).alias("c"), "value"), "key", "left")
-    total = lambda own, joined: F.sum(F.coalesce(F.col(own), F.lit(0))) + F.sum(F.coalesce(joined, F.lit(0)))
+    # Of the keys that aren't common no one is in more than a small share of all rows. A partition of the
+    # lexicon is small beside its share of the texts' rows, hence no sorting.
+    rest = known.where(~often).select("key", F.when(~is_head, F.col("n")).alias("c"), "value").hint("shuffle_hash")
+    both = asked.join(rest, "key", "left")
+    more = lambda joined: F.coalesce(F.sum(joined), F.lit(0))
     each = both.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
+        F.max(F.when(F.col("n_bytes").isNotNull(), F.col("times"))).alias("n_tokens"),
         F.max("n_bytes").alias("n_bytes"),
-        total("n_known", F.when(F.col("c") > 0, F.col("times"))).alias("n_known"),
-        total("base", F.col("times") * F.log10(F.col("c") + 1)).alias("base"),
-        total("score", F.col("times") * F.col("value")).alias("score"),
+        (F.max("n_known") + more(F.when(F.col("c") > 0, F.col("times")))).alias("n_known"),
+        (F.max("base") + more(F.col("times") * F.log10(F.col("c") + 1))).alias("base"),
+        (F.max("score") + more(F.col("times") * F.col("value"))).alias("score"),
     )
     return each.select(
         "doc_id",
