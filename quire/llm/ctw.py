@@ -31,7 +31,7 @@ HEAD_BYTES = DEPTH - 1
 FOLDS, HELD = 7, 2
 #: Words, and heads, with one in so many tokens are known to every task; the others
 #: are joined. There are at most so many of each.
-HEAD = 1 << 20
+HEAD = 1 << 21
 #: Distinct words that a task counts before it hands them on, and heads.
 HELD_WORDS, HELD_HEADS = 250_000, 1_000_000
 #: Distinct words and heads that are scored together.
@@ -51,8 +51,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def heads_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(head, text): for each token of each text TAIL bytes of running text before its opening space (0 before
+def heads_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, text, bytes of each text): for each token of each text TAIL bytes of running text before its opening space (0 before
     the text), and its first HEAD_BYTES bytes (0 behind its end), as one integer, the oldest byte highest."""
     before = bytes(TAIL) + b" "
     codes = [before + b" ".join(w) + b" " + END if w else before + END for w in texts]
@@ -66,7 +66,8 @@ def heads_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         byte = line[starts + k]
         head = (head << np.uint64(8)) | np.where(live, byte, 0).astype(np.uint64)
         live &= (byte != 32) & (byte != END[0])
-    return head, np.repeat(np.arange(len(texts)), np.fromiter((len(w) + 1 for w in texts), np.int64, len(texts)))
+    n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return head, np.repeat(np.arange(len(texts)), n), np.fromiter(map(len, codes), np.int64, len(codes)) - len(before)
 
 
 def head_keys(head: np.ndarray) -> pa.Array:
@@ -339,7 +340,7 @@ def counts(rows: DataFrame) -> DataFrame:
                     for k in (*w, END):
                         if k not in words:
                             words[k] = 0
-            head, owner = heads_of(split)
+            head, owner, _ = heads_of(split)
             found.append(summed(head, learns[owner].astype(np.int64)))
             held += len(found[-1][0])
             yield from hand_on(False)
@@ -393,13 +394,6 @@ def lexicon(keys: DataFrame, kinds: int, chunk: int = CHUNK) -> DataFrame:
     return found
 
 
-class Known(dict):
-    """The place of each common word; -1 for the others."""
-
-    def __missing__(self, key: bytes) -> int:
-        return -1
-
-
 def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
     """As score(), for rows (doc_id, text binary, learns, asks): those that teach the
     model, and those that are to be scored."""
@@ -420,7 +414,7 @@ def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
     sent = sent_to_workers(
         spark,
         (
-            Known(zip(map(bytes, words["key"]), range(len(words)), strict=True)),
+            dict(zip(map(bytes, words["key"]), range(len(words)), strict=True)),
             np.append(np.log10(words["n"].to_numpy(float) + 1), 0.0),
             np.append(words["value"].to_numpy(float), 0.0),
             named[order],
@@ -432,47 +426,41 @@ def scored(rows: DataFrame, head: int = HEAD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, logs, values, common_heads, head_values = kept_in_worker("ctw", sent, lambda v: v)
+        get = place.get
         for part in taken(batches):
             split = [words_of(t) for t in part.column("text").to_pylist()]
             n = len(split)
-            head, owner = heads_of(split)
+            head, owner, n_bytes = heads_of(split)
             kinds, of = np.unique(head, return_inverse=True)
             at, there = find(common_heads, kinds)
             value = np.where(there, head_values[at], 0.0) if len(head_values) else np.zeros(len(kinds))
-            score = np.bincount(owner, value[of], n)
             missed = ~there[of]
             pairs, times_of = np.unique(owner[missed] * len(kinds) + of[missed], return_counts=True)
-            base, n_known, n_bytes = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            rare: list[bytes] = []
-            times: list[int] = []
-            whose: list[np.ndarray] = []
-            for k, w in enumerate(split):
-                w.append(END)
-                found = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-                # Place -1 is the last, 0.
-                base[k], n_known[k], n_bytes[k] = logs[found].sum(), (found >= 0).sum(), sum(map(len, w)) + len(w) - 1
-                score[k] += values[found].sum()
-                others = Counter([w[m] for m in np.flatnonzero(found < 0).tolist()])
-                rare += others
-                times += others.values()
-                whose.append(np.full(len(others), k))
+            tokens_of = np.bincount(owner, minlength=n)
+            words = [x for w in split for x in (*w, END)]
+            found = np.array([get(x, -1) for x in words], np.int64)
+            old = found >= 0
+            # Place -1 is the last, 0.
+            base, n_known = np.bincount(owner, logs[found], n), np.bincount(owner, old, n).astype(np.int64)
+            score = np.bincount(owner, value[of] + values[found], n)
+            lone = np.flatnonzero(~old)
+            rare = [words[k] for k in lone.tolist()]
             row = part.column("row").to_numpy()
             # What belongs to a text stands in a row of its own, with its tokens as times; its key is in no table,
             # and in no other row.
             apart = [b"  %d" % r for r in row.tolist()]
             texts, n_lone = np.arange(n), len(rare) + len(pairs)
-            at = np.concatenate((texts, *whose, pairs // max(1, len(kinds))))
+            at = np.concatenate((texts, owner[lone], pairs // max(1, len(kinds))))
             own = [part.column("doc_id").combine_chunks(), *map(pa.array, (n_bytes, n_known, base, score))]
             own = [pa.concat_arrays([v, pa.nulls(n_lone, v.type)]) for v in own]
             keys = pa.concat_arrays([pa.array(apart + rare, pa.binary()), head_keys(kinds[pairs % max(1, len(kinds))])])
-            tokens_of = np.fromiter(map(len, split), np.int64, n)
-            yield pa.record_batch([pa.array(row[at]), keys, pa.array(np.concatenate((tokens_of, np.array(times, np.int64), times_of))), *own], names=[f.split()[0] for f in schema.split(", ")])
+            yield pa.record_batch([pa.array(row[at]), keys, pa.array(np.concatenate((tokens_of, np.ones(len(rare), np.int64), times_of))), *own], names=[f.split()[0] for f in schema.split(", ")])
 
     asked = rows.where("asks").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
-    # Of the keys that aren't common no one is in more than a small share of all rows. A partition of the
-    # lexicon is small beside its share of the texts' rows, hence no sorting.
-    rest = known.where(~often).select("key", F.when(~is_head, F.col("n")).alias("c"), "value").hint("shuffle_hash")
-    both = asked.join(rest, "key", "left")
+    # Of the keys that aren't common no one is in more than a small share of all rows. Hashes come first, as
+    # many keys are alike in the bytes that sorting looks at first.
+    rest = known.where(~often).select(F.col("key").alias("own"), F.when(~is_head, F.col("n")).alias("c"), "value")
+    both = asked.join(rest, (F.xxhash64("key") == F.xxhash64("own")) & (F.col("key") == F.col("own")), "left")
     more = lambda joined: F.coalesce(F.sum(joined), F.lit(0))
     each = both.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
