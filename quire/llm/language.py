@@ -14,27 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from quire.llm.common import WordCache, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
+from quire.llm.common import WordCache, counted, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
 FOLDS = 5
 #: Bound on the texts of each language that a fit uses, chosen by a hash of the id.
-SAMPLE = 2000
-#: Known words of each language, and n-grams of each length and language.
-WORDS, GRAMS = 20_000, 5_000
+SAMPLE = 1000
 LONGEST = 5
 #: Weight of an unseen word beside a known one.
 UNSEEN = 0.5
-#: A text's evidence counts like that of so many words at most, so that the
-#: score stays a probability rather than 1.
-EVIDENCE = 6.0
 NONE = "und"
-#: A run of letters.
+#: A run of letters and of number signs that aren't digits.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+def letters_of(text: str) -> list[str]:
+    """Runs of letters."""
+    out: list[str] = []
+    for run in LETTERS.findall(text):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 class Model:
@@ -57,7 +58,7 @@ class Model:
         shares: list[float] = []
         n = np.zeros(len(tokens))
         for k, token in enumerate(tokens):
-            parts = [token] if token.isalpha() else LETTERS.findall(token)
+            parts = [token] if token.isalpha() else letters_of(token)
             n[k] = len(parts)
             for word in parts:
                 known = self.words.get(word)
@@ -88,40 +89,37 @@ def tokens_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _table(counts: dict[str, Counter], languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies of the ``most`` commonest keys of each language,
-    those of equal counts in order of the key."""
-    keys = sorted({k for lang in languages for k, _ in sorted(counts[lang].items(), key=lambda kv: (-kv[1], kv[0]))[:most]})
-    if not keys:
-        return {}
-    n = np.array([[counts[lang][k] for lang in languages] for k in keys], float)
-    total = np.array([sum(counts[lang].values()) for lang in languages], float)
-    return dict(zip(keys, np.log((n + 0.5) / (total + 0.5 * len(keys))), strict=True))
+def _logs(counts: DataFrame, key: str, languages: list[str]) -> dict[str, np.ndarray]:
+    """Smoothed log frequencies of each key in each language from (lang, key, n)."""
+    rows = counts.groupBy(key).pivot("lang", languages).agg(F.sum("n")).orderBy(key).toPandas()
+    n = rows[languages].fillna(0).to_numpy(float)
+    return dict(zip(rows[key], np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(n)))), strict=True))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from at most ``sample`` texts of each non-null language outside the
-    held-out fold; None if there are none. Null texts teach nothing."""
+    held-out fold; None if there are none. Null texts teach nothing. All words
+    and n-grams of these texts are learned; they are counted in Spark, and come to the driver once each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = sampled(rows.select("doc_id", "lang"), "lang", "doc_id", sample).distinct()
-    # ``sample`` ids a language; languages are few, and as many as the model has columns.
-    chosen = rows.join(F.broadcast(ids), (rows.doc_id.eqNullSafe(ids.doc_id)) & (rows.lang == ids.lang), "left_semi").select("lang", "text")
-    words: dict[str, Counter] = {}
-    for lang, text in chosen.toLocalIterator(prefetchPartitions=True):
-        words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-    languages = sorted(words)
+    languages = sorted(r.lang for r in ids.select("lang").distinct().collect())  # as many as the model has columns
     if not languages:
         return None
-    by_length = []
-    for n in range(1, LONGEST + 1):
-        counts = {lang: Counter() for lang in languages}
-        for lang in languages:
-            for word, times in words[lang].items():
-                for g in grams(word, n):
-                    counts[lang][g] += times
-        by_length.append(_table(counts, languages, GRAMS))
-    return Model(languages, _table(words, languages, WORDS), by_length)
+    # ``sample`` ids a language.
+    chosen = rows.join(F.broadcast(ids), (rows.doc_id.eqNullSafe(ids.doc_id)) & (rows.lang == ids.lang), "left_semi")
+    words = counted(chosen, "lang", lambda text: [w.encode() for w in letters_of(text.lower())])
+    words = words.select("lang", F.col("word").cast("string").alias("word"), "n").cache()
+    try:
+        padded = F.concat(F.lit(" "), "word", F.lit(" "))
+        grams = []
+        for k in range(1, LONGEST + 1):
+            pieces = F.transform(F.sequence(F.lit(1), F.char_length("word") + 3 - k), lambda i: F.substring(padded, i, F.lit(k)))  # noqa: B023
+            each = words.where(F.char_length("word") + 3 - k >= 1).select("lang", F.explode(pieces).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            grams.append(_logs(each, "gram", languages))
+        return Model(languages, _logs(words, "word", languages), grams)
+    finally:
+        words.unpersist()
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -140,7 +138,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             return [[NONE] * len(batch), [0.0] * len(batch)]
         sums, _ = known[1].sums([Counter(tokens_of(t)) for t in batch])
         n = sums[:, -1]
-        mean = sums[:, :-1] * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+        # Normalised by the root of the number of words, so that long texts come near 1, but not at once.
+        mean = sums[:, :-1] / np.sqrt(np.maximum(n, 1))[:, None]
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
