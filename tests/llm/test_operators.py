@@ -442,11 +442,27 @@ def test_archive_round_trip(spark, tmp_path):
     assert got == sorted(want, key=str)
     assert warc.read(spark, archive).where("NOT verified").count() == 0
     assert spark.read.parquet(archive.payloads).count() == 3
+    seen = []
     for r in warc.reconstruct(spark, archive).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        body = next(t or "" for i, _, t in pages if i == r.page_id).encode()
-        assert rest == (body if b"WARC-Type: response" in head else b"") + b"\r\n\r\n"
+        http, _, body = rest.partition(b"\r\n\r\n")
+        named = [int(line[14:]) for line in head.split(b"\r\n") if line.startswith(b"WARC-Page-ID: ")]
+        payload = next(t or "" for i, _, t in pages if i == (named[0] if named else None)).encode()
+        assert body == (payload if b"WARC-Type: response" in head else b"") + b"\r\n\r\n"
         assert f"Content-Length: {len(rest) - 4}".encode() in head and head.startswith(b"WARC/1.1\r\n")
+        assert b"Content-Type: application/http" in head and http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(payload)}".encode() in http
+        seen += named
+    assert sorted(seen) == [1, 2, 3, 4, 5]
+
+
+def test_records_that_were_changed_are_told(spark, tmp_path):
+    archive = warc.Archive(str(tmp_path / "c"))
+    warc.write(spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "ü\r\n", "WARC-Type: x\r\n\r\nHTTP")], "page_id long, url string, html string"), archive)
+    records = warc.reconstruct(spark, archive)
+    assert all(r.sound for r in warc.parse(records).collect())
+    for old, new in ((b"same", b"sama"), (b"same", b"samee"), (b"Content-Length: 4", b"Content-Length: 5")):
+        broken = spark.createDataFrame([(bytearray(bytes(r.record).replace(old, new)),) for r in records.collect()], "record binary")
+        assert sorted((r.page_id, r.sound) for r in warc.parse(broken).collect() if r.page_id != 1) == [(2, False), (3, True)]
 
 
 def test_empty_archive_and_the_least_size(spark, tmp_path):
