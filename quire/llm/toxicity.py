@@ -29,7 +29,7 @@ PEAKS = 3
 FOLDS = 5
 #: Bound on the labelled texts of each class that a fit uses, models and
 #: calibration together; chosen by a hash of the id.
-SAMPLE = 3000
+SAMPLE = 2400
 #: Of the sample, this share calibrates.
 CALIBRATE = 4
 def words_of(text: str) -> list[bytes]:
@@ -79,19 +79,23 @@ class Ratio(dict):
     """log P(word | toxic) - log P(word | ordinary) of each known word; ``new`` for all others, of which
     the shared orders say the same in both classes."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, discount: float = WORD_DISCOUNT):
-        """counts: two rows, ordinary and toxic, with a column for each of the distinct words."""
-        lower = shared(words)
-        total = counts.sum(axis=1)
-        left = np.minimum(counts, discount).sum(axis=1) / total
-        logs = [np.log(np.maximum(n - discount, 0) / total[c] + left[c] * lower) for c, n in enumerate(counts)]
-        super().__init__(zip(words, (logs[1] - logs[0]).tolist(), strict=True))
-        self.new = float(np.log(left[1]) - np.log(left[0]))
+    def __init__(self, words: list[bytes], values: np.ndarray, new: float):
+        super().__init__(zip(words, values.tolist(), strict=True))
+        self.new = new
 
     def __missing__(self, word: bytes) -> float:
         return self.new
 
 
+def ratios(words: list[bytes], counts: np.ndarray, discount: float = WORD_DISCOUNT) -> tuple[list[bytes], np.ndarray, float]:
+    """What a Ratio is made of. counts: two rows, ordinary and toxic, with a column for each of the distinct words."""
+    lower = shared(words)
+    total = counts.sum(axis=1)
+    left = np.minimum(counts, discount).sum(axis=1) / total
+    logs = [np.log(np.maximum(n - discount, 0) / total[c] + left[c] * lower) for c, n in enumerate(counts)]
+    return words, logs[1] - logs[0], float(np.log(left[1]) - np.log(left[0]))
+
+
 def features(ratio: Ratio, words: list[bytes]) -> tuple[float, float, float, float]:
     """1, the mean ratio of a word, the sum over the root of the count, and the mean of the PEAKS greatest (0 where
     there are fewer words)."""
@@ -118,7 +122,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratio, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple, np.ndarray] | None:
     """Learns from at most ``sample`` labelled texts of each class outside the held-out fold.
 
     Null labels and ids teach nothing. Of labels that disagree about an id, the
@@ -137,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratio
     counts = found[["0", "1"]].fillna(0).to_numpy(float).T
     if not counts.sum(axis=1).all():
         return None
-    ratio = Ratio([bytes(w) for w in found["word"]], counts)
+    ratio = ratios([bytes(w) for w in found["word"]], counts)
     del found, counts
     tests = measured(part.where("calibrates").select("toxic", "text"), ratio).drop("text").toPandas()  # four numbers a text
     y = tests.toxic.to_numpy(float)
@@ -149,25 +153,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratio
     return ratio, logistic(x, y, weight)
 
 
-def measured(docs: DataFrame, ratio: Ratio) -> DataFrame:
+def measured(docs: DataFrame, ratio: tuple) -> DataFrame:
     """The rows of ``docs`` with their features."""
-    model = sent_to_workers(docs.sparkSession, (dict(ratio), ratio.new))
+    model = sent_to_workers(docs.sparkSession, ratio)
 
     def compute(batch: list[str]) -> list:
-        known = kept_in_worker("ratio", model, restored)
+        known = kept_in_worker("ratio", model, lambda v: Ratio(*v))
         return [[features(known, words_of(t)) for t in batch]]
 
     return with_columns(docs, [("features", ArrayType(DoubleType()))], compute)
 
 
-def restored(sent: tuple) -> Ratio:
-    """Pickling a dictionary leaves its attributes behind."""
-    ratio = Ratio.__new__(Ratio)
-    ratio.update(sent[0])
-    ratio.new = sent[1]
-    return ratio
-
-
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with columns held_out, score and predicted (input
     columns of these names are replaced).
@@ -176,11 +172,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     ''. Without labels of both classes every score is 0. Each row is scored on
     its own, so repeated rows and empty tables are nothing special.
     """
-    fitted = fit(docs, labels, sample)
-    model = sent_to_workers(docs.sparkSession, fitted and (dict(fitted[0]), fitted[0].new, fitted[1]))
+    model = sent_to_workers(docs.sparkSession, fit(docs, labels, sample))
 
     def compute(batch: list[str]) -> list:
-        found = kept_in_worker("toxicity", model, lambda v: v and (restored(v[:2]), v[2]))
+        found = kept_in_worker("toxicity", model, lambda v: v and (Ratio(*v[0]), v[1]))
         if not found:
             return [[0.0] * len(batch)]
         x = np.array([features(found[0], words_of(t)) for t in batch]).reshape(-1, 4) @ found[1]
