@@ -31,7 +31,7 @@ HEAD_BYTES = DEPTH - 1
 FOLDS, HELD = 7, 2
 #: Words, and heads, with one in so many tokens are known to every task; the others
 #: are joined. There are at most so many of each.
-HEAD = 1 << 21
+HEAD = 1 << 20
 #: Distinct words that a task counts before it hands them on, and heads.
 HELD_WORDS, HELD_HEADS = 250_000, 1_000_000
 #: Distinct words and heads that are scored together.
