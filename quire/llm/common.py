@@ -144,7 +144,9 @@ def with_columns(docs: DataFrame, fields: list[tuple[str, DataType]], compute) -
                 arrays = [*b.columns[:-1], *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return docs.select(*columns(docs, *names), F.coalesce(F.col("text"), F.lit("")).alias(fresh(docs, "body")[0])).mapInArrow(run, out)
+    # By number, as mapInArrow can't take names with a dot; the schema names them again.
+    numbered = [c.alias(f"c{k}") for k, c in enumerate(columns(docs, *names))]
+    return docs.select(*numbered, F.coalesce(F.col("text"), F.lit("")).alias("body")).mapInArrow(run, out)
 
 
 #: Distinct words that a task counts before it hands them on.

@@ -474,8 +474,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLED_CHARS) -> Fi
     return learn([text for _, text in sorted(kept)])
 
 
-def scan(docs: DataFrame, field: Field | None) -> DataFrame:
-    """The rows of ``docs`` with spans: array<struct<kind, start, end>>, in code
+def scan(docs: DataFrame, field: Field | None, spans: str = "spans") -> DataFrame:
+    """The rows of ``docs`` with ``spans``: array<struct<kind, start, end>>, in code
     points, by start, then kind (an input column of this name is replaced).
 
     Null and empty texts have no spans. Without a field only patterns are used.
@@ -488,19 +488,19 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
         tagger = kept_in_worker("secrets", sent, lambda f: f and Tagger(f))
         found = []
         for text in batch:
-            spans = base_spans(text)
+            base = base_spans(text)
             if tagger:
-                spans = sorted(spans + tagger.added(text, spans), key=lambda s: (s[1], KINDS.index(s[0])))
-            found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
+                base = sorted(base + tagger.added(text, base), key=lambda s: (s[1], KINDS.index(s[0])))
+            found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base])
         return [found]
 
-    return with_columns(docs, [("spans", ArrayType(SPAN))], compute)
+    return with_columns(docs, [(spans, ArrayType(SPAN))], compute)
 
 
 MARK = "[SECRET]"
 
 
-def redact(scanned: DataFrame, mark: str = MARK) -> DataFrame:
+def redact(scanned: DataFrame, mark: str = MARK, spans: str = "spans") -> DataFrame:
     """The scanned rows with each span of ``text``, overlapping ones together,
     replaced by ``mark``, and n_chars, if there, counted anew. Nulls stay."""
     # Spans come by start: what each leaves uncovered since the greatest end so far is kept.
@@ -512,7 +512,7 @@ def redact(scanned: DataFrame, mark: str = MARK) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    out = F.when(F.size("spans") > 0, F.aggregate("spans", start, take, rest)).otherwise(F.col("text"))
+    out = F.when(F.size(spans) > 0, F.aggregate(spans, start, take, rest)).otherwise(F.col("text"))
     new = scanned.withColumn("text", out)
     return new.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in scanned.columns else new
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quire.llm.common import table, texts, with_columns, written
+from quire.llm.common import columns, dropped, fresh, quoted, table, texts, with_columns, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -51,7 +51,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; fp as a signed long. Null texts count as empty."""
+    """(doc_id, fp) of each row; fp as a signed long. Null and empty texts have fp 0; repeated rows, and rows of
+    null ids, have one each; an empty table has none."""
     rows = texts(docs, id_col, text_col)
     return with_columns(rows, [("fp", LongType())], lambda batch: [[fingerprint(t) for t in batch]]).select("doc_id", "fp")
 
@@ -203,12 +204,15 @@ def components(found: DataFrame) -> DataFrame | None:
         both = found.select("a", "b").union(found.select("b", "a"))
         hooks = both.groupBy(F.col("a").alias("v")).agg(F.min_by("b", rank(F.col("b"))).alias("m"))
         hooks = written(hooks.select("v", F.when(rank(F.col("m")) < rank(F.col("v")), F.col("m")).otherwise(F.col("v")).alias("to")), "hooks")
+        old, done = labels, found
         if labels is None:
             labels = hooks.select(F.col("v").alias("fp"), F.col("to").alias("root"))
         else:
             labels = written(labels.join(hooks, F.col("root") == F.col("v"), "left").select("fp", F.coalesce("to", "root").alias("root")), "labels")
         moved = found.join(hooks, F.col("a") == F.col("v")).select(F.col("to").alias("a"), "b").join(hooks, F.col("b") == F.col("v")).select("a", F.col("to").alias("b")).where("a <> b")
         found = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        # What the next round doesn't read any more goes; the first labels are the first hooks.
+        dropped(done, old, hooks if old is not None else None)
     return labels
 
 
@@ -246,13 +250,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
     counts = ids.first()
     if counts.n == counts.named and repeated.isEmpty():
-        others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other"))
-        return docs.join(others, F.col(id_col).cast("long") == F.col("_other"), "left_anti")
+        (other,) = fresh(docs, "other")
+        others = found.where("doc_id <> component_id").select(F.col("doc_id").alias(other))
+        return docs.join(others, F.col(quoted(id_col)).cast("long") == F.col(other), "left_anti")
     # Ids don't tell rows apart, so each row gets its fingerprint.
-    roots = found.groupBy(F.col("fp").alias("_fp")).agg(F.first("root").alias("_root"))
-    marked = with_columns(docs.withColumn("text", F.col(text_col)), [("_fp", LongType())], lambda batch: [[fingerprint(t) for t in batch]]).join(roots, "_fp")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return marked.groupBy("_root").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    fp, own, root, row = fresh(docs, "fp", "own", "root", "row")
+    roots = found.groupBy(F.col("fp").alias(own)).agg(F.first("root").alias(root))
+    body = docs if text_col == "text" else docs.withColumn("text", F.col(quoted(text_col)))
+    marked = with_columns(body, [(fp, LongType())], lambda batch: [[fingerprint(t) for t in batch]]).join(roots, F.col(fp) == F.col(own))
+    order = F.struct(F.col(quoted(id_col)).isNull(), F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    return marked.groupBy(root).agg(F.min_by(F.struct(*columns(docs)), order).alias(row)).select(f"{row}.*")
 
 
 def hex16(fp: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quire.llm.bytegrams import mask, positions, summed
-from quire.llm.common import columns, counted, fold, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
+from quire.llm.common import columns, counted, fold, fresh, kept_in_worker, sampled, sent_to_workers, table, texts, with_columns
 
 #: Bytes of context in the shared model.
 DEPTH = 5
@@ -172,6 +172,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     ''. Without labels of both classes every score is 0. Each row is scored on
     its own, so repeated rows and empty tables are nothing special.
     """
+    scored = _scored(docs.select(*columns(docs, "held_out", "predicted")), labels, sample, "score")
+    return scored.withColumns({"held_out": fold(F.col("doc_id"), FOLDS) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+def _scored(docs: DataFrame, labels: DataFrame, sample: int, column: str) -> DataFrame:
     model = sent_to_workers(docs.sparkSession, fit(docs, labels, sample))
 
     def compute(batch: list[str]) -> list:
@@ -181,8 +186,13 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         x = np.array([features(found[0], words_of(t)) for t in batch]).reshape(-1, 4) @ found[1]
         return [1 / (1 + np.exp(-np.clip(x, -500, 500)))]
 
-    scored = with_columns(docs.select(*columns(docs, "held_out", "predicted")), [("score", DoubleType())], compute)
-    return scored.withColumns({"held_out": fold(F.col("doc_id"), FOLDS) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+    return with_columns(docs, [(column, DoubleType())], compute)
+
+
+def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` with a score below a half, all columns as they are."""
+    (column,) = fresh(docs, "score")
+    return _scored(docs, labels, sample, column).where(F.col(column) < 0.5).drop(column)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,17 @@ def test_mixing_edges(spark):
     assert mixing.mix(alone, {"a": 1.0}, other=0.0).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_much_repeated_documents_are_dealt_out_alike(spark, block):
+    rows = [(i, f"t{i}", "b" if i < 4 else "a") for i in range(60)] + [(None, None, "b"), (2, "again", "b")]
+    table = docs(spark, rows, "doc_id long, text string, source string")
+    args = {"a": 0.2, "b": 0.8}, 0.0, 4000
+    want = sorted(mixing.mix(table, *args).collect(), key=repr)
+    assert sorted(mixing.mix(table, *args, block=block).collect(), key=repr) == want
+    n = Counter((r.doc_id, r.text) for r in want)
+    assert n[None, None] == brute_count(None, 4000 * 0.8 / 6) and n[2, "again"] == n[2, "t2"] == brute_count(2, 4000 * 0.8 / 6)
+
+
 # SimHash
 
 
