@@ -1,9 +1,9 @@
 """Chat formatting: schema fingerprints select declarative mappings.
 
-A record is JSON text of any known layout. The set of its nested field paths
-is hashed; the hash selects a mapping, which says where the turns, their roles
-and their texts are. Canonical turns are then written in one template, with
-control strings inside texts escaped reversibly, and a loss mask. Column
+A record is JSON text of any known layout. Of its nested field paths those that
+some mapping needs are hashed; the first mapping all of whose paths' hashes are among them says where
+the turns, their roles and their texts are, whatever other fields there are. Canonical turns are then
+written in one template, with control strings inside texts escaped reversibly, and a loss mask. Column
 expressions only.
 """
 
@@ -27,58 +27,62 @@ TRAINED = "assistant"
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: an example record, and where its turns are: either ``fixed``, a
-    (turn number, role, text) for each turn, or ``listed``, the path of a list
-    and those of role and text in its elements. What starts with $ is a path
-    into the record, anything else a constant."""
+    """A layout: the field paths that a record of it has (those of a list's elements behind []), and
+    where its turns are: either ``fixed``, a (turn number, role, text) for each turn, or ``listed``, the
+    path of a list and those of role and text in its elements, and of what stands in for a missing text. What starts
+    with $ is a path, anything else a constant. A turn whose path is ``optional`` comes first, if it is there."""
 
     name: str
-    example: dict
+    needs: tuple[str, ...]
     fixed: tuple[tuple[str, str, str], ...] = ()
-    listed: tuple[str, str, str] | None = None
+    listed: tuple[str, str, str, str] | None = None
+    optional: tuple[str, str] = ("system", "$.system")
 
 
 #: Role names in lists of messages.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant"}
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant", "model": "assistant", "function_call": "assistant", "observation": "tool", "function_response": "tool"}
 
-_TURN = {"role": "", "content": ""}
+#: Those that need more come before those that need a part of that.
 MAPPINGS = (
-    Mapping("turn row", {"turn": 0, "role": "", "text": ""}, fixed=(("$.turn", "$.role", "$.text"),)),
-    Mapping("messages", {"messages": [_TURN]}, listed=("$.messages", "$.role", "$.content")),
-    Mapping("conversations", {"conversations": [{"from": "", "value": ""}]}, listed=("$.conversations", "$.from", "$.value")),
-    Mapping("dialog", {"dialog": [{"speaker": "", "text": ""}]}, listed=("$.dialog", "$.speaker", "$.text")),
-    Mapping("prompt and response", {"prompt": "", "response": ""}, fixed=(("0", "user", "$.prompt"), ("1", "assistant", "$.response"))),
-    Mapping("prompt and completion", {"prompt": "", "completion": ""}, fixed=(("0", "user", "$.prompt"), ("1", "assistant", "$.completion"))),
-    Mapping("question and answer", {"question": "", "answer": ""}, fixed=(("0", "user", "$.question"), ("1", "assistant", "$.answer"))),
-    Mapping("instruction", {"instruction": "", "output": ""}, fixed=(("0", "user", "$.instruction"), ("1", "assistant", "$.output"))),
-    Mapping("instruction with input", {"instruction": "", "input": "", "output": ""}, fixed=(("0", "system", "$.instruction"), ("1", "user", "$.input"), ("2", "assistant", "$.output"))),
-    Mapping("chosen answer", {"prompt": "", "chosen": "", "rejected": ""}, fixed=(("0", "user", "$.prompt"), ("1", "assistant", "$.chosen"))),
+    Mapping("turn row", ("turn", "role", "text"), fixed=(("$.turn", "$.role", "$.text"),), optional=("", "")),
+    Mapping("messages", ("messages", "messages[].role", "messages[].content"), listed=("$.messages", "$.role", "$.content", "$.tool_calls")),
+    Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), listed=("$.conversations", "$.from", "$.value", "$.value")),
+    Mapping("conversations of roles", ("conversations", "conversations[].role", "conversations[].content"), listed=("$.conversations", "$.role", "$.content", "$.tool_calls")),
+    Mapping("dialog", ("dialog", "dialog[].speaker", "dialog[].text"), listed=("$.dialog", "$.speaker", "$.text", "$.text")),
+    Mapping("instruction with input", ("instruction", "input", "output"), fixed=(("0", "system", "$.instruction"), ("1", "user", "$.input"), ("2", "assistant", "$.output"))),
+    Mapping("instruction", ("instruction", "output"), fixed=(("0", "user", "$.instruction"), ("1", "assistant", "$.output"))),
+    Mapping("instruction and response", ("instruction", "response"), fixed=(("0", "user", "$.instruction"), ("1", "assistant", "$.response"))),
+    Mapping("chosen answer", ("prompt", "chosen"), fixed=(("0", "user", "$.prompt"), ("1", "assistant", "$.chosen"))),
+    Mapping("prompt and response", ("prompt", "response"), fixed=(("0", "user", "$.prompt"), ("1", "assistant", "$.response"))),
+    Mapping("prompt and completion", ("prompt", "completion"), fixed=(("0", "user", "$.prompt"), ("1", "assistant", "$.completion"))),
+    Mapping("question and answer", ("question", "answer"), fixed=(("0", "user", "$.question"), ("1", "assistant", "$.answer"))),
 )
+KNOWN = sorted({p for m in MAPPINGS for p in m.needs})
+LISTS = sorted({m.listed[0].removeprefix("$.") for m in MAPPINGS if m.listed})
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the record's nested field paths, without the types of values.
-
-    The schema of a VARIANT names each level's fields in order and merges the
-    elements of a list, so equal sets of paths give equal text once the types
-    are blanked. Null for a null record or one that isn't JSON.
-    """
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    blank = F.regexp_replace(schema, r": (STRING|BIGINT|VOID|BOOLEAN|DOUBLE|DECIMAL\([0-9,]*\)|VARIANT)(?=[,>])", ": x")
-    return F.xxhash64(F.when(schema.isNotNull(), blank))
+def fingerprint(record: Column, value: Column) -> Column:
+    """Hashes of the known field paths that a record has (``value``: the same as a VARIANT); those of the elements of a list
+    are all that any of them has. Null for a null record, or one that isn't a JSON object."""
+    own = F.json_object_keys(record)
+    below = lambda name: F.flatten(F.transform(F.try_variant_get(value, f"$.{name}", "array<variant>"), lambda x: F.coalesce(F.json_object_keys(F.to_json(x)), F.array().cast("array<string>"))))
+    nested = [F.when(F.array_contains(own, name), F.transform(F.array_distinct(below(name)), lambda k: F.concat(F.lit(f"{name}[]."), k))) for name in LISTS]  # noqa: B023
+    empty = F.array().cast("array<string>")
+    paths = F.array_intersect(F.concat(own, *[F.coalesce(n, empty) for n in nested]), F.array(*map(F.lit, KNOWN)))
+    return F.transform(paths, lambda p: F.xxhash64(p))
 
 
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """(conv_id, turn, place, role, text), one row for each turn of each record.
 
     turn is the layout's own number or the place in the record, place the place
-    in the record. Null roles and texts are ''. A record whose fingerprint is
-    unknown (an empty list of turns too) gives one row of role null, text the
-    record, so that nothing vanishes unseen; a null record gives none.
+    in the record. Null roles and texts are ''. A record that has the paths of no mapping
+    (an empty list of turns too) gives one row of role null, text the
+    record, so that nothing vanishes unseen; a null record gives none. Repeated records give
+    their turns each; records that tie in their id are one conversation to ``format_chat``.
     """
-    known = F.create_map(*[x for i, m in enumerate(MAPPINGS) for x in (fingerprint(F.lit(json.dumps(m.example))), F.lit(i))])
-    read = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record")).where("record IS NOT NULL")
-    read = read.withColumn("layout", F.coalesce(known[fingerprint(F.col("record"))], F.lit(-1))).withColumn("v", F.try_parse_json("record"))
+    read = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record")).where("record IS NOT NULL").withColumn("v", F.try_parse_json("record"))
+    read = read.withColumn("paths", fingerprint(F.col("record"), F.col("v")))
 
     def get(v: Column, path: str, kind: str = "string") -> Column:
         return F.try_variant_get(v, path, kind) if path.startswith("$") else F.lit(path).cast(kind)
@@ -87,17 +91,24 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str
         return F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[c], c, F.lit(""))
 
     def struct(turn: Column, place: Column, who: Column, text: Column) -> Column:
-        return F.struct(turn.alias("turn"), place.alias("place"), who.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-
-    turns = F.when(F.col("layout") == -1, F.array(struct(F.lit(0).cast("long"), F.lit(0), F.lit(None).cast("string"), F.col("record"))))
-    for i, m in enumerate(MAPPINGS):
+        return F.struct(turn.cast("long").alias("turn"), place.cast("int").alias("place"), who.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+    raw = F.array(struct(F.lit(0), F.lit(0), F.lit(None).cast("string"), F.col("record")))
+    turns = None
+    for m in MAPPINGS:
+        who, path = m.optional
+        first = get(F.col("v"), path) if path else F.lit(None).cast("string")
+        shift = F.when(first.isNotNull(), 1).otherwise(0)
         if m.listed:
-            path, who, what = m.listed
-            found = F.transform(F.try_variant_get("v", path, "array<variant>"), lambda t, k: struct(k.cast("long"), k, role(get(t, who)), get(t, what)))  # noqa: B023
+            root, of, what, instead = m.listed
+            found = F.transform(F.try_variant_get("v", root, "array<variant>"), lambda t, k: struct(k + shift, k + shift, role(get(t, of)), F.coalesce(get(t, what), get(t, instead))))  # noqa: B023
         else:
-            found = F.array(*[struct(get(F.col("v"), n, "long"), F.lit(k), F.coalesce(get(F.col("v"), who), F.lit("")), get(F.col("v"), what)) for k, (n, who, what) in enumerate(m.fixed)])
-        turns = turns.when(F.col("layout") == i, found)
-    return read.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.*")
+            found = F.array(*[struct(get(F.col("v"), n, "long") + shift, F.lit(k) + shift, F.coalesce(get(F.col("v"), by), F.lit("")), get(F.col("v"), what)) for k, (n, by, what) in enumerate(m.fixed)])
+        if path:
+            found = F.when(first.isNotNull(), F.concat(F.array(struct(F.lit(0), F.lit(0), F.lit(who), first)), found)).otherwise(found)
+        has = F.size(F.array_except(F.array(*[F.xxhash64(F.lit(p)) for p in m.needs]), "paths")) == 0
+        turns = F.when(has, found) if turns is None else turns.when(has, found)
+    return read.select("conv_id", F.explode(turns.otherwise(raw)).alias("t")).select("conv_id", "t.*")
 
 
 def escape(text: Column) -> Column:

@@ -229,6 +229,30 @@ def test_layouts_are_told_by_their_fingerprint(spark):
     assert got[4] == [(None, json.dumps(records[4]))] and got[10] == [(None, "not json")] and 9 not in got
 
 
+def test_other_fields_do_not_hide_a_layout(spark):
+    records = [
+        {"id": "x1", "source": "s", "conversations": [{"from": "human", "value": "a", "weight": 1}, {"from": "function_call", "value": "f()"}, {"from": "observation", "value": "3"}, {"from": "gpt", "value": "b"}], "tools": "[]"},
+        {"id": 7, "model": "m", "system": "be kind", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None, "tool_calls": [{"name": "f"}]}, {"role": "tool", "content": "3", "tool_call_id": "z"}, {"role": "assistant", "content": "b"}], "tools": [{"name": "f"}], "meta": {"messages": [1]}},
+        {"instruction": "i", "input": "a", "output": "b", "text": "all", "role": "x"},
+        {"prompt": "a", "chosen": "b", "rejected": "c", "system": None, "score": [1, {"deep": 2}]},
+        {"system": "s", "question": "a", "answer": "b", "id": None},
+        {"messages": [{"role": "user"}], "prompt": "a", "response": "b"},
+        {"messages": [{"name": "u"}, 5, None]},
+        [{"role": "user", "content": "a"}],
+        {"conversations": "text", "from": "human", "value": "a"},
+    ]
+    table = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "conv_id long, record string")
+    got = {}
+    for r in chat.canonical_turns(table).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got[0] == [("user", "a"), ("assistant", "f()"), ("tool", "3"), ("assistant", "b")]
+    assert got[1] == [("system", "be kind"), ("user", "a"), ("assistant", '[{"name":"f"}]'), ("tool", "3"), ("assistant", "b")]
+    assert got[2] == [("system", "i"), ("user", "a"), ("assistant", "b")]
+    assert got[3] == got[5] == [("user", "a"), ("assistant", "b")]
+    assert got[4] == [("system", "s"), ("user", "a"), ("assistant", "b")]
+    assert all(got[k] == [(None, json.dumps(records[k]))] for k in (6, 7, 8))
+
+
 def test_no_conversations(spark):
     assert chat.digests(formatted(spark, [])).count() == 0
 
