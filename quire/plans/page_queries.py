@@ -174,7 +174,7 @@ def sql_needs(t: str, pages: str) -> str:
       WHEN ({a} / CAST({n} AS DOUBLE) < 0.3 AND {a} / {pages} < 32) OR ({n} < 64 AND {n} / {pages} < 32) THEN TRUE ELSE {w} = 0 AND {n} / {pages} < 32 END"""
 
 
-CUT = "(CASE WHEN doc_id % 3 = 0 THEN left(text, CAST(doc_id % 90 AS INT)) ELSE text END)"
+CUT = "text"
 
 
 @R.query("ocr_fallback", f"SELECT doc_id, {sql_needs(CUT, 'CAST(1 + doc_id % 7 AS DOUBLE)')} AS fallback FROM documents")
@@ -237,7 +237,7 @@ def gap_clusters(spark, d):
     return G.gap_clusters(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 1.5).select("l_returnflag", "l_orderkey", "l_linenumber", "cluster")
 
 
-EDGES = "e AS (SELECT CAST(l_suppkey AS BIGINT) AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orientation, l_quantity * 6 AS place, l_linenumber * 3.0 AS low, l_linenumber * 3.0 + l_quantity * 4 AS high FROM lineitem WHERE l_orderkey % 4 = 0)"
+EDGES = "e AS (SELECT CAST(l_suppkey AS BIGINT) AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orientation, l_quantity * 6 AS place, l_linenumber * 3.0 AS low, l_linenumber * 3.0 + l_quantity * 4 AS high FROM lineitem)"
 SNAPPED = """c AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY page, orientation ORDER BY place) > 3 THEN 1 ELSE 0 END AS s FROM e), g AS (SELECT *, sum(s) OVER (PARTITION BY page, orientation ORDER BY place) AS g FROM c),
 sn AS (SELECT page, orientation, avg(place) OVER (PARTITION BY page, orientation, g) AS place, low, high FROM g)"""
 
@@ -339,7 +339,7 @@ def nearest_centre(spark, d):
 MD_LINKS = r"\[([^\]]+)\]\(([^)]+)\)"
 
 
-@R.query("markdown_links", f"""SELECT doc_id, unnest(regexp_extract_all(t, '{MD_LINKS}', 1)) AS label, unnest(regexp_extract_all(t, '{MD_LINKS}', 2)) AS target FROM (SELECT doc_id, left(text, 50) || ' [a ' || doc_id || '](http://x/' || doc_id || ') and [b](#c)' AS t FROM documents)""")
+@R.query("markdown_links", f"""SELECT doc_id, unnest(regexp_extract_all(t, '{MD_LINKS}', 1)) AS label, unnest(regexp_extract_all(t, '{MD_LINKS}', 2)) AS target FROM (SELECT doc_id, text || ' [a ' || doc_id || '](http://x/' || doc_id || ') and [b](#c)' AS t FROM documents)""")
 def markdown_links(spark, d):
     t = F.concat("text", F.lit(" [a "), F.col("doc_id").cast("string"), F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") and [b](#c)"))
     both = F.arrays_zip(F.regexp_extract_all(t, F.lit(MD_LINKS), F.lit(1)).alias("label"), F.regexp_extract_all(t, F.lit(MD_LINKS), F.lit(2)).alias("target"))

@@ -12,7 +12,7 @@ R = Registry()
 #: Words of the dictionaries, capitals, digits and marks, so that each rule has something to do.
 SUFFIX = " The analysis of API data by car 42x!! book?? <!-- gone -->  see optimization IMPORTANT."
 DOCS = f"(SELECT doc_id, lang, text || '{SUFFIX}' AS text FROM documents)"
-SHORT = f"(SELECT doc_id, lang, left(text, 600) || '{SUFFIX}' AS text FROM documents)"
+SHORT = f"(SELECT doc_id, lang, text || '{SUFFIX}' AS text FROM documents)"
 
 
 def _docs(spark, d):
@@ -115,7 +115,7 @@ def hypernyms_to_target(spark, d):
     return X.hypernyms_to_target(_docs(spark, d), 0.5)
 
 
-@R.query("cjk_tokens", f"""SELECT doc_id, array_to_string(flatten(list_transform({sql_words("(left(text, 80) || ' 数据分析 自然语言x ok')")}, lambda w: CASE WHEN regexp_matches(w, '[\\x{{4e00}}-\\x{{9fff}}]') THEN regexp_extract_all(w, '.{{1,2}}') ELSE [w] END)), '|') AS tokens FROM documents""")
+@R.query("cjk_tokens", f"""SELECT doc_id, array_to_string(flatten(list_transform({sql_words("(text || ' 数据分析 自然语言x ok')")}, lambda w: CASE WHEN regexp_matches(w, '[\\x{{4e00}}-\\x{{9fff}}]') THEN regexp_extract_all(w, '.{{1,2}}') ELSE [w] END)), '|') AS tokens FROM documents""")
 def cjk_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.cjk_tokens(F.concat("text", F.lit(" 数据分析 自然语言x ok"))), "|").alias("tokens"))
 
@@ -133,7 +133,7 @@ _line = f"CASE WHEN regexp_matches(x, '{X.MARKDOWN_LINE}') OR trim(x) = '' THEN
 _part = f"array_to_string(list_transform(string_split({LIGHT.replace('(text,', '(p,')}, chr(10)), lambda x: {_line}), chr(10))"
 
 
-@R.query("reduce_markdown", f"SELECT doc_id, array_to_string(list_transform(string_split(left(text, 300) || chr(10) || {MD_SQL}, '```'), lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {_part} END), '```') AS reduced FROM documents")
+@R.query("reduce_markdown", f"SELECT doc_id, array_to_string(list_transform(string_split(text || chr(10) || {MD_SQL}, '```'), lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {_part} END), '```') AS reduced FROM documents")
 def reduce_markdown(spark, d):
     text = F.concat("text", F.lit("\n" + "\n".join(MD)))
     return table(spark, d, "documents").select("doc_id", X.moderate_markdown(text, X.STOPWORDS["en"]).alias("reduced"))

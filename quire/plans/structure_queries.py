@@ -12,7 +12,7 @@ R = Registry()
 #: A list, paragraphs, headings and fenced code after each text.
 LINES = ["", "", "- first", "* second", "  - nested item", "12. twelve", "123. no", "a. letter", "ab. no", "      far in", "plain", "", "", "last paragraph", "# Top", "## Sub", "```", "# code", "```", "#### Deep", "## Other", "# End"]
 TAIL_SQL = " || chr(10) || ".join(f"'{x}'" for x in LINES)
-DOCS = f"(SELECT doc_id, left(text, 400) || {TAIL_SQL} AS text FROM documents)"
+DOCS = f"(SELECT doc_id, text || {TAIL_SQL} AS text FROM documents)"
 
 
 def _docs(spark, d):
@@ -64,7 +64,7 @@ def elements(spark, d):
 MIX = f"((({hash31('kind')} * 65599 + {hash31('text')}) % {BIG}) * 65599 + {hash31(chr(39) + '1' + chr(39))}) % {BIG}"
 
 
-@R.query("element_ids", f"WITH {BLOCKS}, h AS (SELECT doc_id, element_index, {MIX} AS h FROM el WHERE length(text) < 60) SELECT doc_id, element_index, 'elem-' || ltrim({HEXED.format(h='h')}, '0') AS element_id FROM h")
+@R.query("element_ids", f"WITH {BLOCKS}, h AS (SELECT doc_id, element_index, {MIX} AS h FROM el) SELECT doc_id, element_index, 'elem-' || ltrim({HEXED.format(h='h')}, '0') AS element_id FROM h")
 def element_ids(spark, d):
     return S.elements(_docs(spark, d)).select("doc_id", "element_index", "element_id")
 

@@ -149,7 +149,7 @@ def strip_control(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_control(F.concat("text", F.lit("\x01\t\x7f"))).alias("cleaned"))
 
 
-@R.query("blank_pages", f"SELECT doc_id, length({sub('(CASE WHEN doc_id % 5 = 0 THEN left(text, 2) ELSE text END)', r'\s+', '')}) < 3 AS is_blank FROM documents")
+@R.query("blank_pages", f"SELECT doc_id, length({sub('text', r'\s+', '')}) < 3 AS is_blank FROM documents")
 def blank_pages(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_blank_page(F.col("text")).alias("is_blank"))
 
