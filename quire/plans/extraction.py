@@ -98,13 +98,21 @@ class Config:
 Transform = Callable[[DataFrame, Config], DataFrame]
 
 
+#: Bytes of a file to a record; what it raises sends the file to the next reader.
+Reader = Callable[[bytes], formats.Record]
+
+
 @dataclass
 class Plugins:
-    """Processors and validators by name, on the driver. A processor has a stage and
-    a priority, greater first; a validator is a condition that every row without an error must meet."""
+    """Readers, processors and validators by name, on the driver. A reader takes some types, or all of a
+    family (text/*), and goes by its priority, greater first; a processor has a stage and
+    a priority; a validator is a condition that every row without an error must meet. A version tells
+    results of one plugin apart, in the cache too."""
 
     processors: dict[str, tuple[str, int, Transform]] = field(default_factory=dict)
     validators: dict[str, tuple[int, str]] = field(default_factory=dict)
+    readers: dict[str, tuple[tuple[str, ...], int, Reader]] = field(default_factory=dict)
+    versions: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def _named(name: str) -> str:
@@ -112,13 +120,39 @@ class Plugins:
             raise ValueError(f"a plugin's name can't be empty or hold white space: {name!r}")
         return name
 
-    def processor(self, name: str, stage: str, priority: int, transform: Transform) -> None:
+    def processor(self, name: str, stage: str, priority: int, transform: Transform, version: str = "1") -> None:
         if stage not in STAGES:
             raise ValueError(f"stage {stage!r} is none of {STAGES}")
         self.processors[self._named(name)] = (stage, priority, transform)
+        self.versions[name] = version
 
-    def validator(self, name: str, priority: int, condition: str) -> None:
+    def validator(self, name: str, priority: int, condition: str, version: str = "1") -> None:
         self.validators[self._named(name)] = (priority, condition)
+        self.versions[name] = version
+
+    def reader(self, name: str, types: Sequence[str], priority: int, read: Reader, version: str = "1") -> None:
+        if not types:
+            raise ValueError(f"reader {name!r} takes no type")
+        self.readers[self._named(name)] = (tuple(types), priority, read)
+        self.versions[name] = version
+
+    def remove(self, name: str) -> bool:
+        """Whether there was a plugin of that name."""
+        self.versions.pop(name, None)
+        return any([kind.pop(name, None) is not None for kind in (self.readers, self.processors, self.validators)])
+
+    def readers_of(self, mime_type: str | None) -> list[tuple[str, Reader]]:
+        """(name, reader) for a type: those that name it by priority, then those of its family."""
+        if not mime_type:
+            return []
+        family = mime_type.partition("/")[0] + "/*"
+        found = [(step, -priority, name, read) for step, key in enumerate((mime_type, family)) for name, (types, priority, read) in self.readers.items() if key in types]
+        return [(name, read) for _, _, name, read in {x[2]: x for x in sorted(found, key=lambda x: x[:3], reverse=True)}.values()][::-1]
+
+    def signature(self) -> str:
+        """What a result depends on, of these plugins."""
+        rows = [("reader", n, t, p) for n, (t, p, _) in self.readers.items()] + [("processor", n, s, p) for n, (s, p, _) in self.processors.items()] + [("validator", n, c, p) for n, (p, c) in self.validators.items()]
+        return repr(sorted((*map(str, r), self.versions.get(r[1], "")) for r in rows))
 
     def chosen(self, config: Config) -> list[Transform]:
         """In order of stage, then priority, then name; enabled names outrank disabled ones."""
@@ -146,11 +180,17 @@ def _reduction(df: DataFrame, config: Config) -> DataFrame:
     return df.withColumn("reduced", reduction.light(c) if config.reduction == "light" else reduction.moderate(c, reduction.STOPWORDS["en"]))
 
 
+#: Of the built-in readers; a plugin of more is asked first, one of less where these fail.
+PRIORITY = 50
+
+
 def builtin() -> Plugins:
     p = Plugins()
     p.processor("quality", "early", 30, _quality)
     p.processor("language", "early", 20, _language)
     p.processor("reduction", "middle", 10, _reduction)
+    for mime_type, read in formats.READERS.items():
+        p.reader(f"builtin:{mime_type}", [mime_type], PRIORITY, read)
     return p
 
 
@@ -162,10 +202,15 @@ def read_files(spark: SparkSession, path: str, extensions: Sequence[str] | None
     return reader.load(path).select("path", F.col("content").alias("data"))
 
 
+#: Records handed back at a time.
+RECORDS = 64
+
+
 def extract(files: DataFrame, config: Config | None = None, plugins: Plugins | None = None) -> DataFrame:
     """One record for each row (path, data binary, mime_type string if known).
 
-    A file that is too large, of unknown type, or refused by its reader has an
+    The readers of a file's type are asked in their order until one answers; what the others
+    said is in its warnings. A file that is too large, of unknown type, or refused by all its readers has an
     error, no content, and ordinal, path and type like any other. The ordinal
     follows the path.
     """
@@ -173,27 +218,41 @@ def extract(files: DataFrame, config: Config | None = None, plugins: Plugins | N
     given = F.col("mime_type") if "mime_type" in files.columns else F.lit(None).cast("string")
     typed = files.select(F.xxhash64("path").alias("ordinal"), "path", F.coalesce(mime.resolved(given, F.col("path")), F.when(given.isNull(), mime.of_bytes(F.col("data")))).alias("mime_type"), "data", F.coalesce(F.length("data"), F.lit(0)).alias("bytes"))
     limit = config.max_file_bytes
+    # Only what reads goes to the workers.
+    readers = Plugins(readers=dict(plugins.readers))
+
+    def one(r) -> tuple:  # noqa: ANN001
+        found = error = None
+        warnings: list[dict] = []
+        asked = readers.readers_of(r.mime_type)
+        if r.bytes > limit:
+            error = ("TooLarge", f"{r.bytes} bytes, more than {limit}")
+        elif r.data is None:
+            error = ("Io", "no content")
+        elif not asked:
+            error = ("UnsupportedFormat", f"no reader of {r.mime_type}")
+        else:
+            data = bytes(r.data)
+            for name, read in asked:
+                try:
+                    found = read(data)
+                    break
+                except Exception as e:  # noqa: BLE001  a reader's failure is its row's
+                    error = ("Parsing", f"{type(e).__name__}: {e}"[:500])
+                    warnings.append({"source": name, "message": error[1]})
+            if found:
+                error = None
+            elif len(asked) == 1:
+                warnings = []
+        content, meta, tables = (found.content, found.metadata, found.tables) if found else (None, {}, None)
+        return r.ordinal, r.path, r.mime_type, content, dict(meta), tables, error and dict(zip(("kind", "message"), error, strict=True)), warnings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in ("ordinal", "path", "mime_type", "content", "metadata", "tables", "error", "warnings")]
         for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                content = meta = tables = error = None
-                reader = formats.READERS.get(r.mime_type)
-                if r.bytes > limit:
-                    error = ("TooLarge", f"{r.bytes} bytes, more than {limit}")
-                elif r.data is None:
-                    error = ("Io", "no content")
-                elif reader is None:
-                    error = ("UnsupportedFormat", f"no reader of {r.mime_type}")
-                else:
-                    try:
-                        found = reader(bytes(r.data))
-                        content, meta, tables = found.content, found.metadata, found.tables
-                    except Exception as e:  # noqa: BLE001  a reader's failure is its row's
-                        error = ("Parsing", f"{type(e).__name__}: {e}"[:500])
-                out.append((r.ordinal, r.path, r.mime_type, content, list((meta or {}).items()), tables, error and dict(zip(("kind", "message"), error, strict=True)), []))
-            yield pd.DataFrame(out, columns=["ordinal", "path", "mime_type", "content", "metadata", "tables", "error", "warnings"]).assign(metadata=lambda d: d["metadata"].map(dict))
+            # Spark bounds a batch's bytes; contents can be larger than files, so records go out a few at a time.
+            for at in range(0, len(rows), RECORDS):
+                yield pd.DataFrame([one(r) for r in rows.iloc[at : at + RECORDS].itertuples(index=False)], columns=names)
 
     records = typed.mapInPandas(run, RECORD)
     return postprocess(records, config, plugins)
@@ -231,20 +290,32 @@ def split_errors(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cached(files: DataFrame, cache: str, config: Config | None = None, plugins: Plugins | None = None) -> DataFrame:
-    """extract() through a content-addressed Parquet cache: files whose bytes, type
-    and configuration were seen before are read from it, others are extracted
-    once each and added. Rows come back with their own paths."""
-    spark, config = files.sparkSession, (config or Config()).checked()
+    """extract() through a content-addressed Parquet cache: files whose bytes, type, configuration and plugins
+    were seen before are read from it, others are extracted
+    once each and added. Bytes that all readers refused are so again, but files that couldn't be read are tried
+    again. Rows come back with their own paths."""
+    spark, config, plugins = files.sparkSession, (config or Config()).checked(), plugins or builtin()
     given = F.col("mime_type") if "mime_type" in files.columns else F.lit(None).cast("string")
-    keyed = files.withColumn("key", F.sha2(F.concat_ws("|", F.sha2(F.coalesce("data", F.lit("").cast("binary")), 256), F.coalesce(given, mime.of_path(F.col("path")), F.lit("")), F.lit(repr(config))), 256))
+    parts = (F.sha2(F.coalesce("data", F.lit("").cast("binary")), 256), F.coalesce(given, mime.of_path(F.col("path")), F.lit("")), F.lit(repr(config)), F.lit(plugins.signature()))
+    keyed = files.withColumn("key", F.sha2(F.concat_ws("|", *parts), 256))
     # The extension may matter to the reader, so one path stands for each key.
     known = _cache_rows(spark, cache)
-    new = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
+    new = keyed if known is None else keyed.join(known.where("error IS NULL OR error.kind <> 'Io'").select("key"), "key", "left_anti")
     once = new.groupBy("key").agg(F.min_by(F.struct(*files.columns), F.col("path")).alias("f")).select("key", "f.*")
     done = extract(once, config, plugins).join(once.select("key", "path"), "path").drop("ordinal", "path")
     done.write.mode("append").parquet(cache)
     rows = spark.read.parquet(cache)
-    return keyed.select("key", "path", F.xxhash64("path").alias("ordinal")).join(rows.dropDuplicates(["key"]), "key").drop("key")
+    # Of the rows of a key, writers' or tries', one that has no error.
+    best = rows.groupBy("key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "key"]), F.col("error").isNotNull()).alias("r")).select("key", "r.*")
+    return keyed.select("key", "path", F.xxhash64("path").alias("ordinal")).join(best, "key").drop("key")
+
+
+def cache_stats(spark: SparkSession, cache: str) -> DataFrame:
+    """(entries, failed, characters) of a cache; no row if there is none."""
+    rows = _cache_rows(spark, cache)
+    if rows is None:
+        return spark.createDataFrame([], "entries long, failed long, characters long")
+    return rows.agg(F.count_distinct("key").alias("entries"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum(F.char_length("content")), F.lit(0)).cast("long").alias("characters"))
 
 
 def _cache_rows(spark: SparkSession, cache: str) -> DataFrame | None:

@@ -10,6 +10,7 @@ from quire.functions import decoding
 from quire.plans import extraction as X
 from quire.plans.base import Registry, table
 from quire.plans.text_queries import sql_quality, sql_words
+from quire.sources import formats
 from quire.streaming import stream
 
 R = Registry()
@@ -40,6 +41,23 @@ def extract_validated(spark, d):
     return X.extract(docs, X.Config(quality=False), p).groupBy(F.coalesce(F.replace(F.col("error.message"), F.lit("_"), F.lit(" ")), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _long_only(data: bytes) -> formats.Record:
+    record = formats.plain(data)
+    if int(record.metadata["word_count"]) < 100:
+        raise formats.FormatError("short")
+    return formats.Record(f"long: {record.content}", record.metadata, [])
+
+
+@R.query("extract_fallback", f"""SELECT 'doc/' || doc_id || '.txt' AS path, md5(CASE WHEN long THEN 'long: ' || t ELSE t END) AS digest, CASE WHEN long THEN NULL ELSE 'long_only' END AS refused_by, CASE WHEN long THEN NULL ELSE 'FormatError: short' END AS reason
+FROM (SELECT doc_id, rtrim(text, chr(10)) AS t, len({sql_words('text')}) >= 100 AS long FROM documents)""")
+def extract_fallback(spark, d):
+    """A first reader that refuses short texts; the next one answers for them."""
+    p = X.builtin()
+    p.reader("long_only", ["text/plain"], 90, _long_only)
+    x = X.extract(_files(spark, d).where("path LIKE 'doc/%'"), X.Config(quality=False), p)
+    return x.select("path", F.md5(F.col("content").cast("binary")).alias("digest"), F.get("warnings", F.lit(0))["source"].alias("refused_by"), F.get("warnings", F.lit(0))["message"].alias("reason"))
+
+
 @R.query("windowed_stats", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2, event_type""")
 def windowed_stats(spark, d):
     x = stream.windowed_stats(table(spark, d, "events"))
@@ -71,6 +89,17 @@ def decode_latin(spark, d):
     return docs.select("doc_id", decoding.safe_decode(F.encode("text", "iso-8859-1"), F.lit("iso-8859-1")).alias("decoded"))
 
 
-@R.query("collapse_scattered", "SELECT doc_id, 'Total: headline 5' AS collapsed FROM documents")
+SCATTERED = """WITH t AS (SELECT doc_id, text || ' 7 H e a d l i n e 5 H e 6 e n d 9' AS t FROM documents),
+r AS (SELECT *, regexp_extract_all(t, '[A-Za-z][A-Za-z\\s]*') AS runs, regexp_split_to_array(t, '[A-Za-z][A-Za-z\\s]*') AS gaps FROM t WHERE regexp_full_match(t, '(?s)[\\x00-\\x7f]*')),
+e AS (SELECT doc_id, k, gaps[k] AS gap, runs[k] AS run FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS k FROM r)),
+l AS (SELECT *, list_filter(range(1, coalesce(length(run), 0) + 1), lambda i: run[i] > ' ') AS spots FROM e),
+f AS (SELECT *, list_filter(range(1, len(spots) - 1), lambda k: length(run) - spots[k] + 1 >= 2 * (len(spots) - k + 1) - 1)[1] AS first FROM l),
+j AS (SELECT doc_id, string_agg(gap || coalesce(CASE WHEN first IS NULL THEN run ELSE run[1:spots[first] - 1] || lower(array_to_string(list_transform(spots[first:], lambda i: run[i]), '')) || ' ' END, ''), '' ORDER BY k) AS collapsed FROM f GROUP BY doc_id)
+SELECT * FROM j UNION ALL SELECT doc_id, t FROM t WHERE NOT regexp_full_match(t, '(?s)[\\x00-\\x7f]*')"""
+
+
+@R.query("collapse_scattered", SCATTERED)
 def collapse_scattered(spark, d):
-    return table(spark, d, "documents").select("doc_id", decoding.collapse_scattered(F.lit("Total: H e a d l i n e 5")).alias("collapsed"))
+    """Whole texts, with letters set apart appended; those that aren't ASCII stay as they are."""
+    text = F.concat("text", F.lit(" 7 H e a d l i n e 5 H e 6 e n d 9"))
+    return table(spark, d, "documents").select("doc_id", decoding.collapse_scattered(text).alias("collapsed"))

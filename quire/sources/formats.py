@@ -20,6 +20,7 @@ import tomllib
 import zipfile
 from collections import Counter
 from dataclasses import dataclass, field
+from html import unescape
 from xml.etree import ElementTree
 
 from quire.functions.html import to_markdown
@@ -138,30 +139,67 @@ def xml(data: bytes) -> Record:
     """"tag: text" and "tag[attribute]: value" lines, counts and names of elements."""
     lines, names, depth = [], Counter(), 0
     parser = ElementTree.XMLPullParser(("start", "end"))
-    parser.feed(data)
     try:
+        parser.feed(data)
         parser.close()
+        events = [(kind, _tag(e.tag), e.attrib, e.text) for kind, e in parser.read_events()]
     except ElementTree.ParseError:
-        pass  # what was read before a mismatched tag counts
-    try:
-        for event, e in parser.read_events():
-            if event == "start":
-                depth += 1
-                if depth > XML_DEPTH:
-                    raise FormatError(f"deeper than {XML_DEPTH} elements")
-                names[_tag(e.tag)] += 1
-                lines += [f"{_tag(e.tag)}[{_tag(k)}]: {v}" for k, v in e.attrib.items()]
-            else:
-                depth -= 1
-                if e.text and e.text.strip():
-                    lines.append(f"{_tag(e.tag)}: {' '.join(e.text.split())}")
-    except ElementTree.ParseError:
-        pass
+        events = tags_as_they_come(decoded(data))  # a mismatched tag doesn't end reading
+    for kind, tag, attributes, text in events:
+        if kind == "start":
+            depth += 1
+            if depth > XML_DEPTH:
+                raise FormatError(f"deeper than {XML_DEPTH} elements")
+            names[tag] += 1
+            lines += [f"{tag}[{_tag(k)}]: {v}" for k, v in attributes.items()]
+        else:
+            depth -= 1
+            if text and text.strip():
+                lines.append(f"{tag}: {' '.join(text.split())}")
     if not names:
         raise FormatError("no XML element")
     return Record("\n".join(lines), {"element_count": str(sum(names.values())), "unique_elements": ", ".join(sorted(names))})
 
 
+MARKUP = re.compile(r"""<!--.*?-->|<!\[CDATA\[(?P<raw>.*?)\]\]>|<[?!][^>]*>|<(?P<close>/?)(?P<tag>[^\s<>/]+)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+)|<""", re.DOTALL)
+
+
+def tags_as_they_come(text: str) -> list[tuple[str, str, dict[str, str], str | None]]:
+    """(start or end, tag, attributes, text) of markup that isn't well formed: a closing tag closes
+    what stands open up to its like, and nothing where there is none; the end closes all. An element's
+    text is that before its first child."""
+    out: list[tuple[str, str, dict[str, str], str | None]] = []
+    open_: list[list] = []  # [tag, text, whether a child has come]
+
+    def close() -> None:
+        tag, body, _ = open_.pop()
+        out.append(("end", tag, {}, body))
+
+    for m in MARKUP.finditer(text):
+        body = m["raw"] if m["raw"] is not None else unescape(m["text"]) if m["text"] else None
+        if body is not None:
+            if open_ and not open_[-1][2]:
+                open_[-1][1] += body
+        elif m["tag"] and m["close"]:
+            tag = m["tag"].rpartition(":")[2]
+            if any(o[0] == tag for o in open_):
+                while open_[-1][0] != tag:
+                    close()
+                close()
+        elif m["tag"]:
+            if open_:
+                open_[-1][2] = True
+            tag = m["tag"].rpartition(":")[2]
+            found = re.findall(r"""([^\s=]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", m["rest"])
+            out.append(("start", tag, {k.rpartition(":")[2]: unescape(a or b) for k, a, b in found if not k.startswith("xmlns")}, None))
+            open_.append([tag, "", False])
+            if m["rest"].rstrip().endswith("/"):
+                close()
+    while open_:
+        close()
+    return out
+
+
 #: Vocabularies: where titles and authors are, tags of paragraphs and of headings.
 VOCABULARIES = {
     "fictionbook": (("book-title",), ("author",), {"p", "v", "subtitle"}, {"title"}),
@@ -391,6 +429,16 @@ def rtf(data: bytes) -> Record:
     return Record(re.sub(r"\n{3,}", "\n\n", "".join(out)).strip(), meta)
 
 
+def column_of(reference: str) -> int:
+    """The column's number, from 1, in a cell reference such as B3; 0 if it has none."""
+    n = 0
+    for c in reference:
+        if not "A" <= c <= "Z":
+            break
+        n = 26 * n + ord(c) - 64
+    return n if n <= 16384 else 0
+
+
 def ooxml(data: bytes, main: str) -> Record:
     """Paragraph texts and tables of a word document, slides, or sheets, with core properties."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -402,7 +450,7 @@ def ooxml(data: bytes, main: str) -> Record:
         read = lambda n: ElementTree.fromstring(z.read(n))
         number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
         text = lambda e: "".join(t.text or "" for t in e.iter() if _tag(t.tag) == "t")
-        parts, tables = [], []
+        parts, tables, sheets = [], [], []
         if main == "word":
             body = read("word/document.xml")
             parts = [text(p) for p in body.iter() if _tag(p.tag) == "p" and text(p)]
@@ -415,18 +463,24 @@ def ooxml(data: bytes, main: str) -> Record:
             for n in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=number):
                 rows = []
                 for r in (e for e in read(n).iter() if _tag(e.tag) == "row"):
-                    cells = []
+                    cells: dict[int, str] = {}
                     for c in r:
                         v = next((x.text or "" for x in c if _tag(x.tag) == "v"), text(c))
-                        cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-                    rows.append(cells)
-                if sum(map(len, rows)) > CELLS:
-                    raise FormatError(f"more than {CELLS} cells")
+                        # A cell without a reference stands behind the one before it.
+                        at = column_of(c.get("r", "")) or max(cells, default=0) + 1
+                        cells[at] = shared[int(v)] if c.get("t") == "s" and v else v
+                    rows.append([cells.get(k, "") for k in range(1, max(cells, default=0) + 1)])
+                    if sum(map(len, rows)) > CELLS:
+                        raise FormatError(f"more than {CELLS} cells")
                 tables.append(rows)
                 parts.append("\n".join(" ".join(x for x in r if x) for r in rows))
+            if "xl/workbook.xml" in names:
+                sheets = [e.get("name", "") for e in read("xl/workbook.xml").iter() if _tag(e.tag) == "sheet"]
         meta = {}
         if "docProps/core.xml" in names:
             meta = {_tag(e.tag): e.text for e in read("docProps/core.xml") if e.text}
+        if sheets:
+            meta |= {"sheet_names": json.dumps(sheets), "sheet_count": str(len(sheets))}
     return Record("\n\n".join(parts), meta, [t for t in tables if t])
 
 
