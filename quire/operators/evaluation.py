@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import ordering
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits and dots."""
@@ -34,17 +36,17 @@ def finite(x: Column) -> Column:
 def group_stats(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """Count, mean, sample variance and deviation (0 for one row), extremes, R-7 percentiles."""
     v = finite(F.col(value))
-    return rows.groupBy(*group).agg(
+    plain = rows.groupBy(*group).agg(
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"),
         F.min(v).alias("least"),
         F.max(v).alias("most"),
-        F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.95).alias("p95"),
-        F.percentile(v, 0.99).alias("p99"),
     )
+    found = ordering.percentiles(rows, group, v, [0.5, 0.95, 0.99])
+    named = found.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("p0").alias("median"), F.col("p1").alias("p95"), F.col("p2").alias("p99"))
+    return plain.join(named, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group], "left").drop(*[f"_of_{g}" for g in group])
 
 
 def ranked(groups: DataFrame, name: str, value: str, ascending: bool = True) -> DataFrame:
@@ -73,10 +75,12 @@ def consensus(rows: DataFrame, item: str, success: str) -> DataFrame:
 
 
 def shard(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    """Numbers rows in order of a unique string and deals them round; the number
-    within a bucket of the order's range keeps the sort distributed."""
-    numbered = rows.select(order).distinct().withColumn("bucket", F.substring(F.col(order), 1, 8))
-    sizes = numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = numbered.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(order)))
-    return within.join(before, "bucket").select(order, (F.col("before") + F.col("k") - 1).alias("position"), F.pmod(F.col("before") + F.col("k") - 1, F.lit(shards)).alias("shard"))
+    """Numbers the distinct values of a column in their order, and deals them round."""
+    placed = ordering.positions(rows.select(order).distinct(), [order])
+    return placed.select(order, "position", F.pmod("position", F.lit(shards)).alias("shard"))
+
+
+def perfect(rows: DataFrame, group: str, success: str) -> DataFrame:
+    """(group, n) of the groups of more than one row, all of which succeed."""
+    each = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bool_and(success).alias("all_ok"))
+    return each.where("all_ok AND n > 1").select(group, "n")

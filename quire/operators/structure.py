@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import ordering
 
 # How list lines begin.
 BULLET, NUMBERED, LETTERED = r"^[-*•]( |$)", r"^[0-9]{1,2}\. ", r"^\p{L}\. "
@@ -144,13 +145,13 @@ def cells_as_markdown(cells: Column, rule: str = "------|", escape: bool = True)
 
 def rows_as_markdown(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """(line_number, line): a table's header, rule and rows; floats with two digits,
-    nulls empty. One line per row, numbered by a global sort."""
+    nulls empty. One line per row, numbered in the order of some columns."""
     def shown(c: str) -> Column:
         kind = rows.schema[c].dataType.typeName()
         return F.coalesce(F.format_string("%.2f", F.col(c)) if kind in ("double", "float") else F.col(c).cast("string"), F.lit(""))
 
     body = rows.select(*order, F.concat(F.lit("| "), F.concat_ws(" | ", *[shown(c) for c in columns]), F.lit(" |")).alias("line"))
-    numbered = body.select((F.row_number().over(Window.orderBy(*order)) + 2).alias("line_number"), "line")
+    numbered = ordering.positions(body, order).select((F.col("position") + 3).cast("int").alias("line_number"), "line")
     head = rows.sparkSession.createDataFrame([(1, "| " + " | ".join(columns) + " |"), (2, "|" + " --- |" * len(columns))], "line_number int, line string")
     return head.unionByName(numbered)
 

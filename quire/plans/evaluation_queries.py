@@ -82,20 +82,20 @@ def levels_by_grouping_sets(spark, d):
     return rows.groupingSets([["event_type"], ["event_type", "extension"]], "event_type", "extension").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("success_rate"))
 
 
-MEANS = "g AS (SELECT event_type, round(avg(value), 6) AS duration, round(avg(user_id), 6) AS memory, round(avg(CAST(value > 1 AS DOUBLE)), 6) AS reliability FROM events GROUP BY event_type)"
+MEANS = "g AS (SELECT event_type, round(avg(value), 6) AS duration, round(avg(user_id), 6) AS memory, round(avg(CAST(value > 1 AS DOUBLE)), 6) AS reliability, round(avg(user_id) / avg(value), 6) AS throughput FROM events GROUP BY event_type)"
 
 
 def _means(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("duration"), F.round(F.avg("user_id"), 6).alias("memory"), F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("reliability"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("duration"), F.round(F.avg("user_id"), 6).alias("memory"), F.round(F.avg((F.col("value") > 1).cast("double")), 6).alias("reliability"), F.round(F.avg("user_id") / F.avg("value"), 6).alias("throughput"))
 
 
 @R.query("rankings", "WITH " + MEANS + " " + " UNION ALL ".join(
     f"SELECT '{c}' AS ranking, event_type, {c} AS value, CAST(row_number() OVER (ORDER BY {c} {o}, event_type) AS INT) AS rank, round({c} / first_value({c}) OVER (ORDER BY {c} {o}, event_type), 6) AS relative FROM g"
-    for c, o in (("duration", "ASC"), ("memory", "ASC"), ("reliability", "DESC"))))
+    for c, o in (("duration", "ASC"), ("memory", "ASC"), ("reliability", "DESC"), ("throughput", "DESC"))))
 def rankings(spark, d):
     g = _means(spark, d)
     out = None
-    for c, up in (("duration", True), ("memory", True), ("reliability", False)):
+    for c, up in (("duration", True), ("memory", True), ("reliability", False), ("throughput", False)):
         r = V.ranked(g, "event_type", c, up).select(F.lit(c).alias("ranking"), "event_type", "value", "rank", F.round("relative", 6).alias("relative"))
         out = r if out is None else out.unionByName(r)
     return out
@@ -121,6 +121,21 @@ def degraded_groups(spark, d):
     return g.where("s > 0.2 AND NOT ok").select("user_id", F.round("s", 6).alias("std_dev"))
 
 
+@R.query("perfect_groups", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING bool_and(value > 0.2) AND count(*) > 1")
+def perfect_groups(spark, d):
+    return V.perfect(table(spark, d, "events").withColumn("ok", F.col("value") > 0.2), "user_id", "ok")
+
+
+@R.query("extension_stats", "SELECT event_type, CAST(user_id % 5 AS INT) AS extension, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(user_id) / sum(value), 6) AS throughput FROM events GROUP BY event_type, user_id % 5")
+def extension_stats(spark, d):
+    """By tool and extension: durations, and what was done in a unit of time."""
+    rows = table(spark, d, "events").withColumn("extension", (F.col("user_id") % 5).cast("int"))
+    group = ["event_type", "extension"]
+    s = V.group_stats(rows, group, "value").select(*group, "n", F.round("mean", 6).alias("mean"), F.round("p95", 6).alias("p95"))
+    done = rows.groupBy(*group).agg(F.round(F.sum("user_id") / F.sum("value"), 6).alias("throughput"))
+    return s.join(done, group)
+
+
 @R.query("quality_ranking", "WITH g AS (SELECT event_type, round(avg(value), 6) AS m, round(greatest(0.0, least(1.0, 1 - coalesce(stddev_samp(value), 0))), 6) AS c FROM events GROUP BY event_type) SELECT event_type, m AS mean_quality, c AS consistency, CAST(row_number() OVER (ORDER BY m DESC, event_type) AS INT) AS rank FROM g")
 def quality_ranking(spark, d):
     s = V.group_stats(table(spark, d, "events"), ["event_type"], "value").select("event_type", F.round("mean", 6).alias("mean_quality"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("std_dev"))), 6).alias("consistency"))
