@@ -67,7 +67,12 @@ def presets(spark, d):
     return spark.createDataFrame(C.PRESETS, "name string, size int, overlap int, dimensions int")
 
 
-@R.query("l2_normalize", "SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS length FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
+NORMAL = """n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM n)"""
+
+
+@R.query("l2_normalize", f"WITH {NORMAL} SELECT vec_id, CAST(k AS INT) AS k, round(u[k + 1], 6) AS value FROM (SELECT vec_id, u, unnest(range(len(u))) AS k FROM u)")
 def l2_normalize(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", C.normalized(F.col("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("length"))
+    """All components of all vectors."""
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(C.normalized(F.col("embedding"))).alias("k", "value"))
+    return v.select("vec_id", "k", F.round("value", 6).alias("value"))

@@ -139,11 +139,22 @@ def reduce_markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", X.moderate_markdown(text, X.STOPWORDS["en"]).alias("reduced"))
 
 
-@R.query("reduce_aggressive")
+def _then(name: str, column: str, source: str) -> str:
+    """The query of that name over a source of (doc_id, text) instead of the documents; '' where it gives no row."""
+    return f"(SELECT d.doc_id, coalesce(x.{column}, '') AS text FROM documents d LEFT JOIN ({R.sql[name].replace(DOCS, source)}) x USING (doc_id))"
+
+
+AGGRESSIVE = f"(SELECT doc_id, {MODERATE} AS text FROM (SELECT doc_id, {LIGHT} AS text FROM {DOCS}))"
+for _name, _column in (("reduce_common_words", "reduced"), ("sentence_select", "selected"), ("semantic_filter", "filtered")):
+    AGGRESSIVE = _then(_name, _column, AGGRESSIVE)
+MAXIMUM = _then("hypernyms_to_target", "compressed", AGGRESSIVE)
+
+
+@R.query("reduce_aggressive", f"SELECT doc_id, text AS reduced FROM {AGGRESSIVE}")
 def reduce_aggressive(spark, d):
     return X.reduce_tokens(_docs(spark, d), "aggressive", X.STOPWORDS["en"])
 
 
-@R.query("reduce_maximum")
+@R.query("reduce_maximum", f"SELECT doc_id, text AS reduced FROM {MAXIMUM}")
 def reduce_maximum(spark, d):
     return X.reduce_tokens(_docs(spark, d), "maximum", X.STOPWORDS["en"], 0.5)

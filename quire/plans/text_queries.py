@@ -154,8 +154,9 @@ def blank_pages(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_blank_page(F.col("text")).alias("is_blank"))
 
 
-@R.query("utf8_boundaries", "SELECT doc_id, k AS byte_offset, coalesce((ord(substr(hex(encode(text)), 1, 1)) >= 0) AND substr(hex(encode(text)), 2 * k + 1, 1) IN ('8', '9', 'A', 'B'), FALSE) AS splits FROM documents, (SELECT unnest([0, 7, 50, 333]) AS k)")
+@R.query("utf8_boundaries", "SELECT doc_id, CAST(k AS INT) AS byte_offset, substr(h, CAST(2 * k + 1 AS INT), 1) IN ('8', '9', 'A', 'B') AS splits FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(0, strlen(text) + 1, 37)) AS k FROM documents)")
 def utf8_boundaries(spark, d):
-    """Whether byte offsets fall inside a character."""
-    rows = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(*[F.lit(k) for k in (0, 7, 50, 333)])).alias("byte_offset"))
+    """Whether byte offsets, one in 37 throughout each text, fall inside a character."""
+    offsets = F.sequence(F.lit(0), F.octet_length("text"), F.lit(37))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.explode(offsets).alias("byte_offset"))
     return rows.select("doc_id", "byte_offset", T.splits_character(F.col("text"), F.col("byte_offset")).alias("splits"))
