@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import html as H
 from quire.functions import text as T
 
 # What counts as enough text, and the layout of word rows.
@@ -37,3 +38,22 @@ def tsv_words(rows: DataFrame, key: str, column: str, least: float) -> DataFrame
     kept = lines.where((F.size("f") >= FIELDS) & (num(0) == WORD_LEVEL) & (F.coalesce(num(10, "double"), F.lit(-1.0)) >= least) & (F.trim(F.col("f")[11]) != ""))
     parent = F.concat(F.lit("p"), F.col("f")[1], F.lit("_b"), F.col("f")[2], F.lit("_par"), F.col("f")[3], F.lit("_l"), F.col("f")[4])
     return kept.select(key, "k", F.trim(F.col("f")[11]).alias("text"), *[F.coalesce(num(i), F.lit(0)).alias(n) for i, n in ((6, "left_"), (7, "top_"), (8, "width"), (9, "height"))], num(10, "double").alias("confidence"), parent.alias("parent_id"))
+
+
+def hocr_markdown(page: Column) -> Column:
+    """Markdown of hOCR output: its paragraphs, lines and words are HTML elements."""
+    return H.markdown(T.replace_all(page, r"(?is)<!DOCTYPE[^>]*>|<\?xml[^>]*>", ""))
+
+
+def line_elements(words: DataFrame, key: str) -> DataFrame:
+    """(key, parent_id, text, left_, top_, right_, bottom_, confidence): the lines of word rows, each with the box around
+    its words and their mean confidence."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left_", "k", "text"))), lambda x: x["text"]), " ")
+    return words.groupBy(key, "parent_id").agg(
+        text.alias("text"),
+        F.min("left_").alias("left_"),
+        F.min("top_").alias("top_"),
+        F.max(F.col("left_") + F.col("width")).alias("right_"),
+        F.max(F.col("top_") + F.col("height")).alias("bottom_"),
+        F.avg("confidence").alias("confidence"),
+    )

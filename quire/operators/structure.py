@@ -115,6 +115,22 @@ def tree(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return carried.withColumn("parent_index", parent).drop(*[f"_{k}" for k in range(1, 7)])
 
 
+def document_nodes(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, page_number, node_index, level, text, parent_index) of texts (key, page_number, text): ATX
+    headings of levels 1 to 6, and the blocks between empty lines and headings as level 7. A node stands under the last
+    heading of a lower level on its page; each page begins without open sections."""
+    rows = pages.select(key, "page_number", F.posexplode(T.lines(F.col("text"))).alias("k", "line"))
+    order = Window.partitionBy(key, "page_number").orderBy("k")
+    marked = rows.withColumn("head", F.col("line").rlike(HEADING)).withColumn("blank", F.col("line").rlike(r"^\s*$"))
+    new = F.col("head") | F.coalesce(F.lag("head").over(order), F.lit(True)) | F.coalesce(F.lag("blank").over(order), F.lit(True))
+    blocks = marked.withColumn("new", new.cast("int")).withColumn("block", F.sum("new").over(order)).where("NOT blank")
+    whole = blocks.groupBy(key, "page_number", "block").agg(F.bool_or("head").alias("head"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    level = F.when(F.col("head"), F.char_length(F.regexp_extract("body", HEADING, 1))).otherwise(7)
+    index = F.row_number().over(Window.partitionBy(key).orderBy("page_number", "block")) - 1
+    nodes = whole.select(key, "page_number", index.cast("int").alias("node_index"), level.alias("level"), F.when(F.col("head"), F.trim(F.regexp_extract("body", HEADING, 2))).otherwise(F.col("body")).alias("text"), F.struct(key, "page_number").alias("unit"))
+    return tree(nodes, "unit").drop("unit")
+
+
 def tree_faults(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, node_index): nodes whose parent isn't an earlier node of their document."""
     known = nodes.select(F.col(key).alias("_k"), F.col("node_index").alias("_i"))

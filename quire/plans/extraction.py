@@ -323,3 +323,18 @@ def _cache_rows(spark: SparkSession, cache: str) -> DataFrame | None:
         return spark.read.parquet(cache)
     except AnalysisException:
         return None  # nothing cached yet
+
+
+SINKS = ("parquet", "json", "text")
+
+
+def save(records: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Writes records: as Parquet, as a JSON object a line, or as the contents alone with their paths as
+    JSON strings would be, one a line."""
+    if kind not in SINKS:
+        raise ValueError(f"sink {kind!r} is none of {SINKS}")
+    if kind == "text":
+        one = F.to_json(F.struct("path", "content"))
+        records.where("content IS NOT NULL").select(one.alias("value")).write.mode("overwrite").text(path)
+    else:
+        records.write.mode("overwrite").format(kind).save(path)

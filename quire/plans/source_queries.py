@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.functions import decoding
+from quire.functions import decoding, ocr
 from quire.plans import extraction as X
 from quire.plans.base import Registry, table
 from quire.plans.text_queries import sql_quality, sql_words
-from quire.sources import formats
+from quire.sources import backends, formats
 from quire.streaming import stream
 
 R = Registry()
@@ -103,3 +103,51 @@ def collapse_scattered(spark, d):
     """Whole texts, with letters set apart appended; those that aren't ASCII stay as they are."""
     text = F.concat("text", F.lit(" 7 H e a d l i n e 5 H e 6 e n d 9"))
     return table(spark, d, "documents").select("doc_id", decoding.collapse_scattered(text).alias("collapsed"))
+
+
+@R.query("image_headers", """SELECT doc_id, 'Image: PNG ' || (n_chars % 5000 + 1) || 'x' || (doc_id % 700 + 1) AS content, CAST(n_chars % 5000 + 1 AS VARCHAR) AS width, CAST(doc_id % 700 + 1 AS VARCHAR) AS height FROM documents""")
+def image_headers(spark, d):
+    """PNG headers of sizes from the documents' numbers, read without decoding."""
+    four = lambda n: F.lpad(F.hex(n.cast("long")), 8, "0")
+    data = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("n_chars") % 5000 + 1), four(F.col("doc_id") % 700 + 1), F.lit("0802000000")))
+    files = table(spark, d, "documents").select(F.concat(F.lit("i/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), data.alias("data"))
+    x = X.extract(files, X.Config(quality=False))
+    number = F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long")
+    return x.select(number.alias("doc_id"), "content", F.col("metadata")["width"].alias("width"), F.col("metadata")["height"].alias("height"))
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), 1.0 + t.count("a"), 3.0] for t in texts]
+
+
+@R.query("embed_texts", "SELECT doc_id, round(a / n, 9) AS a, round(b / n, 9) AS b, round(3 / n, 9) AS c FROM (SELECT *, sqrt(a * a + b * b + 9) AS n FROM (SELECT doc_id, CAST(length(text) AS DOUBLE) AS a, 1.0 + length(text) - length(replace(text, 'a', '')) AS b FROM documents))")
+def embed_texts(spark, d):
+    """Texts through an embedding backend, to unit length."""
+    b = backends.Backends()
+    b.add_embedding("lengths", 3, _lengths)
+    x = backends.embedded(table(spark, d, "documents").select("doc_id", "text"), b, "lengths")
+    return x.select("doc_id", *[F.round(F.col("embedding")[k], 9).alias(n) for k, n in enumerate("abc")])
+
+
+def _backwards(data: bytes, language: str) -> str:
+    if len(data) % 7 == 0:
+        raise ValueError("seven")
+    return f"{language}:{data.decode()[::-1]}"
+
+
+@R.query("recognise", "SELECT doc_id, CASE WHEN strlen(text) % 7 <> 0 THEN md5('eng:' || reverse(text)) END AS digest, CASE WHEN strlen(text) % 7 = 0 THEN 'ValueError: seven' END AS error FROM documents")
+def recognise(spark, d):
+    """Images through an OCR backend, copies once; failures are values."""
+    b = backends.Backends()
+    b.add_ocr("backwards", ["eng"], _backwards)
+    x = backends.recognised(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), b, "backwards", "eng")
+    return x.select("doc_id", F.md5("text").alias("digest"), F.col("ocr_error").alias("error"))
+
+
+@R.query("hocr_markdown", f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS markdown FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z\\s]', '', 'g') AS text FROM documents)")
+def hocr_markdown(spark, d):
+    """Letters of the texts as hOCR words."""
+    words = F.split(F.regexp_replace("text", r"[^a-zA-Z\s]", ""), r"\s+")
+    spans = F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit("<span class='ocrx_word' title='bbox 0 0 1 1'>"), w, F.lit("</span>"))), " ")
+    page = F.concat(F.lit("<?xml version='1.0'?><!DOCTYPE html><html><head><title></title></head><body><div class='ocr_page'><p class='ocr_par'><span class='ocr_line'>"), spans, F.lit("</span></p></div></body></html>"))
+    return table(spark, d, "documents").select("doc_id", ocr.hocr_markdown(page).alias("markdown"))

@@ -154,3 +154,22 @@ def page_elements(spark, d):
     tables = p.where("page_number = 2").select("conv_id", "page_number", F.lit(0).alias("k"), F.array(F.array(F.lit("a"), n), F.array(F.lit("b"))).alias("cells"))
     images = p.where("page_number = 1").select("conv_id", "page_number", F.lit(0).alias("k"), F.lit("png").alias("format"), F.lit(None).cast("int").alias("width"), F.lit(7).alias("height"))
     return S.page_elements(p, tables, images, heads, "conv_id")
+
+
+NODES = f"""p AS (SELECT doc_id, CAST(i + 1 AS INT) AS page_number, substring(text, CAST(i * 2000 + 1 AS INT), 2000) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 2000 + 1)) AS i FROM {DOCS})),
+l AS (SELECT doc_id, page_number, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT doc_id, page_number, {sql_lines('text')} AS ls FROM p)),
+h AS (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS head, regexp_full_match(line, '\\s*') AS blank FROM l),
+n AS (SELECT *, CASE WHEN head OR coalesce(lag(head) OVER w, true) OR coalesce(lag(blank) OVER w, true) THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY k)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY k) AS block FROM n),
+g AS (SELECT doc_id, page_number, block, bool_or(head) AS head, string_agg(line, chr(10) ORDER BY k) AS body FROM b WHERE NOT blank GROUP BY ALL),
+x AS (SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block) - 1 AS INT) AS node_index, CAST(CASE WHEN head THEN length(regexp_extract(body, '^(#{{1,6}})', 1)) ELSE 7 END AS INT) AS level, CASE WHEN head THEN trim(regexp_extract(body, '^(#{{1,6}})\\s+(.+)$', 2)) ELSE body END AS text FROM g)"""
+
+
+@R.query("document_nodes", f"WITH {NODES} SELECT x.doc_id, x.page_number, x.node_index, x.level, md5(x.text) AS digest, max(y.node_index) AS parent_index FROM x LEFT JOIN x y ON x.doc_id = y.doc_id AND x.page_number = y.page_number AND y.node_index < x.node_index AND y.level < x.level GROUP BY ALL")
+def document_nodes(spark, d):
+    """Sections and blocks of pages of 2,000 characters."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(2000))
+    pages = docs.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.substring("text", s + 1, F.lit(2000)))).alias("k", "text"))
+    nodes = S.document_nodes(pages.select("doc_id", (F.col("k") + 1).alias("page_number"), "text"))
+    return nodes.select("doc_id", "page_number", "node_index", "level", F.md5("text").alias("digest"), "parent_index")

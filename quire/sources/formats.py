@@ -503,6 +503,95 @@ def opened(data: bytes, kind: str) -> Record:
         return Record("\n\n".join(to_markdown(decoded(z.read(f"{base}/{h}" if base else h))) or "" for h in spine).strip(), meta)
 
 
+# Names of the EXIF tags that are told.
+EXIF = {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x829A: "ExposureTime", 0x829D: "FNumber", 0x8827: "PhotographicSensitivity", 0x9003: "DateTimeOriginal", 0x920A: "FocalLength", 0xA002: "PixelXDimension", 0xA003: "PixelYDimension"}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
+
+
+def tags_of(data: bytes) -> dict[int, str]:
+    """Tags of the first directory of a TIFF block and of its EXIF directory, values as text."""
+    order = {b"II": "little", b"MM": "big"}.get(data[:2])
+    if not order:
+        return {}
+    number = lambda at, n: int.from_bytes(data[at : at + n], order)
+    out: dict[int, str] = {}
+    left, seen = [number(4, 4)], set()
+    while left:
+        at = left.pop()
+        if at in seen or not 8 <= at <= len(data) - 2:
+            continue
+        seen.add(at)
+        for k in range(min(number(at, 2), 512)):
+            entry = at + 2 + 12 * k
+            tag, kind, n = number(entry, 2), number(entry + 2, 2), number(entry + 4, 4)
+            size = SIZES.get(kind, 0) * n
+            place = entry + 8 if size <= 4 else number(entry + 8, 4)
+            if tag == 0x8769:
+                left.append(number(entry + 8, 4))
+            elif not size or place + size > len(data) or entry + 12 > len(data):
+                continue
+            elif kind == 2:
+                out[tag] = data[place : place + n].split(b"\0")[0].decode("utf-8", "replace").strip()
+            elif kind == 5:
+                out[tag] = f"{number(place, 4)}/{number(place + 4, 4)}"
+            else:
+                out[tag] = str(number(place, SIZES[kind]))
+    return out
+
+
+def jpeg(data: bytes) -> tuple[int, int, dict[int, str]]:
+    at, width, height, tags = 2, 0, 0, {}
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if marker in range(0xC0, 0xD0) and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = (int.from_bytes(data[at + k : at + k + 2], "big") for k in (5, 7))
+            break
+        if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tags = tags_of(data[at + 10 : at + 2 + size])
+        if size < 2:
+            break
+        at += 2 + size
+    return width, height, tags
+
+
+def image(data: bytes) -> Record:
+    """Format, size and EXIF tags from an image's header; pixels aren't decoded."""
+    big = lambda a, b: int.from_bytes(data[a:b], "big")
+    little = lambda a, b: int.from_bytes(data[a:b], "little")
+    tags: dict[int, str] = {}
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
+        name, width, height = "PNG", big(16, 20), big(20, 24)
+    elif data[:3] == b"\xff\xd8\xff":
+        name, (width, height, tags) = "JPEG", jpeg(data)
+    elif data[:4] == b"GIF8":
+        name, width, height = "GIF", little(6, 8), little(8, 10)
+    elif data[:2] == b"BM":
+        name, width, height = "BMP", little(18, 22), abs(int.from_bytes(data[22:26], "little", signed=True))
+    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        name, kind = "WEBP", data[12:16]
+        if kind == b"VP8X":
+            width, height = little(24, 27) + 1, little(27, 30) + 1
+        elif kind == b"VP8L":
+            bits = little(21, 25)
+            width, height = (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        else:
+            width, height = little(26, 28) & 0x3FFF, little(28, 30) & 0x3FFF
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        name, tags = "TIFF", tags_of(data)
+        width, height = int(tags.get(0x0100, 0)), int(tags.get(0x0101, 0))
+    elif re.match(rb"P[1-6]\s", data):
+        found = re.findall(rb"\d+", re.sub(rb"#[^\n]*", b"", data[2:512]))
+        name, width, height = "PNM", int(found[0]) if found else 0, int(found[1]) if len(found) > 1 else 0
+    elif data[4:8] == b"jP  " and (at := data.find(b"ihdr", 0, 4096)) > 0:
+        name, height, width = "JP2", big(at + 4, at + 8), big(at + 8, at + 12)
+    else:
+        raise FormatError("no image header that is known")
+    if not width or not height:
+        raise FormatError(f"no size in a {name} header")
+    found = {EXIF[t]: v for t, v in sorted(tags.items()) if t in EXIF and v}
+    return Record(f"Image: {name} {width}x{height}", {"format": name, "width": str(width), "height": str(height)} | found)
+
+
 #: MIME type to reader; office types by their main part.
 READERS = {
     "text/plain": plain,
@@ -541,4 +630,5 @@ READERS = {
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": lambda d: ooxml(d, "xl"),
     "application/vnd.oasis.opendocument.text": lambda d: opened(d, "odt"),
     "application/epub+zip": lambda d: opened(d, "epub"),
+    **{f"image/{kind}": image for kind in ("png", "jpeg", "gif", "bmp", "webp", "tiff", "jp2", "x-portable-anymap", "x-portable-bitmap", "x-portable-graymap", "x-portable-pixmap")},
 }
