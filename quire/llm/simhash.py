@@ -26,6 +26,8 @@ SHINGLE = 4
 SEED = 42
 #: Mean size of a shard that isn't exceeded by choice of the shards' bits.
 SHARD = 256
+#: A shard of more fingerprints is dealt anew, by more bits that its members share.
+DEEP = 32_768
 #: A shard of more fingerprints is dealt into parts of about so many, and each
 #: two parts meet in a task of their own.
 PART = 4096
@@ -73,6 +75,19 @@ def shard_masks(n: int, radius: int = RADIUS, shard: int = SHARD) -> list[int]:
     return [sum(c) for c in combinations(parts, s)]
 
 
+def deeper_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Bits that the members of each shard within a shard of ``mask`` share: of radius + 2 blocks of the bits
+    outside the mask two at least are alike in fingerprints within the radius."""
+    outside = [b for b in range(64) if not mask >> b & 1]
+    cuts = [round(len(outside) * k / (radius + 2)) for k in range(radius + 3)]
+    blocks = [sum(1 << b for b in outside[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    return [mask | x | y for x, y in combinations(blocks, 2)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 class Forest:
     """One BK-tree for each run of equal ``cell``; a node is an index of ``fp``."""
 
@@ -150,16 +165,25 @@ def shard_edges(cell: np.ndarray, fp: np.ndarray, in_tree: np.ndarray, asks: np.
     return fp[linked], fp[label[linked]]
 
 
-def edges(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD, part: int = PART) -> DataFrame:
+def edges(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD, part: int = PART, deep: int = DEEP) -> DataFrame:
     """(a, b): edges that connect what links of distinct fingerprints connect, at
     most one for each fingerprint, family and part. ``nodes`` has fp, ``n`` rows."""
-    families = F.array(*[F.struct(F.lit(k).alias("family"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for k, m in enumerate(shard_masks(n, radius, shard))])
+    masks = shard_masks(n, radius, shard)
+    families = F.array(*[F.struct(F.lit(k).alias("family"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])
     dealt = nodes.select("fp", F.inline(families))
-    sizes = dealt.groupBy("family", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Shards of one member have no links; the table of the others tells whether any is too large.
+    sizes = written(dealt.groupBy("family", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
+    sized = dealt.join(sizes, ["family", "bits"])
+    if not sizes.where(F.col("n") > deep).isEmpty():
+        finer = [deeper_masks(m, radius) for m in masks]
+        again = F.array(*[F.array(*[F.struct(F.lit((k + 1) * 1000 + i).alias("family"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(ms)]) for k, ms in enumerate(finer)])
+        large = sized.where(F.col("n") > deep).select("fp", F.inline(F.get(again, F.col("family")))).select("fp", "family", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+        more = large.groupBy("family", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = sized.where(F.col("n") <= deep).select("fp", "family", "bits", "n").unionByName(large.join(more, ["family", "bits"]).select("fp", "family", "bits", "n"))
     parts = F.ceil(F.col("n") / part).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(3)), parts).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") <= k).alias("in_tree"), (F.col("own") >= k).alias("asks")))
-    cells = dealt.join(sizes, ["family", "bits"]).select("fp", "family", "bits", parts.alias("parts"), own.alias("own")).select("fp", "family", "bits", F.inline(others))
+    cells = sized.select("fp", "family", "bits", parts.alias("parts"), own.alias("own")).select("fp", "family", "bits", F.inline(others))
     cells = cells.select(F.xxhash64("family", "bits", "i", "j").alias("cell"), "fp", "in_tree", "asks").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +240,7 @@ def components(found: DataFrame) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, part: int = PART) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, part: int = PART, deep: int = DEEP) -> DataFrame:
     """(doc_id, fp, component_id, root) for each row of ``docs``; component_id is the
     least id reachable over fingerprints within ``radius`` bits, its own included,
     root a fingerprint of the component that stands for it.
@@ -227,7 +251,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    labels = components(edges(nodes.select("fp"), nodes.count(), radius, shard, part))
+    labels = components(edges(nodes.select("fp"), nodes.count(), radius, shard, part, deep))
     if labels is None:
         least = nodes.select("fp", F.col("rep").alias("component_id"), F.col("fp").alias("root"))
     else:

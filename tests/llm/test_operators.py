@@ -148,8 +148,8 @@ def brute_components(ids, fps, radius=4):
     return [min(x for x in least[find(i)] if x is not None) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize(("shard", "part"), [(256, 4096), (1, 8), (256, 4)])
-def test_simhash_components_match_brute_force(spark, shard, part):
+@pytest.mark.parametrize(("shard", "part", "deep"), [(256, 4096, simhash.DEEP), (1, 8, simhash.DEEP), (256, 4, simhash.DEEP), (256, 4096, 4), (256, 3, 2)])
+def test_simhash_components_match_brute_force(spark, shard, part, deep):
     r = random.Random(4)
     rows = []
     for i in range(120):
@@ -158,7 +158,7 @@ def test_simhash_components_match_brute_force(spark, shard, part):
             words[r.randrange(len(words))] = "changed"
         rows.append((i, " ".join(words)))
     rows += [(200, None), (201, ""), (202, " \t "), (203, "One two"), (204, "one TWO"), (205, prose(9, 30000)), (3, rows[3][1])]
-    got = simhash.near_duplicates(docs(spark, rows), shard=shard, part=part).collect()
+    got = simhash.near_duplicates(docs(spark, rows), shard=shard, part=part, deep=deep).collect()
     fps = [brute_fingerprint(t) for _, t in rows]
     want = sorted(zip([i for i, _ in rows], fps, brute_components([i for i, _ in rows], fps), strict=True))
     assert sorted((g.doc_id, g.fp % (1 << 64), g.component_id) for g in got) == want
