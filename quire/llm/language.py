@@ -41,14 +41,12 @@ def letters_of(text: str) -> list[str]:
 class Model:
     """languages; log frequencies of words and n-grams in each, by key."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], by_length: list[dict[str, np.ndarray]]):
-        """by_length: the n-grams of each length, 1 first."""
+    def __init__(self, languages: list[str], tables: list[tuple[list[str], np.ndarray]]):
+        """tables: keys and a row of values for each, of words, and of n-grams of each length, 1 first."""
         self.languages = languages
-        tables = [words, *by_length]
-        rows = [v - v.mean() for t in tables for v in t.values()]
-        self.values = np.array(rows).reshape(len(rows), len(languages))
-        first = np.cumsum([0, *map(len, tables)])
-        self.words, *self.grams = [dict(zip(t, range(n, n + len(t)), strict=True)) for t, n in zip(tables, first, strict=False)]
+        self.values = np.concatenate([v - v.mean(axis=1, keepdims=True) for _, v in tables])
+        first = np.cumsum([0, *(len(keys) for keys, _ in tables)])
+        self.words, *self.grams = [dict(zip(keys, range(n, n + len(keys)), strict=True)) for (keys, _), n in zip(tables, first, strict=False)]
 
     def of(self, tokens: list[str]) -> np.ndarray:
         """For each token between spaces: its words' scores less their mean over
@@ -89,15 +87,15 @@ def tokens_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _logs(counts: DataFrame, key: str, languages: list[str]) -> dict[str, np.ndarray]:
+def _logs(counts: DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
     """Smoothed log frequencies of each key in each language from (lang, key, n)."""
     rows = counts.groupBy(key).pivot("lang", languages).agg(F.sum("n")).orderBy(key).toPandas()
     n = rows[languages].fillna(0).to_numpy(float)
-    return dict(zip(rows[key], np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(n)))), strict=True))
+    return rows[key].tolist(), np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(n))))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learns from at most ``sample`` texts of each non-null language outside the
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple | None:
+    """What a Model is made of: learns from at most ``sample`` texts of each non-null language outside the
     held-out fold; None if there are none. Null texts teach nothing. All words
     and n-grams of these texts are learned; they are counted in Spark, and come to the driver once each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
@@ -117,12 +115,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             pieces = F.transform(F.sequence(F.lit(1), F.char_length("word") + 3 - k), lambda i: F.substring(padded, i, F.lit(k)))  # noqa: B023
             each = words.where(F.char_length("word") + 3 - k >= 1).select("lang", F.explode(pieces).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
             grams.append(_logs(each, "gram", languages))
-        return Model(languages, _logs(words, "word", languages), grams)
+        return languages, [_logs(words, "word", languages), *grams]
     finally:
         words.unpersist()
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def made(learnt: tuple | None) -> tuple[Model, WordCache] | None:
+    if not learnt:
+        return None
+    model = Model(*learnt)
+    return model, WordCache(model.of, len(model.languages) + 1)
+
+
+def identify(docs: DataFrame, model: tuple | None) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score (input columns of these names
     are replaced).
 
@@ -133,7 +138,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = sent_to_workers(docs.sparkSession, model)
 
     def compute(batch: list[str]) -> list:
-        known = kept_in_worker("language", sent, lambda m: m and (m, WordCache(m.of, len(m.languages) + 1)))
+        known = kept_in_worker("language", sent, made)
         if not known:
             return [[NONE] * len(batch), [0.0] * len(batch)]
         sums, _ = known[1].sums([Counter(tokens_of(t)) for t in batch])
