@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.bytegrams import find, mask, summed
 from quire.llm.common import dropped, fold, kept_in_worker, parts, sent_to_workers, table, written
 
-DEPTH, TAIL = 6, 2
+DEPTH, TAIL = 5, 2
 #: Bytes of a word (its closing space is one) whose contexts reach its opening space.
 HEAD_BYTES = DEPTH - 1
 FOLDS, HELD = 7, 2
