@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 # Encodings that are tried in this order where UTF-8 fails.
 FALLBACKS = ("windows-1255", "iso-8859-8", "windows-1256", "iso-8859-6", "windows-1252", "cp1251")
-BROKEN = re.compile("[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]|�+|[̀-ͯ]+")
+#: The patterns of broken characters, in Python's spelling of code points.
+CONTROL, REPLACEMENT, COMBINING = (re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), p) for p in (T.CONTROL, T.REPLACEMENT, T.COMBINING))
+BROKEN = re.compile("|".join((CONTROL, REPLACEMENT, COMBINING)))
 RUN = re.compile(r"[A-Za-z][A-Za-z\s]*")
 
 
@@ -20,7 +24,7 @@ def confidence(text: str) -> float:
         return 0.0
     n = len(text.encode())
     readable = sum(c.isspace() or "!" <= c <= "~" for c in text)
-    penalty = (len(re.findall("�+", text)) + 2 * len(re.findall("[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]", text))) / n
+    penalty = (len(re.findall(REPLACEMENT, text)) + 2 * len(re.findall(CONTROL, text))) / n
     cyrillic = sum(len(m.encode()) for m in re.findall("[Ѐ-ӿ]{3,}", text))
     return max(0.0, min(1.0, readable / n - penalty - (0.3 if cyrillic > 0.1 * n else 0.0)))
 

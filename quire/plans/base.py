@@ -24,15 +24,17 @@ class Registry:
         return add
 
 
-#: Tables whose rows are costly to work on.
-TEXTS = ("documents", "pages", "conversations")
+#: Tables whose rows are costly to work on, and bytes that are worth a task.
+TEXTS, TASK_BYTES = ("documents", "pages", "conversations"), 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that come in fewer partitions than there are cores are dealt
-    out first. Large tables have more, and are read as they lie."""
+    """A table; small tables of texts, which come in few partitions, are dealt
+    out to all cores first. Large ones are read as they lie."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() < cores:
+    # The planner's own figure, from the files' listing that the read has made.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if name in TEXTS and size < cores * TASK_BYTES:
         return rows.repartition(cores)
     return rows

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 # Names of fields that hold text, and limits.
 TEXT_FIELDS = frozenset("title name subject description content body text message payload data properties metadata value result summary label comment note info spec status kind type key id url path author email address version tag category caption heading abstract readme changelog license".split())
-DEPTH, ITEMS = 20, 500
 
 FIELD = "array<struct<path: string, value: string, is_text: boolean>>"
 
