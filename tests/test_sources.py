@@ -28,8 +28,8 @@ def zipped(files: dict[str, str]) -> bytes:
 
 
 def test_plain_and_markdown():
-    r = R.plain(b"Hello, World!\nThis is a test.\nThird line here.")
-    assert (r.metadata["line_count"], r.metadata["word_count"]) == ("3", "9")
+    r = R.plain(b"red green\nblue\n\nfour more words here\n")
+    assert (r.metadata["line_count"], r.metadata["word_count"]) == ("4", "7")
     m = R.markdown(b"---\ntitle: T\ntags: [a, b]\n---\n# Head\n[x](http://u)\n```py\n# no\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n")
     assert m.metadata["title"] == "T" and json.loads(m.metadata["headers"]) == ["Head"] and json.loads(m.metadata["code_blocks"]) == [["py", "# no\n"]]
     assert m.tables == [[["a", "b"], ["1", "2"]]]
@@ -170,11 +170,11 @@ def test_files_are_read_and_chunked(spark, tmp_path):
 
 def test_literals_of_cleaning(spark):
     row = spark.range(1).select(
-        T.clean_repeated_punctuation(F.lit("What???!!! Really... Yes,,,")).alias("a"),
-        T.fix_mojibake(F.lit("Text\0with\x01control\x1fchars")).alias("b"),
+        T.clean_repeated_punctuation(F.lit("So?!?! maybe.... no,,, done")).alias("a"),
+        T.fix_mojibake(F.lit("a\0b\x02 c\x1ed")).alias("b"),
         T.line_count(F.lit("")).alias("c"),
     ).first()
-    assert tuple(row) == ("What? Really. Yes,", "Textwithcontrolchars", 0)
+    assert tuple(row) == ("So? maybe. no, done", "ab cd", 0)
 
 
 def test_configuration_files_and_environment(tmp_path):
