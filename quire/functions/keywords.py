@@ -6,37 +6,67 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from quire.functions import text as T
+from pyspark.sql import DataFrame
 
 LEAST_LETTERS, MOST_WORDS, MOST, LEAST_TEXT_WORDS = 3, 3, 10, 10
 
 
-def phrases(text: Column, stopwords: list[str]) -> Column:
-    """array<array<string>>: runs of lower-case words between marks and stop words."""
-    words = T.words(T.replace_all(F.lower(text), r"[^\p{L}\p{N}\s]+", " | "))
-    cut = F.array_join(F.transform(words, lambda w: F.when((w == "|") | w.isin(stopwords), "|").otherwise(w)), " ")
-    return F.filter(F.transform(F.split(cut, r"\|"), lambda p: F.filter(F.split(F.trim(p), " +"), lambda w: w != "")), lambda p: F.size(p) > 0)
+#: As Spark's and DuckDB's expressions have them: white space of ASCII, and what is neither that nor a letter or a number.
+BLANKS, MARKS = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"(?:(?![ \t\n\x0b\f\r])[\W_])+")
+
+
+def _rounded(x: float, digits: int) -> float:
+    """Half up by the shortest decimal, as SQL does."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def _rake(text: str, stopwords: frozenset[str], most: int) -> list[tuple[str, float]]:
+    """(phrase, score) of a text, the best first."""
+    if len([w for w in BLANKS.split(text) if w]) < LEAST_TEXT_WORDS:
+        return []
+    found: list[list[str]] = [[]]
+    for w in BLANKS.split(MARKS.sub(" | ", text.lower())):
+        if w == "|" or w in stopwords:
+            if found[-1]:
+                found.append([])
+        elif w:
+            found[-1].append(w)
+    degree: Counter = Counter()
+    times: Counter = Counter()
+    for p in found:
+        times.update(p)
+        for w in p:
+            degree[w] += len(p)
+    raw = {}
+    for p in found:
+        if 0 < len(p) <= MOST_WORDS and len(k := " ".join(p)) and k not in raw and len(k.encode()) >= LEAST_LETTERS:
+            raw[k] = _rounded(math.fsum(degree[w] / times[w] for w in p), 9)
+    if not raw:
+        return []
+    low, high = min(raw.values()), max(raw.values())
+    span = high - low
+    # Scores are rounded before they are ranked; what can't come among the best after that needs no rounding.
+    least = sorted(raw.values(), reverse=True)[min(most, len(raw)) - 1] - 2e-6 * span
+    scores = [(k, _rounded((v - low) / span, 6) if span > 0 else 1.0) for k, v in raw.items() if v >= least]
+    return sorted(scores, key=lambda x: (-x[1], x[0]))[:most]
 
 
 def rake(docs: DataFrame, stopwords: list[str], most: int = MOST, key: str = "doc_id") -> DataFrame:
     """(key, rank, keyword, score): a word's score is its degree over its frequency,
-    a phrase's the sum of its words'; phrases of up to three words, scores scaled
-    to 0..1 within a text, ties by phrase. Texts under ten words have none."""
-    found = docs.where(F.size(T.words(F.col("text"))) >= LEAST_TEXT_WORDS).select(key, F.explode(phrases(F.col("text"), stopwords)).alias("p"))
-    words = found.select(key, F.explode("p").alias("w"), F.size("p").alias("n"))
-    scores = words.groupBy(key, "w").agg((F.sum("n") / F.count(F.lit(1))).alias("s"))
-    kept = found.distinct().where(F.size("p") <= MOST_WORDS).withColumn("keyword", F.array_join("p", " ")).where(F.octet_length("keyword") >= LEAST_LETTERS)
-    summed = kept.select(key, "keyword", F.explode("p").alias("w")).join(scores, [key, "w"]).groupBy(key, "keyword").agg(F.round(F.sum("s"), 9).alias("raw"))
-    by = Window.partitionBy(key)
-    low, high = F.min("raw").over(by), F.max("raw").over(by)
-    scaled = summed.withColumn("score", F.round(F.when(high > low, (F.col("raw") - low) / (high - low)).otherwise(1.0), 6))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "keyword"))
-    return scaled.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "keyword", "score")
+    a phrase's (a run of words between marks and stop words) the sum of its words'; phrases of up to three words, scores scaled
+    to 0..1 within a text, ties by phrase. Texts under ten words have none. All of it is
+    local to a text, so a text is done where it lies, without a shuffle."""
+    stop = frozenset(stopwords)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(k, r + 1, w, s) for k, t in zip(rows[key], rows["text"], strict=True) if t for r, (w, s) in enumerate(_rake(t, stop, most))]
+            yield pd.DataFrame(found, columns=[key, "rank", "keyword", "score"]).astype({"rank": "int32", "score": float})
+
+    return docs.select(key, "text").mapInPandas(run, docs.select(key).schema.add("rank", "integer").add("keyword", "string").add("score", "double"))
 
 
 def _yake(text: str, stopwords: frozenset[str], most: int) -> list[tuple[str, float]]:
