@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 RANGES, LOOKED_AT = 256, 16
 #: Rows that are worth a range of their own.
 ROWS = 200_000
-#: Ranges of a group's values.
+#: Ranges of a group's values, about.
 STEPS = 64
 
 
@@ -48,15 +48,21 @@ def positions(rows: DataFrame, order: list[str], name: str = "position", ranges:
 
 def percentiles(rows: DataFrame, group: list[str], value: Column, shares: list[float]) -> DataFrame:
     """(group..., p0, p1...): the exact percentiles of each group's values that aren't null, by linear
-    interpolation between neighbours (R-7). Values are counted first, and
-    sorted within STEPS ranges of each group, whose bounds come from a sketch."""
+    interpolation between neighbours (R-7). Values are counted first, and sorted within about STEPS
+    ranges of each group. Bounds come from a sample by hash, LOOKED_AT values each: ranges are computed twice, and
+    a sketch differs from itself when its parts are merged in another order. Groups of fewer values are one range."""
     keys = [f"_g{k}" for k in range(len(group))]
-    counted = rows.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], value.alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    steps = [k / STEPS for k in range(1, STEPS)]
     others = [f"_h{k}" for k in range(len(group))]
-    ranges = counted.groupBy(*keys).agg(F.percentile_approx("_v", steps, 1000).alias("_bounds"), F.sum("_n").alias("_total")).withColumnsRenamed(dict(zip(keys, others, strict=True)))
-    same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, others, strict=True)]
-    ranged = counted.join(ranges, same).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds", *others)
+    renamed = dict(zip(keys, others, strict=True))
+    same = [F.col(k).eqNullSafe(F.col(h)) for k, h in renamed.items()]
+    counted = rows.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], value.alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_kinds")).withColumnsRenamed(renamed)
+    sized = counted.join(totals, same).drop(*others)
+    seen = F.pmod(F.xxhash64("_v"), F.lit(1 << 40)).cast("double") * F.col("_kinds") < float(STEPS * LOOKED_AT << 40)
+    looked_at = sized.where((F.col("_kinds") > STEPS * LOOKED_AT) & seen).groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_seen"))
+    cuts = looked_at.select(*keys, F.filter("_seen", lambda _, k: k % LOOKED_AT == LOOKED_AT - 1).alias("_bounds")).withColumnsRenamed(renamed)
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
+    ranged = sized.join(cuts, same, "left").withColumn("_range", F.when(F.col("_bounds").isNotNull(), below).otherwise(0)).drop("_bounds", "_kinds", *others)
     upto = ranged.withColumn("_in", F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s"))
     before = sizes.select(*[F.col(k).alias(h) for k, h in zip(keys, others, strict=True)], F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
