@@ -16,7 +16,7 @@ from quire.plans import registry
 from tests.test_queries import rows
 
 ROOT = Path(__file__).parent.parent
-NAMES = ["group_stats", "extension_stats"]
+NAMES = ["group_stats", "extension_stats", "run_stats"]
 RUN = """
 import sys
 from pyspark.sql import SparkSession
