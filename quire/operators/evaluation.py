@@ -33,9 +33,10 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def group_stats(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Count, mean, sample variance and deviation (0 for one row), extremes, R-7 percentiles."""
-    v = finite(F.col(value))
+def group_stats(rows: DataFrame, group: list[str], value: str, only_finite: bool = True) -> DataFrame:
+    """Count, mean, sample variance and deviation (0 for one row), extremes, R-7 percentiles;
+    of finite values, unless NaN and infinities are to count as in SQL."""
+    v = finite(F.col(value)) if only_finite else F.col(value)
     plain = rows.groupBy(*group).agg(
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),

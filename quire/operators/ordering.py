@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 #: Ranges of the first column that rows are sorted in apart, and values that are looked at to place each bound.
 RANGES, LOOKED_AT = 256, 16
 #: Rows that are worth a range of their own.
@@ -46,11 +48,25 @@ def positions(rows: DataFrame, order: list[str], name: str = "position", ranges:
     return within.join(F.broadcast(before), F.col("_range") == F.col("_at")).select(*rows.columns, (F.col("_before") + F.col("_k") - 1).alias(name))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once: the errors of the product (Dekker) and of the sum (Knuth) are added
+    last. Where they aren't finite, a * b + c as it stands."""
+
+    def halves(x, body):
+        return let(134217729.0 * x, lambda t: let(t - (t - x), lambda high: body(high, x - high)))
+
+    def added(p, error):
+        return let(p + c, lambda s: let(s - p, lambda z: let(s + ((p - (s - z)) + (c - z) + error), lambda exact: F.when(F.isnan(exact), s).otherwise(exact))))
+
+    return let(a * b, lambda p: halves(a, lambda ah, al: halves(b, lambda bh, bl: added(p, ((ah * bh - p) + ah * bl + al * bh) + al * bl))))
+
+
 def percentiles(rows: DataFrame, group: list[str], value: Column, shares: list[float]) -> DataFrame:
     """(group..., p0, p1...): the exact percentiles of each group's values that aren't null, by linear
-    interpolation between neighbours (R-7). Values are counted first, and sorted within about STEPS
-    ranges of each group. Bounds come from a sample by hash, LOOKED_AT values each: ranges are computed twice, and
-    a sketch differs from itself when its parts are merged in another order. Groups of fewer values are one range."""
+    interpolation between neighbours (R-7), in the steps of DuckDB's, so that halves are rounded alike.
+    Values are counted first, and sorted within about STEPS ranges of each group. Bounds come from a sample by hash,
+    LOOKED_AT values each: ranges are computed twice, and a sketch differs from itself when its parts are merged
+    in another order. Groups of fewer values are one range."""
     keys = [f"_g{k}" for k in range(len(group))]
     others = [f"_h{k}" for k in range(len(group))]
     renamed = dict(zip(keys, others, strict=True))
@@ -70,5 +86,6 @@ def percentiles(rows: DataFrame, group: list[str], value: Column, shares: list[f
     place = lambda p: (F.col("_total") - 1) * F.lit(p)
     at = lambda index: F.min(F.when(F.col("_upto") > index, F.col("_v")))
     found = placed.groupBy(*keys).agg(*[x for k, p in enumerate(shares) for x in (at(F.floor(place(p))).alias(f"_lo{k}"), at(F.ceil(place(p))).alias(f"_hi{k}"), F.max(place(p) - F.floor(place(p))).alias(f"_part{k}"))])
-    between = [(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_part{k}")).alias(f"p{k}") for k in range(len(shares))]
+    weighed = lambda low, high, part: F.when(part == 0, low).otherwise(fused(low, 1 - part, high * part))
+    between = [weighed(F.col(f"_lo{k}").cast("double"), F.col(f"_hi{k}").cast("double"), F.col(f"_part{k}")).alias(f"p{k}") for k in range(len(shares))]
     return found.select(*[F.col(k).alias(g) for g, k in zip(group, keys, strict=True)], *between)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -44,3 +45,12 @@ def test_percentiles_are_those_of_numpy(spark):
 def test_perfect_groups(spark):
     rows = spark.createDataFrame([("a", True), ("a", True), ("b", True), ("c", True), ("c", False), (None, True), (None, True)], "g string, ok boolean")
     assert {(x.g, x.n) for x in V.perfect(rows, "g", "ok").collect()} == {("a", 2), (None, 2)}
+
+
+def test_fused_rounds_once(spark):
+    r = random.Random(4)
+    rows = [(r.uniform(-9, 9) * 10 ** r.randrange(6), r.random(), r.uniform(-9, 9) * 10 ** r.randrange(6)) for _ in range(500)]
+    got = spark.createDataFrame(rows, "a double, b double, c double").select("a", "b", "c", O.fused(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
+    assert all(x.x == float(Fraction(x.a) * Fraction(x.b) + Fraction(x.c)) for x in got)
+    beyond = spark.createDataFrame([(2.0, 0.5, float("inf")), (1e308, 0.5, 1.0)], "a double, b double, c double").select(O.fused(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
+    assert [x.x for x in beyond] == [float("inf"), 5e307]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
@@ -76,3 +78,18 @@ def test_extension_stats_of_null_keys_and_values(spark, tmp_path):
     events = [("a", 1, 2.0), ("a", 1, None), ("a", None, 3.0), (None, 2, 4.0), (None, None, 5.0), ("b", 7, None)]
     spark.createDataFrame(events, "event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     agree(spark, str(tmp_path), "extension_stats", "events")
+
+
+def test_run_stats_of_null_keys_and_values_that_are_not_finite(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    events = [("a", k, 2.0 + k) for k in range(12)] + [("a", 0, nan), ("a", 1, inf), ("a", 2, -inf), ("a", None, 3.0), (None, 4, 4.0), (None, -4, 5.5), ("b", 7, None), ("b", 8, nan), ("c", 1, inf), ("c", 1, inf)]
+    spark.createDataFrame(events, "event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    agree(spark, str(tmp_path), "run_stats", "events")
+
+
+def test_run_stats_where_percentiles_end_in_halves(spark, tmp_path):
+    r = random.Random(5)
+    # Twice a prime number of rows each, by which no mean of five decimals ends in a half.
+    events = [(f"tool{t}", k, 1 + round(r.expovariate(0.02), 5)) for t in range(40) for k in range(3 * 206)]
+    spark.createDataFrame(events, "event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    agree(spark, str(tmp_path), "run_stats", "events")
